@@ -6,7 +6,7 @@ O Dr. Lima e a Sra. Prado moram na Av. Central, nº 12, desde 1998.| A casa fica
 O prof. Alves, o eng. Brito e a dra. Souza assinaram o laudo de 2001.| O relatório saiu.
 Segundo o art. 12 da lei, a alíquota subiu de 8,1% para 9.4 pontos.| A versão 3.2.1 caiu às 7h07; a 3.2.2 voltou em 13.04.2003.
 Ver fls. 12 e segs. do processo.| O lote nº. 86 pesa 2,5 kg, ou seja, 3.1 vezes o de 2014.| O fundo rendeu 0.7 ponto, p. ex., em maio.
-J. R. Melo assumiu a Cia. Paulista em 1º de maio.| O contrato é da Alves S.A. Ele vence em 1993.
+J. R. Melo assumiu a Cia. Paulista em 1º de maio.| O contrato é da Alves S.A.| Ele vence em 1993.
 O contrato é da Melo S.A.| Ele vence em 2001.| A dívida é da Brito Ltda.| Ela vence hoje.| A empresa S.A. fechou.
 Os E.U.A. compraram 12 sacas.| O Sr. Alves Jr. foi eleito.| Lápis, réguas etc. foram entregues.| Compraram arroz, sal etc.| O resto ficou.
 "Ninguém paga isso!" gritou Ana, da plateia.| "Quando abre?", perguntou Davi.| "Não vamos sair daqui."| A frase foi aplaudida.
