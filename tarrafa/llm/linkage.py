@@ -152,6 +152,14 @@ def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return roots
 
 
+def pages(df: DataFrame, order: list[str], url: str = "sourceurl", threshold: float = THRESHOLD) -> DataFrame:
+    """The order columns and ``page`` of each row: the least variant of its cluster of linked addresses."""
+    v = variants(df, order, url, threshold)
+    edges = checkpointed(links(v, v, threshold))
+    rows = with_page(df.select(*order, url), url).select(*order, F.xxhash64("_site", "_numbers", F.array_sort("_words")).alias("_node"))
+    return rows.join(connected(edges), "_node", "left").select(*order, F.coalesce("_root", "_node").alias("page"))
+
+
 class PageIndex:
     """What was accepted so far, as Parquet tables under ``path``: one directory per generation.
 
