@@ -65,18 +65,19 @@ def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pieces(spark, sf_dir).where(F.size("pieces") > 1).select("item_table", "item_key")
+    """The items with a second piece; the filter stands behind the generator, so the work is done once."""
+    return _pieces(spark, sf_dir).select("item_table", "item_key", F.inline("pieces")).where("piece_no = 1").select("item_table", "item_key")
 
 
 def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of the items that had to be cut: item_table, item_key, piece_no, start_pos, end_pos, piece."""
-    return _pieces(spark, sf_dir).where(F.size("pieces") > 1).select("item_table", "item_key", F.inline("pieces"))
+    return _pieces(spark, sf_dir).select("item_table", "item_key", F.inline("pieces")).where("n_pieces > 1").drop("n_pieces")
 
 
 def p6_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each item put together again from its pieces, without their overlaps; must be the item."""
-    new = F.transform("pieces", lambda p, i: F.when(i == 0, p["piece"]).otherwise(F.substring(p["piece"], F.element_at("pieces", i)["end_pos"] - p["start_pos"] + 1, F.length(p["piece"]))))
-    return _pieces(spark, sf_dir).where("pieces is not null").select("item_table", "item_key", F.array_join(new, "").alias("item"))
+    flat = F.aggregate("pieces", F.struct(F.lit("").alias("t"), F.lit(0).alias("e")), lambda acc, p: F.struct(F.concat(acc["t"], F.substring(p["piece"], acc["e"] - p["start_pos"] + 1, F.length(p["piece"]))).alias("t"), p["end_pos"].alias("e")))
+    return _pieces(spark, sf_dir).select("item_table", "item_key", flat["t"].alias("item")).where("item is not null")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ def boundary_pattern(limit: int = LIMIT, overlap: int = OVERLAP) -> str:
 
 
 def split_items(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """(key, pieces) of each row; pieces is an array of struct(piece_no, start_pos, end_pos, piece).
+    """(key, pieces) of each row; pieces is an array of struct(piece_no, n_pieces, start_pos, end_pos, piece).
 
     A piece after the first starts with the last ``overlap`` characters of the one before, or with fewer
     of them, from the first word among them on; where they hold no white space, with all of them. Positions
@@ -49,17 +49,18 @@ def split_items(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap:
     whole = F.filter(F.array(t), lambda x: x != "")
     cores = F.when(F.length(t) <= limit, whole).otherwise(F.regexp_extract_all(t, F.lit(boundary_pattern(limit, overlap)), F.lit(0)))
     d = df.select(F.col(key).alias("_s_key"), F.col(text).alias("_s_text")).select("_s_key", cores.alias("_s_cores"))
-    # Starts of the new texts, as running sums of their lengths, and the overlap in front of each.
+    # Starts of the new texts as running sums of their lengths; the text before each; how many there are.
+    # No lambda refers to a column: the optimizer could put a column's expression in its place, and run it per element.
     starts = F.aggregate("_s_cores", F.array(F.lit(0)), lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(c))))
+    before = F.concat(F.array(F.lit("")), "_s_cores")
+    parts = F.arrays_zip(F.col("_s_cores").alias("c"), F.slice(starts, F.lit(1), F.size("_s_cores")).alias("s"), F.slice(before, F.lit(1), F.size("_s_cores")).alias("b"), F.array_repeat(F.size("_s_cores"), F.size("_s_cores")).alias("n"))
+    d = d.select("_s_key", parts.alias("_s_parts"))
 
-    def overlapping(c: Column, i: Column) -> Column:
-        tail = F.when(i == 0, "").otherwise(F.right(F.get("_s_cores", i - 1), F.lit(overlap))) if overlap else F.lit("")
-        return F.regexp_replace(tail, r"(?s)\A.*?\s+(?=\S)", "")
+    def backed(z: Column) -> Column:
+        back = F.regexp_replace(F.right(z["b"], F.lit(overlap)), r"(?s)\A.*?\s+(?=\S)", "") if overlap else F.lit("")
+        return F.struct(z["c"].alias("c"), z["s"].alias("s"), back.alias("b"), z["n"].alias("n"))
 
-    d = d.select("_s_key", "_s_cores", starts.alias("_s_starts"), F.transform("_s_cores", overlapping).alias("_s_backs"))
+    def piece(z: Column, i: Column) -> Column:
+        return F.struct(i.cast("int").alias("piece_no"), z["n"].alias("n_pieces"), (z["s"] - F.length(z["b"])).alias("start_pos"), (z["s"] + F.length(z["c"])).alias("end_pos"), F.concat(z["b"], z["c"]).alias("piece"))
 
-    def piece(c: Column, i: Column) -> Column:
-        start, back = F.get("_s_starts", i), F.get("_s_backs", i)
-        return F.struct(i.cast("int").alias("piece_no"), (start - F.length(back)).alias("start_pos"), (start + F.length(c)).alias("end_pos"), F.concat(back, c).alias("piece"))
-
-    return d.select(F.col("_s_key").alias(key), F.transform("_s_cores", piece).alias("pieces"))
+    return d.select(F.col("_s_key").alias(key), F.transform(F.transform("_s_parts", backed), piece).alias("pieces"))
