@@ -1,23 +1,26 @@
-"""Queries of the core, by name, with the SQL that gives the same rows."""
+"""Queries of the core, by name, with the SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from tarrafa import relational
 from tarrafa.operators import timestamps
 from tarrafa.session import table
 
-QUERIES, SQL = {}, {}
+QUERIES, SQL = dict(relational.QUERIES), dict(relational.SQL)
 
 
-def p1_found(spark, sf_dir):
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     articles = table(spark, sf_dir, "g1_articles", "url", "first_seen_at", *timestamps.FIELDS)
     return timestamps.normalise_articles(articles, table(spark, sf_dir, "edition_zones"))
 
 
-def p1_zones(spark, sf_dir):
+def p1_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The zone of each edition as its articles alone tell it, beside the given one."""
     articles = table(spark, sf_dir, "g1_articles", "url", "first_seen_at", *timestamps.FIELDS)
     found = timestamps.estimate_zones(timestamps.unzoned_times(timestamps.parsed_fields(articles)), "edition", "local", "seen_micros")
     return found.join(table(spark, sf_dir, "edition_zones").withColumnRenamed("time_zone", "given_zone"), "edition", "left")
 
 
-QUERIES["p1_found"], QUERIES["p1_zones"] = p1_found, p1_zones
+QUERIES |= {f.__name__: f for f in (p1_found, p1_zones)}
