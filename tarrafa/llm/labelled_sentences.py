@@ -18,6 +18,7 @@ Custou R$ 3.400.| 2017 foi pior.| Foi em 1992.| A lei mudou em 2003.| "Ninguém
 Os dados estão em www.casa.example.br/v2.1/base.csv desde maio.| Escreva para ana@casa.example até as 9h.| A sala é a 12.| Sim.
 O caso acabou.|Segundo Rita, foi tarde.| Tudo parou.|A chuva voltou.| Era o fim.|"Vamos", disse ela.| Nada mudou!|Ninguém veio.
 A seca é de 2009.| J. R. Melo saiu.| Custou R$ 1.016,81.| J. L. Paz llegó.| El gasto fue de $ 874.233.| EE. UU. importó trigo.| Nadie vino.| J. L. Paz tampoco.| Viva Rita!| J. R. Melo saiu.| Quem viu?| A. B. Lima viu.
+Pois é...| Talvez amanhã.| Quem sabe…| Acabou tudo.| Hum...| Certo.| I see...| Perhaps tomorrow.| Bueno...| Vamos.
 1. Abrir a porta.
 2. Fechar a janela.
 12. Voltar para casa.
@@ -35,7 +36,7 @@ Compraron arroz, aceite, sal, etc.| El gasto fue de $ 12.300.| El pág. 12 del i
 La compañía S. A. cerró.| Vive en EE. UU.| Su hermana también.| Pregunte por D. Juan.| El art. 3 cambió.| Llovió (¡mucho!) ayer.
 Мэрия г. Томска открыла мост.| В 2009 г. урожай вырос на 9.5 %.| Цена 12 млн руб. в мае.| Хватит!| Кто заплатит?| Никто не ответил.
 Дождь затронул 9 семей, т. е. 40 человек.| А. Б. Иванов живёт на ул. Мира, д. 5.| «Работы не остановятся.| Срок назначен», сказал Петров.
-Это было в 2001 г.| Мэр уехал.| Стоит 5 руб.| Дорого.| И т. д.| Он ушёл.| Проф. Орлов приехал.| См. стр. 12.| Подождите... он идёт.
+Это было в 2001 г.| Мэр уехал.| Завод открыли в 1985 г.| Закрыли его позже.| Он родился в 1950 г.| Умер в Туле.| Стоит 5 руб.| Дорого.| И т. д.| Он ушёл.| Проф. Орлов приехал.| См. стр. 12.| Подождите... он идёт.
 أعلنت البلدية عن بناء جسر بكلفة 3.5 مليون.| لم يجب أحد.| قال د. سامي إن المطر أضر بالناس.| «لن نتوقف.| الموعد ثابت»، قال نور.
 هل سيفتح الطريق؟| لم يجب أحد.| شارك الناس في المهرجان!| انخفض الإنتاج بنسبة 2.5٪ في تالاب.| قال أ. نور كلمة.
 पैसा कौन देगा?| किसी ने जवाब नहीं दिया।| डॉ. राम ने कहा कि पुल मई में खुलेगा।| “काम नहीं रुकेगा।| समय तय है”, राम ने कहा।| बहुत हुआ!| लोग सड़क पर आए।
