@@ -4,8 +4,10 @@ Every hash is a single random projection of the unit vector. Two uses are made o
 
 * **Routing.** Rows near in all projections meet in one cell. Cells are the neighbourhoods of leaders: rows of a
   bounded sample that are unlike every leader before them. Rows unlike all leaders are sampled again, for
-  a bounded number of rounds, and add leaders of their own. Each row goes to its ``probes`` nearest cells, so
-  all rows are indexed and all are queries.
+  a bounded number of rounds, and add leaders of their own. Neighbourhoods of few rows are joined with the
+  nearest ones until a cell is worth a task's while. Each row goes to the cells of its ``probes`` nearest
+  leaders, so all rows are indexed and all are queries; the number of probes is the least at which the
+  sample's own nearest neighbours meet often enough (``MEET``), so it grows where the data has no clusters.
 * **Collision counting** inside a cell. Each projection has its array of the cell's rows in sorted order; a
   query opens a window around its own value in every array, counts for each row in how many windows it lies,
   and verifies (exactly) those that reach the collision threshold. Virtual rehashing widens all windows
@@ -37,7 +39,10 @@ from tarrafa.session import checkpointed, small
 ROUTE, COUNT, SEED = 256, 48, 11
 #: Rows of a sample at most (bounds what the driver holds), least similarity to a leader, rounds of sampling.
 SAMPLE, ALIKE, ROUNDS, ORPHANS = 40_000, 0.5, 3, 0.02
-PROBES, CELL_ROWS, COPIES = 2, 4096, 64
+#: Rows that a cell should have and may have before it is searched in blocks; copies indexed as they are.
+LEAST_ROWS, CELL_ROWS, COPIES = 1024, 4096, 64
+#: Probes to choose from, and the share of neighbours in the sample that must meet in a cell.
+PROBES, MEET, TRIALS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64), 0.98, 400
 #: Half a window is this often the radius; the share of windows that must hold a row.
 HALF_WINDOW, THRESHOLD = 1.36, 0.70
 RADII = [0.35, 0.5, 0.65, 0.8, 0.95, 1.15, 1.4, 4.0]
@@ -91,19 +96,58 @@ def leaders(x: np.ndarray, known: np.ndarray, alike: float = ALIKE, block: int =
 
 
 def route(u: np.ndarray, table: np.ndarray, a: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
-    """(cells, similarity to the nearest leader) of unit vectors."""
+    """(numbers of the nearest leaders, nearest first, and the similarity to the nearest) of unit vectors."""
     h = u @ a
     h /= np.linalg.norm(h, axis=1, keepdims=True)
-    cells, best = np.empty((len(u), min(probes, len(table))), np.int32), np.empty(len(u), np.float32)
-    for i in range(0, len(u), 1024):
+    return nearest_leaders(h, table, probes)
+
+
+def nearest_leaders(h: np.ndarray, table: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    probes = min(probes, len(table))
+    near, best = np.empty((len(h), probes), np.int32), np.empty(len(h), np.float32)
+    for i in range(0, len(h), 1024):
         s = h[i : i + 1024] @ table.T
-        best[i : i + 1024] = s.max(axis=1)
-        if cells.shape[1] == 1:
-            cells[i : i + 1024, 0] = s.argmax(axis=1)
+        if probes == 1:
+            p = s.argmax(axis=1)[:, None]
         else:
-            p = np.argpartition(-s, cells.shape[1] - 1, axis=1)[:, : cells.shape[1]]
-            cells[i : i + 1024] = p
-    return cells, best
+            p = np.argpartition(-s, probes - 1, axis=1)[:, :probes]
+            p = np.take_along_axis(p, np.argsort(-np.take_along_axis(s, p, axis=1), axis=1, kind="stable"), axis=1)
+        near[i : i + 1024] = p
+        best[i : i + 1024] = np.take_along_axis(s, p[:, :1], axis=1)[:, 0]
+    return near, best
+
+
+def joined_cells(table: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
+    """The cell of each leader: the largest one left takes in its nearest ones left until ``least`` rows are together."""
+    cell, left, number = np.full(len(table), -1, np.int32), np.ones(len(table), bool), 0
+    for lead in np.argsort(-sizes, kind="stable"):
+        if not left[lead]:
+            continue
+        rest = np.flatnonzero(left)
+        order = rest[np.argsort(-(table[rest] @ table[lead]), kind="stable")]
+        take = order[: int(np.searchsorted(np.cumsum(sizes[order]), least)) + 1]
+        cell[take], left[take] = number, False
+        cell[lead], left[lead] = number, False
+        number += 1
+    return cell
+
+
+def enough_probes(x: np.ndarray, table: np.ndarray, cell: np.ndarray, k: int = 5, meet: float = MEET) -> int:
+    """The least number of probes at which a sample's nearest neighbours share a cell often enough."""
+    if len(x) < 2 or cell.max(initial=0) == 0:
+        return 1
+    q = np.random.default_rng(SEED).permutation(len(x))[:TRIALS]
+    s = x[q] @ x.T
+    s[np.arange(len(q)), q] = -np.inf
+    k = min(k, len(x) - 1)
+    near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    mine = cell[nearest_leaders(x[q], table, PROBES[-1])[0]]
+    theirs = cell[nearest_leaders(x[near.ravel()], table, PROBES[-1])[0]].reshape(len(q), k, -1)
+    for probes in PROBES:
+        met = (mine[:, None, :probes, None] == theirs[:, :, None, :probes]).any(axis=(2, 3))
+        if met.mean() >= meet:
+            return probes
+    return PROBES[-1]
 
 
 def search(ids: np.ndarray, q: np.ndarray, indexed: np.ndarray, asked: np.ndarray, a: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,22 +224,28 @@ def _hash(q: np.ndarray) -> np.ndarray:
 class Index:
     """Routing tables, fitted on bounded samples of (id, vector)."""
 
-    def __init__(self, vectors: DataFrame, dims: int, probes: int = PROBES, sample: int = SAMPLE, rounds: int = ROUNDS, cell_rows: int = CELL_ROWS):
-        self.vectors, self.dims, self.probes, self.cell_rows = vectors, dims, probes, cell_rows
+    def __init__(self, vectors: DataFrame, dims: int, k: int = 5, probes: int | None = None, sample: int = SAMPLE, rounds: int = ROUNDS, least_rows: int = LEAST_ROWS, cell_rows: int = CELL_ROWS):
+        self.vectors, self.dims, self.cell_rows = vectors, dims, cell_rows
         self.a = projections(dims)
         sc = vectors.sparkSession.sparkContext
         n = vectors.count()
         share = min(1.0, sample / max(n, 1))
         picked = vectors.where(F.pmod(F.xxhash64(F.lit(SEED), "_id"), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20))))
-        table = leaders(self._projected(picked), np.zeros((0, ROUTE), np.float32))
-        self.cells: dict[int, int] = {}
+        first = self._projected(picked)
+        table = leaders(first, np.zeros((0, ROUTE), np.float32))
         self.table = sc.broadcast(table)
         for turn in range(rounds):
-            self.cells, orphans, rows, x = self._survey(sample if turn + 1 < rounds else 0)
+            led, orphans, rows, x = self._survey(sample if turn + 1 < rounds else 0)
             if orphans <= ORPHANS * max(rows, 1) or not len(x):
                 break
             table = leaders(x, table)
             self.table = sc.broadcast(table)
+        sizes = np.array([led.get(i, 0) for i in range(len(table))], np.int64)
+        cell = joined_cells(table, sizes, least_rows)
+        self.cell = sc.broadcast(cell)
+        self.probes = probes or enough_probes(first, table, cell, k)
+        per_cell = np.bincount(cell, weights=sizes, minlength=1)
+        self.blocks = {int(c): math.ceil(per_cell[c] / cell_rows) for c in np.flatnonzero(per_cell > cell_rows)}
 
     def _projected(self, vectors: DataFrame) -> np.ndarray:
         """The sample's projections, at 2 bytes a value, to the driver; its size is bounded by ``sample``."""
@@ -212,8 +262,8 @@ class Index:
         return np.frombuffer(b"".join(rows), np.float16).reshape(-1, ROUTE).astype(np.float32)
 
     def _survey(self, sample: int) -> tuple[dict[int, int], int, int, np.ndarray]:
-        """One pass: rows per cell (summed per task first), rows unlike all leaders, and a sample of those."""
-        dims, a, table, probes = self.dims, self.a, self.table, self.probes
+        """One pass: rows per leader (summed per task first), rows unlike all leaders, and a sample of those."""
+        dims, a, table = self.dims, self.a, self.table
         parts = max(1, self.vectors.rdd.getNumPartitions())
         per_task = math.ceil(sample / parts)
 
@@ -226,7 +276,7 @@ class Index:
                 if not len(q):
                     continue
                 u = unit(q)
-                cells, best = route(u, table.value, a, probes)
+                cells, best = route(u, table.value, a, 1)
                 count += np.bincount(cells.ravel(), minlength=len(count))
                 rows += len(q)
                 odd = np.flatnonzero(best < ALIKE)
@@ -241,7 +291,7 @@ class Index:
             yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(number, pa.int64()), pa.array([*[None] * (len(full) + 2), *kept], pa.binary())], names=["cell", "n", "h"])
 
         out = checkpointed(self.vectors.mapInArrow(run, "cell int, n long, h binary"))
-        # One row per cell (at most as many as leaders) and the bounded sample come to the driver.
+        # One row per leader (at most as many as rows were sampled) and the bounded sample come to the driver.
         sums = {r["cell"]: r["n"] for r in out.where("cell >= -2").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
         rows, orphans = sums.pop(-2, 0), sums.pop(-1, 0)
         x = out.where("cell = -3").select("h").toArrow().column("h").to_pylist() if sample and orphans > ORPHANS * max(rows, 1) else []
@@ -249,8 +299,7 @@ class Index:
 
     def routed(self, hashed_only: bool = False) -> DataFrame:
         """(_cell, _index_block, _query_block, _role, _id, _h, _vector); role 1 is indexed, 2 asked, 3 both."""
-        dims, a, table, probes = self.dims, self.a, self.table, self.probes
-        blocks = {c: math.ceil(n / self.cell_rows) for c, n in self.cells.items() if n > self.cell_rows}
+        dims, a, table, cell, probes, blocks = self.dims, self.a, self.table, self.cell, self.probes, self.blocks
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -263,11 +312,11 @@ class Index:
                     if hashed_only:
                         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h)], names=["_id", "_h"])
                         continue
-                    cells, _ = route(unit(q), table.value, a, probes)
+                    near, _ = route(unit(q), table.value, a, probes)
                     payload = [r.tobytes() for r in q]
                     out: list[tuple] = []
-                    for i, cs in enumerate(cells):
-                        for c in cs.tolist():
+                    for i, cs in enumerate(cell.value[near].tolist()):
+                        for c in dict.fromkeys(cs):
                             n = blocks.get(c, 1)
                             if n == 1:
                                 out.append((c, 0, 0, 3, i))
@@ -337,7 +386,7 @@ class Index:
 def nearest(df: DataFrame, key: str, vector: str, k: int = 5, dims: int = 768, **options) -> DataFrame:
     """(key, neighbour, similarity): the k nearest vectors of every usable vector."""
     vectors = df.select(F.col(key).cast("long").alias("_id"), F.col(vector).alias("_e")).where("_id is not null and _e is not null")
-    out = Index(vectors, dims, **options).neighbours(k)
+    out = Index(vectors, dims, k, **options).neighbours(k)
     return out.select(F.col("_id").alias(key), F.col("_nb").alias("neighbour"), F.col("_sim").alias("similarity"))
 
 

@@ -39,7 +39,7 @@ def test_neighbours(spark):
         vectors[i] = vectors[i - 1500] * np.float32(4)
     bad = [(9001, None), (9002, []), (9003, [1.0] * 31), (9004, [0.0] * 32), (9005, [float("nan")] * 32), (9006, [float("inf")] + [1.0] * 31), (9007, [None] * 32)]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()] + bad, "id long, e array<float>").withColumn("_id", F.lit("clash"))
-    got = set(rows(neighbours.pairs(neighbours.nearest(df, "id", "e", 5, 32), "id")))
+    got = set(rows(neighbours.pairs(neighbours.nearest(df, "id", "e", 5, 32, least_rows=100), "id")))
     want = brute(vectors, 5)
     assert len(got & want) >= 0.97 * len(want) and len(got & want) >= 0.97 * len(got)
 
@@ -50,12 +50,19 @@ def test_neighbours_of_many_copies_and_hot_cells(spark):
     many = [(i, copy) for i in range(0, 2000, 2)]
     rest = [(i, (np.array(copy) + 0.05 * rng.standard_normal(16)).astype(np.float32).tolist()) for i in range(1, 600, 2)]
     df = spark.createDataFrame(many + rest, "id long, e array<float>")
-    out = neighbours.nearest(df, "id", "e", 3, 16, cell_rows=64).groupBy("id").agg(F.array_sort(F.collect_list("neighbour")).alias("n"), F.count("*").alias("c"))
+    out = neighbours.nearest(df, "id", "e", 3, 16, least_rows=32, cell_rows=64).groupBy("id").agg(F.array_sort(F.collect_list("neighbour")).alias("n"), F.count("*").alias("c"))
     got = {r["id"]: r["n"] for r in out.collect()}
     assert len(got) == 1300 and all(len(v) == 3 for v in got.values())
     assert got[0] == [2, 4, 6] and got[2] == [0, 4, 6] and got[1998] == [0, 2, 4]
 
 
+def test_neighbours_without_clusters(spark):
+    v = np.random.default_rng(8).standard_normal((2500, 24)).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, e array<float>")
+    got, want = set(rows(neighbours.pairs(neighbours.nearest(df, "id", "e", 5, 24, least_rows=300), "id"))), brute(dict(enumerate(v)), 5)
+    assert len(got & want) >= 0.9 * len(want)
+
+
 def test_neighbours_of_nothing(spark):
     assert neighbours.nearest(spark.createDataFrame([], "id long, e array<float>"), "id", "e", 5, 8).count() == 0
     assert rows(neighbours.nearest(spark.createDataFrame([(1, [1.0, 0.0])], "id long, e array<float>"), "id", "e", 5, 2)) == []
