@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarrafa.functions.url import site
+from tarrafa.session import checkpointed
 
 MIN_PAGES = 6
 #: Most page numbers in one container of a bitmap.
@@ -33,7 +34,7 @@ NUMBERING_ROWS = 1 << 18
 
 
 def normalised(line: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_replace(line, r"(?U)[\s\x{85}\p{Z}]+", " "), r"^ | $", ""))
+    return F.lower(F.trim(F.regexp_replace(line, r"[\s\x1c-\x1f\x{85}\p{Z}]+", " ")))
 
 
 def text_lines(df: DataFrame, key: str, url: str, text: str) -> DataFrame:
@@ -49,10 +50,18 @@ def text_lines(df: DataFrame, key: str, url: str, text: str) -> DataFrame:
     return lines.select("_key", "_site", "_page", (F.col("_pos") + 1).alias("line_no"), F.xxhash64(normalised(F.col("_raw"))).alias("_line"), F.xxhash64("_raw").alias("_form")).where(F.col("_line") != F.xxhash64(F.lit("")))
 
 
+def in_many_rows(lines: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """The rows of ``text_lines`` whose line stands in at least ``min_pages`` rows of its site.
+
+    Written out, as two later steps need them and the texts shouldn't be taken apart again.
+    """
+    often = lines.groupBy("_site", "_line").agg(F.count("*").alias("_rows")).where(F.col("_rows") >= min_pages).select("_site", "_line")
+    return checkpointed(lines.join(often, ["_site", "_line"], "left_semi"))
+
+
 def frequent_lines(lines: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(_site, _line, pages) of the lines of ``text_lines`` that stand on at least ``min_pages`` pages of their site."""
-    often = lines.groupBy("_site", "_line").agg(F.count("*").alias("_rows")).where(F.col("_rows") >= min_pages).select("_site", "_line")
-    kept = lines.join(often, ["_site", "_line"], "left_semi").select("_site", "_line", "_form", "_page").distinct()
+    kept = lines.select("_site", "_line", "_form", "_page").distinct()
 
     # Dense page numbers: a large site is numbered in several buckets at once.
     pages = kept.select("_site", "_page").distinct()
@@ -68,7 +77,7 @@ def frequent_lines(lines: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
 
 def repeated_lines(df: DataFrame, key: str = "id", url: str = "sourceurl", text: str = "article_content", min_pages: int = MIN_PAGES) -> DataFrame:
     """(key, line_no, pages) of each line to be removed; ``line_no`` counts from 1, blank lines included."""
-    lines = text_lines(df, key, url, text)
+    lines = in_many_rows(text_lines(df, key, url, text), min_pages)
     found = frequent_lines(lines, min_pages)
     return lines.join(found, ["_site", "_line"]).select(F.col("_key").alias(key), "line_no", "pages")
 
