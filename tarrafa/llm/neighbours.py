@@ -55,13 +55,14 @@ def projections(dims: int, count: int = ROUTE, seed: int = SEED) -> np.ndarray:
 def unit_int16(batch: pa.RecordBatch, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """(row numbers, int16 vectors) of the usable rows of a batch (id, embedding)."""
     e = batch.column(1)
-    lengths = np.diff(np.asarray(e.offsets)) if len(e) else np.zeros(0, int)
-    ok = (lengths == dims) & ~e.is_null().to_numpy(zero_copy_only=False)
+    offsets = np.asarray(e.offsets) if len(e) else np.zeros(1, int)
+    ok = (np.diff(offsets) == dims) & ~e.is_null().to_numpy(zero_copy_only=False)
     rows = np.flatnonzero(ok)
     if not len(rows):
         return rows, np.zeros((0, dims), np.int16)
-    values = np.asarray(e.values.cast(pa.float64()).fill_null(float("nan")))
-    v = values[np.asarray(e.offsets)[rows][:, None] + np.arange(dims)]
+    # A slice's values are its part of the whole batch's.
+    values = e.values.slice(offsets[0], offsets[-1] - offsets[0]).cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False)
+    v = values[(offsets[rows] - offsets[0])[:, None] + np.arange(dims)]
     with np.errstate(invalid="ignore", over="ignore"):
         top = np.abs(v).max(axis=1)
     fine = np.isfinite(top) & (top > 0)
@@ -69,6 +70,13 @@ def unit_int16(batch: pa.RecordBatch, dims: int) -> tuple[np.ndarray, np.ndarray
     return rows, np.rint(v * 32767).astype(np.int16)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Small batches, so that the arrays made of one stay small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def unit(q: np.ndarray) -> np.ndarray:
     x = q.astype(np.float32)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -252,7 +260,7 @@ class Index:
         dims, a = self.dims, self.a
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches):
                 _, q = unit_int16(b, dims)
                 h = unit(q) @ a
                 h /= np.maximum(np.linalg.norm(h, axis=1, keepdims=True), 1e-12)
@@ -271,7 +279,7 @@ class Index:
             count = np.zeros(len(table.value), np.int64)
             orphans = rows = 0
             kept: list[bytes] = []
-            for b in batches:
+            for b in slices(batches):
                 _, q = unit_int16(b, dims)
                 if not len(q):
                     continue
@@ -302,30 +310,29 @@ class Index:
         dims, a, table, cell, probes, blocks = self.dims, self.a, self.table, self.cell, self.probes, self.blocks
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for b in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
-                    rows, q = unit_int16(b, dims)
-                    if not len(rows):
-                        continue
-                    ids = np.asarray(b.column(0))[rows]
-                    h = _hash(q)
-                    if hashed_only:
-                        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h)], names=["_id", "_h"])
-                        continue
-                    near, _ = route(unit(q), table.value, a, probes)
-                    payload = [r.tobytes() for r in q]
-                    out: list[tuple] = []
-                    for i, cs in enumerate(cell.value[near].tolist()):
-                        for c in dict.fromkeys(cs):
-                            n = blocks.get(c, 1)
-                            if n == 1:
-                                out.append((c, 0, 0, 3, i))
-                                continue
-                            ib, qb = int(h[i] ^ ids[i]) % n, int(ids[i] * 2654435761 >> 7) % n
-                            out += [(c, ib, x, 3 if x == qb else 1, i) for x in range(n)]
-                            out += [(c, x, qb, 2, i) for x in range(n) if x != ib]
-                    c, ib, qb, role, i = (list(x) for x in zip(*out))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(ib, pa.int32()), pa.array(qb, pa.int32()), pa.array(role, pa.int8()), pa.array(ids[i]), pa.array(h[i]), pa.array([payload[x] for x in i], pa.binary())], names=["_cell", "_index_block", "_query_block", "_role", "_id", "_h", "_vector"])
+            for b in slices(batches):
+                rows, q = unit_int16(b, dims)
+                if not len(rows):
+                    continue
+                ids = np.asarray(b.column(0))[rows]
+                h = _hash(q)
+                if hashed_only:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h)], names=["_id", "_h"])
+                    continue
+                near, _ = route(unit(q), table.value, a, probes)
+                payload = [r.tobytes() for r in q]
+                out: list[tuple] = []
+                for i, cs in enumerate(cell.value[near].tolist()):
+                    for c in dict.fromkeys(cs):
+                        n = blocks.get(c, 1)
+                        if n == 1:
+                            out.append((c, 0, 0, 3, i))
+                            continue
+                        ib, qb = int(h[i] ^ ids[i]) % n, int(ids[i] * 2654435761 >> 7) % n
+                        out += [(c, ib, x, 3 if x == qb else 1, i) for x in range(n)]
+                        out += [(c, x, qb, 2, i) for x in range(n) if x != ib]
+                c, ib, qb, role, i = (list(x) for x in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(ib, pa.int32()), pa.array(qb, pa.int32()), pa.array(role, pa.int8()), pa.array(ids[i]), pa.array(h[i]), pa.array([payload[x] for x in i], pa.binary())], names=["_cell", "_index_block", "_query_block", "_role", "_id", "_h", "_vector"])
 
         kind = "_id long, _h long" if hashed_only else "_cell int, _index_block int, _query_block int, _role byte, _id long, _h long, _vector binary"
         return self.vectors.mapInArrow(run, kind)
