@@ -71,6 +71,41 @@ def _entities(a) -> None:
     extract_entities(todo, "url", "text_content").write.mode("append").parquet(a.out)
 
 
+def _queue(a) -> None:
+    from datetime import datetime
+
+    from tarrafa.plans.backfill import fetch_queue
+
+    queue = fetch_queue(session().read.parquet(a.events), datetime.fromisoformat(a.now) if a.now else datetime.now(), a.limit, a.max_attempts)
+    queue.orderBy("place").write.mode("overwrite").parquet(a.out)
+
+
+def _crawl(a) -> None:
+    """Sitemap files under a directory into the articles; with --dry-run only the seeds are counted."""
+    from datetime import date
+
+    from pyspark.sql import functions as F
+
+    from tarrafa.operators.upsert import read_snapshot, write_snapshot
+    from tarrafa.plans.crawl import crawl, newest_sitemaps, seeds
+    from tarrafa.schemas import ARTICLES
+    from tarrafa.sources.readers import read_xml, sitemap_index, sitemap_urlset
+
+    spark = session()
+    xml = read_xml(spark, a.sitemaps)
+    index = newest_sitemaps(sitemap_index(xml), date.fromisoformat(a.date) if a.date else None, a.max_sitemaps)
+    name = F.element_at(F.split("path", "/"), -1)
+    chosen = xml.withColumn("file", name).join(index.select(F.element_at(F.split("loc", "/"), -1).alias("file"), "loc", "lastmod").withColumnsRenamed({"loc": "sitemap_url", "lastmod": "sitemap_lastmod"}), "file")
+    stored = read_snapshot(spark, a.articles)
+    stored = spark.createDataFrame([], ARTICLES) if stored is None else stored
+    entries = sitemap_urlset(chosen)
+    found = seeds(entries, F.lit(a.sitemaps), F.lit(None).cast("string"), F.current_timestamp())
+    articles, todo = crawl(stored, found, a.max_articles, a.reprocess == "yes")
+    print(json.dumps({"pending": todo.count()}))
+    if a.dry_run != "yes":
+        write_snapshot(articles, a.articles)
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="tarrafa", description=__doc__)
     sub = parser.add_subparsers(required=True)
@@ -86,6 +121,8 @@ def main(argv: list[str] | None = None) -> None:
     command("search", _search, chunks=None, articles=None, query=None, **page)
     command("serve", _serve, chunks=None, articles=None, host=("127.0.0.1",), port=(8000,))
     command("ingest-events", _ingest, landing=None, out=None, checkpoint=None, files_per_batch=(16,))
+    command("backfill-queue", _queue, events=None, out=None, limit=(None, int), max_attempts=(4,), now=(None, str))
+    command("crawl", _crawl, sitemaps=None, articles=None, date=(None, str), max_sitemaps=(None, int), max_articles=(None, int), dry_run=("no",), reprocess=("no",))
     command("populate-dims", _dims, out=None)
     command("populate-chunks", _chunks, articles=None, out=None)
     command("populate-embeddings", _embeddings, chunks=None, out=None)

@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Embed = Callable[[list[str]], list[list[float]]]
 Extract = Callable[[str], list[tuple[str, str]]]
@@ -79,6 +80,31 @@ def title_prompt(title: Column) -> Column:
     return F.concat(F.lit("Reescreva o título: "), title)
 
 
+def summary_prompt(text: Column) -> Column:
+    return F.concat(F.lit("Resuma o texto a seguir: "), text)
+
+
+def selection_prompt(df: DataFrame, title: str, question: str) -> DataFrame:
+    """(prompt): one text that asks which of all titles answers a question; titles in their order.
+
+    Titles are candidates of one search, a few dozen; the caller bounds them.
+    """
+    titles = df.where(F.col(title).isNotNull()).agg(F.array_sort(F.collect_list(title)).alias("t"))
+    return titles.select(F.concat(F.lit(f"{question}\n"), F.array_join("t", "\n")).alias("prompt"))
+
+
+def apply_text(df: DataFrame, column: str, out: str, model: Callable[[list[str]], list[str]]) -> DataFrame:
+    """Adds what a model of the caller (summary, title rewrite, answer) makes of each text; null stays null."""
+
+    @F.pandas_udf(T.StringType())
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            made = iter(model(s.dropna().tolist()))
+            yield pd.Series([None if missing else next(made) for missing in s.isna()], dtype=object)
+
+    return df.withColumn(out, run(F.col(column)))
+
+
 def continuity(similarity: Column, common: Column, least_similarity: float = 0.5, least_common: int = 2) -> Column:
     """'Sim' or 'Não': whether one article goes on where another ends, by a rule instead of a model."""
     return F.when((similarity >= least_similarity) & (common >= least_common), "Sim").otherwise("Não")

@@ -11,14 +11,14 @@ def first_per_key(df: DataFrame, keys: list[str], *order: str | Column) -> DataF
 
     Rows that tie in ``order`` are told apart by all their columns, so the result is always the same.
     """
-    return _extreme(df, keys, order, F.min_by)
+    return _extreme(df, keys, order, F.min)
 
 
 def last_per_key(df: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:
-    return _extreme(df, keys, order, F.max_by)
+    return _extreme(df, keys, order, F.max)
 
 
 def _extreme(df: DataFrame, keys: list[str], order, pick) -> DataFrame:
-    row = F.struct(*[df[c] for c in df.columns])
-    place = F.struct(*[(df[o] if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)], *[df[c].alias(f"c{i}") for i, c in enumerate(df.columns)])
-    return df.groupBy(*keys).agg(pick(row, place).alias("_row")).select("_row.*")
+    # The row itself is the end of what is compared, so it travels once.
+    place = F.struct(*[(df[o] if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)], F.struct(*[df[c] for c in df.columns]).alias("row"))
+    return df.groupBy(*keys).agg(pick(place).alias("_place")).select("_place.row.*")

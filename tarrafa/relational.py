@@ -179,6 +179,21 @@ def vector_functions(spark, d):
     return both.select("vec_a", "vec_b", F.round(vector.cosine(F.col("x"), F.col("y")), 6).alias("similarity"), F.round(vector.l2(F.col("x"), F.col("y")), 6).alias("distance"))
 
 
+@query(f"SELECT date_published, count(*) AS n FROM g1_articles WHERE date_published IS NOT NULL AND {_DATE} IS NULL GROUP BY 1")
+def raw_sql(spark, d):
+    """SQL over registered views: dates that aren't ISO dates."""
+    from tarrafa.sources.tables import register
+
+    register(spark, d, ["g1_articles"])
+    return spark.sql(r"SELECT date_published, count(*) AS n FROM g1_articles WHERE date_published IS NOT NULL AND try_cast(regexp_extract(date_published, '^\\s*(\\d{4}-\\d{2}-\\d{2})', 1) AS DATE) IS NULL GROUP BY 1")
+
+
+@query("""SELECT url, '{"title":' || to_json(title)::VARCHAR || ',"url":' || to_json(url)::VARCHAR || '}' AS body FROM g1_articles WHERE title IS NOT NULL AND title NOT LIKE '%/%'""")
+def json_rows(spark, d):
+    """Response rows as JSON."""
+    return articles(spark, d, "url", "title").where("title is not null and title not like '%/%'").select("url", F.to_json(F.struct("title", "url")).alias("body"))
+
+
 # Joins and filters
 
 
