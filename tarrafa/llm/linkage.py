@@ -161,45 +161,77 @@ def pages(df: DataFrame, order: list[str], url: str = "sourceurl", threshold: fl
 
 
 class PageIndex:
-    """What was accepted so far, as Parquet tables under ``path``: one directory per generation.
+    """What was accepted so far, as Parquet tables under ``path``.
 
-    ``ingest`` takes one batch, returns its rows with ``is_duplicate`` and ``cluster``, and writes the
-    batch's own variants as a new generation; older generations are read for the blocking keys probed, not
-    rewritten. Batches must arrive in their order.
+    Per batch, a generation of *keys* (blocking key, variant) and *variants*, both partitioned by hash, so that a small
+    batch reads few files; and one table of *moved* clusters, the union-find mapping of old representatives to
+    their present ones, written anew per batch (it holds merged clusters only). A batch probes the keys, fetches the
+    variants found, and touches the clusters of those alone. An index opened on a path goes on after the last
+    batch that was written to its end; batches must arrive in their order.
     """
 
+    BUCKETS = 64
+
     def __init__(self, spark, path: str, order: list[str], url: str = "sourceurl", threshold: float = THRESHOLD):
         self.spark, self.path, self.order, self.url, self.threshold = spark, path.rstrip("/"), order, url, threshold
         self.generation = 0
-
-    def history(self) -> DataFrame | None:
-        if not self.generation:
-            return None
-        return self.spark.read.parquet(*[f"{self.path}/generation={i}" for i in range(self.generation)])
+        while self._exists(f"moved/{self.generation}/_SUCCESS"):
+            self.generation += 1
+
+    def _exists(self, name: str) -> bool:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return at.getFileSystem(conf).exists(at)
+
+    def _read(self, kind: str) -> DataFrame:
+        parts = [f"{self.path}/{kind}/{i}" for i in range(self.generation)]
+        frames = [self.spark.read.parquet(p) for p in parts]
+        out = frames[0]
+        for f in frames[1:]:
+            out = out.unionByName(f)
+        return out
+
+    def _bucket(self, column: str) -> Column:
+        return F.pmod(F.col(column), F.lit(self.BUCKETS)).cast("int")
+
+    def probe(self, new: DataFrame) -> DataFrame:
+        """Variants of the history that share a blocking key with new ones, with the clusters they are in now."""
+        keys = new.select(F.explode("_keys").alias("_key")).distinct().withColumn("_bucket", self._bucket("_key"))
+        hit = self._read("keys").join(keys, ["_bucket", "_key"], "left_semi").select("_variant").distinct().withColumn("_bucket", self._bucket("_variant"))
+        found = self._read("variants").join(hit, ["_bucket", "_variant"], "left_semi").drop("_bucket")
+        moved = self.spark.read.parquet(f"{self.path}/moved/{self.generation - 1}")
+        return found.join(moved, F.col("_cluster") == F.col("_from"), "left").withColumn("_cluster", F.coalesce("_to", "_cluster")).drop("_from", "_to")
 
     def ingest(self, batch: DataFrame) -> DataFrame:
-        """(order columns, is_duplicate, cluster) of the batch; cluster is the first variant on the page."""
+        """(order columns, is_duplicate, cluster) of the batch; cluster is the least variant of the page's cluster."""
         new = checkpointed(variants(batch, self.order, self.url, self.threshold))
-        old = self.history()
-        if old is None:
-            seen, pool = new, new.withColumn("_cluster", F.col("_variant"))
-        else:
-            # Only generations' variants with a probed key are read on: a semi-join on the key.
-            keys = new.select(F.explode("_keys").alias("_key")).distinct()
-            touched = old.withColumn("_key", F.explode("_keys")).join(keys, "_key", "left_semi").drop("_key").dropDuplicates(["_variant"])
-            pool = touched.unionByName(new.join(touched, "_variant", "left_anti").withColumn("_cluster", F.col("_variant")))
-            pool = checkpointed(pool)
-            seen = pool.drop("_cluster")
-        found = checkpointed(links(new, seen, self.threshold))
-        earliest = first_on_page(seen.unionByName(new.join(seen, "_variant", "left_anti")), found)
+        own = new.withColumn("_cluster", F.col("_variant"))
+        touched = checkpointed(self.probe(new)) if self.generation else own.limit(0)
+        pool = touched.unionByName(own.join(touched, "_variant", "left_anti"))
+        pool = checkpointed(pool)
+        found = checkpointed(links(new, pool.drop("_cluster"), self.threshold))
+        earliest = first_on_page(pool.drop("_cluster"), found)
         clusters = pool.select("_variant", "_cluster")
         edges = found.select("_a", "_b").union(clusters.where("_variant <> _cluster").select("_variant", "_cluster"))
-        roots = connected(edges) if edges.limit(1).count() else edges.select(F.col("_a").alias("_node"), F.col("_b").alias("_root")).limit(0)
-        named = clusters.join(roots.withColumnRenamed("_node", "_variant"), "_variant", "left").select("_variant", F.coalesce("_root", "_cluster").alias("_cluster"))
-        fresh = new if old is None else new.join(seen.join(old, "_variant", "left_semi"), "_variant", "left_anti")
-        fresh.join(named, "_variant").write.mode("overwrite").parquet(f"{self.path}/generation={self.generation}")
-        self.generation += 1
+        roots = connected(edges)
+        named = checkpointed(clusters.join(roots.withColumnRenamed("_node", "_variant"), "_variant", "left").select("_variant", F.coalesce("_root", "_cluster").alias("_now"), F.col("_cluster").alias("_was")))
+        self._write(new.join(touched, "_variant", "left_anti"), named)
         rows = with_page(batch.select(*self.order, self.url), self.url).select(*self.order, F.xxhash64("_site", "_numbers", F.array_sort("_words")).alias("_variant"))
-        out = rows.join(earliest, "_variant").join(named, "_variant").select(*self.order, (F.struct(*self.order) > F.col("_earliest")).alias("is_duplicate"), F.col("_cluster").alias("cluster"))
+        out = rows.join(earliest, "_variant").join(named, "_variant").select(*self.order, (F.struct(*self.order) > F.col("_earliest")).alias("is_duplicate"), F.col("_now").alias("cluster"))
         return checkpointed(out)
 
+    def _write(self, fresh: DataFrame, named: DataFrame) -> None:
+        at = self.generation
+        keys = fresh.select(F.explode("_keys").alias("_key"), "_variant").withColumn("_bucket", self._bucket("_key"))
+        keys.write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/keys/{at}")
+        kept = fresh.join(named.select("_variant", F.col("_now").alias("_cluster")), "_variant").withColumn("_bucket", self._bucket("_variant"))
+        kept.write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/variants/{at}")
+        changed = named.where("_was <> _now").groupBy(F.col("_was").alias("_from")).agg(F.min("_now").alias("_to"))
+        if at:
+            before = self.spark.read.parquet(f"{self.path}/moved/{at - 1}")
+            again = changed.select(F.col("_from").alias("_to"), F.col("_to").alias("_next"))
+            paths = before.join(again, "_to", "left").select("_from", F.coalesce("_next", "_to").alias("_to"))
+            changed = paths.unionByName(changed.join(before, "_from", "left_anti"))
+        # Written last: the batch counts once this is complete.
+        changed.select("_from", "_to").write.mode("overwrite").parquet(f"{self.path}/moved/{at}")
+        self.generation += 1
