@@ -36,16 +36,35 @@ def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     return tagged.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_in") + 1).cast("long")).drop("_part", "_in", "_before")
 
 
-def streaks(df: DataFrame, pos: str, domain: str = "domain", partition: list[str] | None = None) -> DataFrame:
+def streaks(df: DataFrame, pos: str, domain: str = "domain", partition: list[str] | None = None, block: int = 1 << 16) -> DataFrame:
     """Adds streak: how many rows in a row, up to this one, share its domain; an empty or null domain is always 1.
 
-    ``partition`` bounds what one task sees (a shard of the queue); without it the order is global.
+    With ``partition`` the order is within each of its groups; without it the order is global over whole
+    numbers ``pos``, and is handled in blocks of positions: runs within blocks first, then what each block's first
+    run takes over from the blocks before it, from one row per block.
     """
-    w = Window.partitionBy(*(partition or [])).orderBy(pos)
+    if partition:
+        return _runs(df, pos, domain, partition).drop("_run")
+    d = _runs(df.withColumn("_block", F.floor(F.col(pos) / block)), pos, domain, ["_block"])
+    name = F.coalesce(F.col(domain), F.lit(""))
+    at = lambda pick, value: pick(value, F.col(pos))
+    blocks = d.groupBy("_block").agg(at(F.min_by, name).alias("_first"), at(F.max_by, name).alias("_last"), at(F.max_by, F.col("streak")).alias("_tail"), F.max("_run").alias("_runs"))
+    over = Window.orderBy("_block")
+    blocks = blocks.withColumn("_goes_on", (F.col("_first") != "") & F.col("_first").eqNullSafe(F.lag("_last").over(over)))
+    blocks = blocks.withColumn("_chain", F.sum(F.when(F.col("_goes_on") & (F.col("_runs") == 1), 0).otherwise(1)).over(over))
+    blocks = blocks.withColumn("_end", F.sum("_tail").over(Window.partitionBy("_chain").orderBy("_block")))
+    carried = blocks.select("_block", F.when(F.col("_goes_on"), F.lag("_end").over(over)).otherwise(0).alias("_carry"))
+    out = d.join(carried, "_block")
+    return out.withColumn("streak", F.col("streak") + F.when(F.col("_run") == 1, F.col("_carry")).otherwise(0)).drop("_block", "_run", "_carry")
+
+
+def _runs(df: DataFrame, pos: str, domain: str, keys: list[str]) -> DataFrame:
+    """Adds streak and _run, the number of the run within the keys."""
+    w = Window.partitionBy(*keys).orderBy(pos)
     blank = F.coalesce(F.col(domain), F.lit("")) == ""
-    d = df.withColumn("_new", F.when(blank | ~F.lag(domain).over(w).eqNullSafe(F.col(domain)), 1).otherwise(0))
+    d = df.withColumn("_new", F.when(blank | ~F.lag(domain).over(w).eqNullSafe(F.col(domain)) | (F.row_number().over(w) == 1), 1).otherwise(0))
     d = d.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return d.withColumn("streak", F.row_number().over(Window.partitionBy(*(partition or []), "_run").orderBy(pos))).drop("_new", "_run")
+    return d.withColumn("streak", F.row_number().over(Window.partitionBy(*keys, "_run").orderBy(pos)).cast("long")).drop("_new")
 
 
 def cooldown(df: DataFrame, base: float = 1.5, streak_extra: float = 3.0, streak_from: int = 3, heavy_extra: float = 2.0, heavy_from: int = 20) -> DataFrame:

@@ -107,6 +107,18 @@ def test_streaks(spark):
     assert [r["cooldown_s"] for r in got] == [3.5, 3.5, 3.5, 1.5, 1.5, 3.5, 3.5, 6.5, 1.5]
 
 
+@QUICK
+@given(st.lists(st.sampled_from(["a", "b", "", None]), min_size=1, max_size=20), st.integers(1, 4))
+def test_streaks_in_blocks(spark, domains, block):
+    df = spark.createDataFrame(list(enumerate(domains)), "pos long, domain string")
+    got = [r["streak"] for r in interleave.streaks(df, "pos", block=block).orderBy("pos").collect()]
+    want, last = [], None
+    for d in domains:
+        want.append(want[-1] + 1 if d and d == last else 1)
+        last = d
+    assert got == want
+
+
 def test_first_and_last(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), (None, 5, "z"), (None, 4, "w"), ("a", 1, "y")], "k string, p int, v string")
     assert {(r["k"], r["v"]) for r in dedup.first_per_key(df, ["k"], "p").collect()} == {("a", "y"), (None, "w")}
