@@ -18,9 +18,10 @@ def literal_vector(vector: list[float]) -> Column:
 
 def by_cosine(rows: DataFrame, vector: Column, embedding: str, tie: list, limit: int | None = 100, offset: int = 0) -> DataFrame:
     """Rows by falling similarity, then by ``tie`` (which should end in a unique column)."""
-    scored = rows.withColumn("similarity", cosine(F.col(embedding), vector)).where("similarity is not null")
-    ordered = scored.orderBy(F.desc("similarity"), *tie).offset(offset)
-    return ordered if limit is None else ordered.limit(limit)
+    ordered = rows.withColumn("similarity", cosine(F.col(embedding), vector)).orderBy(F.desc_nulls_last("similarity"), *tie).offset(offset)
+    # Rows without a similarity sort last and are dropped behind the limit: a filter in front of it would have
+    # every similarity computed twice.
+    return (ordered if limit is None else ordered.limit(limit)).where("similarity is not null")
 
 
 def by_l2(rows: DataFrame, vector: Column, embedding: str, tie: list, limit: int | None = None) -> DataFrame:
@@ -37,10 +38,9 @@ def search_chunks(chunks: DataFrame, articles: DataFrame, vector: Column, limit:
     """
     embedded = chunks.join(articles.select(F.col("url").alias("article"), "title", "date_published"), "article")
     tie = [F.desc_nulls_first("date_published"), F.asc("id")]
-    scored = by_cosine(embedded, vector, "embedding", tie, limit=top_k)
     if top_k is not None:
-        scored = scored.orderBy(F.desc("similarity"), *tie)
-    page = scored.offset(offset).limit(limit)
+        embedded = by_cosine(embedded, vector, "embedding", tie, limit=top_k).drop("similarity")
+    page = by_cosine(embedded, vector, "embedding", tie, limit, offset)
     return page.select("article", "id", "chunk", "title", "date_published", "similarity")
 
 
