@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarrafa.llm.tokens import count_tokens
-from tarrafa.session import checkpointed
+from tarrafa.session import checkpointed, small
 
 BLOCK, SHARD_BLOCKS, SEED = 256, 256, 20240607
 #: Tokens of one stream of a source: what one numbering task sees.
@@ -49,10 +49,11 @@ def document_tokens(documents: DataFrame, targets: DataFrame, path: str | None =
 def pack(tokens: DataFrame, block: int = BLOCK, stream_tokens: int = STREAM_TOKENS) -> DataFrame:
     """(source, block_no, doc_id, first_token, n_tokens): the segments of documents that make each block.
 
-    Block numbers are dense within a source, from 0.
+    Block numbers are dense within a source, from 0. ``tokens`` is read more than once, so it should be written out.
     """
     sizes = tokens.groupBy("source").agg(F.sum("n_tokens").alias("_total")).select("source", F.ceil(F.col("_total") / stream_tokens).alias("_streams"))
-    t = tokens.join(sizes, "source").withColumn("_stream", F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), "_streams")).drop("_streams")
+    # One row per named source, of a size that is known once it is written.
+    t = tokens.join(small(checkpointed(sizes)), "source").withColumn("_stream", F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), "_streams")).drop("_streams")
     order = Window.partitionBy("source", "_stream").orderBy(F.xxhash64("doc_id"), "doc_id")
     t = t.withColumn("_end", F.sum("n_tokens").over(order)).withColumn("_start", F.col("_end") - F.col("n_tokens"))
     # Streams of a source are few (its size over stream_tokens); their block counts are summed up in a small window.
@@ -155,7 +156,7 @@ def mix(documents: DataFrame, targets: DataFrame, block: int = BLOCK, shard_bloc
     """
     spark = documents.sparkSession
     goals = targets.where("source is not null").groupBy("source").agg(F.max_by(F.struct("target_share", "max_repeats"), F.coalesce("target_share", F.lit(0.0))).alias("t")).select("source", F.coalesce("t.target_share", F.lit(0.0)).alias("target_share"), F.coalesce("t.max_repeats", F.lit(0)).alias("max_repeats"))
-    packed = checkpointed(pack(document_tokens(documents, goals, path), block))
+    packed = checkpointed(pack(checkpointed(document_tokens(documents, goals, path)), block))
     have = {r["source"]: (r["blocks"], r["tokens"]) for r in packed.groupBy("source").agg((F.max("block_no") + 1).alias("blocks"), F.sum("n_tokens").alias("tokens")).collect()}
     blocks = {s: b for s, (b, _) in have.items()}
     counts = plan(blocks, [tuple(r) for r in goals.select("source", "target_share", "max_repeats").collect()], wanted_blocks)
