@@ -20,5 +20,8 @@ SQL: dict[str, str] = {
         SELECT 'g1_articles' AS item_table, url AS item_key, text_content AS item FROM g1_articles WHERE text_content IS NOT NULL
         UNION ALL SELECT 'g1_chunks', CAST(id AS VARCHAR), chunk FROM g1_chunks WHERE chunk IS NOT NULL""",
     "p7_found": f"WITH {_LINES} SELECT n.id, n.line_no FROM norm n JOIN often o ON n.site = o.site AND n.key = o.key",
+    "p7_cleaned": f"""WITH {_LINES}, kept AS (
+        SELECT n.id, string_agg(n.raw, chr(10) ORDER BY n.line_no) AS text FROM norm n LEFT JOIN often o ON n.site = o.site AND n.key = o.key WHERE o.key IS NULL GROUP BY n.id)
+        SELECT e.id, CASE WHEN e.article_content IS NOT NULL THEN coalesce(k.text, '') END AS article_content FROM gdelt_brazil_events e LEFT JOIN kept k ON k.id = e.id""",
     "p8_decoded": "SELECT doc_id, text FROM documents",
 }
