@@ -17,8 +17,8 @@ def missing_entities(mentions: DataFrame, entities: DataFrame) -> DataFrame:
 def get_or_create(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """All entities, old ones as they are and new ones numbered on from the largest id in the order of (text, type)."""
     new = numbered(missing_entities(mentions, entities), ["text", "type"], "_n")
-    top = entities.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    return entities.select("id", "text", "type").unionByName(new.crossJoin(F.broadcast(top)).select((F.col("_top") + F.col("_n")).alias("id"), "text", "type"))
+    top = entities.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top")).scalar()
+    return entities.select("id", "text", "type").unionByName(new.select((top + F.col("_n")).alias("id"), "text", "type"))
 
 
 def link_mentions(mentions: DataFrame, entities: DataFrame) -> DataFrame:
@@ -39,6 +39,7 @@ def entity_lists(links: DataFrame, entities: DataFrame) -> DataFrame:
 
 def overlap_with(lists: DataFrame, base: DataFrame) -> DataFrame:
     """(url, common, common_count) of every article against one base row (url, ents); the base is a single row."""
-    one = base.limit(1).select(F.col("url").alias("_base"), F.col("ents").alias("_ents"))
-    both = lists.crossJoin(F.broadcast(one)).where("url <> _base")
+    # The base row is a scalar subquery: the other rows meet no join.
+    one = base.limit(1).select(F.struct(F.col("url").alias("u"), F.col("ents").alias("e"))).scalar()
+    both = lists.withColumn("_one", one).select("url", "ents", F.col("_one.u").alias("_base"), F.col("_one.e").alias("_ents")).where("url <> _base")
     return both.select("url", F.array_sort(F.array_intersect("ents", "_ents")).alias("common"), common_count(F.col("ents"), F.col("_ents")).alias("common_count"))

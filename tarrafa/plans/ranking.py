@@ -13,8 +13,8 @@ from tarrafa.operators.entities import overlap_with
 def ranked(candidates: DataFrame, base: DataFrame, least_common: int = 0) -> DataFrame:
     """(url, common, common_count, similarity, continuity) of candidates (url, ents, embedding), best first."""
     shared = overlap_with(candidates.select("url", "ents"), base.select("url", "ents")).where(F.col("common_count") >= least_common)
-    one = base.limit(1).select(F.col("embedding").alias("_e"))
-    scored = shared.join(candidates.select("url", "embedding"), "url").crossJoin(F.broadcast(one)).withColumn("similarity", cosine(F.col("embedding"), F.col("_e")))
+    one = base.limit(1).select("embedding").scalar()
+    scored = shared.join(candidates.select("url", "embedding"), "url").withColumn("_e", one).withColumn("similarity", cosine(F.col("embedding"), F.col("_e")))
     judged = scored.withColumn("continuity", continuity(F.col("similarity"), F.col("common_count")))
     return judged.select("url", "common", "common_count", "similarity", "continuity").orderBy(F.desc("common_count"), F.desc_nulls_last("similarity"), "url")
 

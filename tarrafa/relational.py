@@ -349,12 +349,9 @@ def domain_streak(spark, d):
 
 @query("SELECT (SELECT count(*) FROM g1_articles) AS articles, (SELECT count(*) FROM gdelt_brazil_events) AS events, (SELECT count(*) FROM g1_chunks) AS chunks, (SELECT count(embedding) FROM g1_chunks) AS embedded, (SELECT count(*) FROM gdelt_brazil_events WHERE sourceurl IN (SELECT url FROM g1_articles)) AS crawled_events")
 def global_counts(spark, d):
-    one = lambda df, name: df.withColumnRenamed("count", name)
     a, e, c = articles(spark, d, "url"), events(spark, d, "sourceurl"), chunks(spark, d, "id", "embedding")
-    out = one(views.row_count(a), "articles")
-    for df, name in ((views.row_count(e), "events"), (views.row_count(c), "chunks"), (views.embedded_count(c), "embedded"), (views.events_crawled_too(e, a), "crawled_events")):
-        out = out.crossJoin(F.broadcast(one(df, name)))
-    return out
+    counts = {"articles": views.row_count(a), "events": views.row_count(e), "chunks": views.row_count(c), "embedded": views.embedded_count(c), "crawled_events": views.events_crawled_too(e, a)}
+    return spark.range(1).select(*[df.scalar().alias(name) for name, df in counts.items()])
 
 
 @query("SELECT date_published, count(*) AS count FROM g1_articles GROUP BY 1")
