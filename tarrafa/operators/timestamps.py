@@ -127,14 +127,15 @@ def to_utc_micros(parsed: Column, default_zone: Column) -> Column:
     return F.coalesce(parsed["epoch_micros"], F.when(zone.isNotNull(), ntz_micros(F.convert_timezone(zone, F.lit("UTC"), parsed["local"]))))
 
 
-def estimate_zones(df: DataFrame, group: str, local: str, seen_micros: str, candidates: list[str] | None = None, tolerance: float = 0.01) -> DataFrame:
+def estimate_zones(df: DataFrame, group: str, local: str, seen_micros: str, candidates: list[str] | None = None, tolerance: float = 0.0) -> DataFrame:
     """For each group, the zone whose offset history fits its local timestamps best.
 
     ``local`` is a timestamp_ntz, ``seen_micros`` the instant (in UTC microseconds) at which the row was
     ingested, which can't come before the timestamp. For every candidate zone the rows that would have
-    been ingested before they were written are violations; among the zones whose share of violations
-    stays within ``tolerance`` of the least, the one with the smallest summed lag wins, ties by
-    the order of ``candidates``. Rows with a null in one of the three columns are left out, so a group
+    been ingested before they were written are violations. Wrong timestamps violate in every zone, so the
+    zones with the fewest violations (or a share within ``tolerance`` of theirs) are those that fit; too far east
+    is never a violation, so of these the one with the smallest summed lag wins, ties by the order of
+    ``candidates``. Zones whose histories differ in summer time only are told apart by rows of those months. Rows with a null in one of the three columns are left out, so a group
     without usable rows has no result.
 
     One partial aggregate per (group, zone): a group of any size costs the shuffle of one row per zone
@@ -160,6 +161,9 @@ def estimate_zones(df: DataFrame, group: str, local: str, seen_micros: str, cand
 #: The three fields and whether a value without a zone is wall time of the edition (else UTC).
 FIELDS = {"date_published": True, "sitemap_lastmod": False, "sitemap_article_lastmod": True}
 
+#: What is surely written before an article is first seen; its last modification may come later.
+ALIGNED = {"date_published": True}
+
 
 def edition(url: Column) -> Column:
     """The first path segment of an article's address, in lower case; null if there is none."""
@@ -187,13 +191,13 @@ def normalise_articles(articles: DataFrame, edition_zones: DataFrame) -> DataFra
     """(url, field_name, utc_micros) of every readable value of the three fields of instants.
 
     Editions that ``edition_zones`` doesn't name, or names with a null or unknown zone, get the zone that
-    ``estimate_zones`` finds from their articles' local timestamps and first_seen_at; a wall time without
-    either is no case.
+    ``estimate_zones`` finds from their articles' dates of publication and first_seen_at; a wall time
+    without either is no case.
     """
     known = set(available_zones(articles.sparkSession))
     zones = edition_zones.where(F.col("time_zone").isin(sorted(known))).groupBy(F.lower("edition").alias("edition")).agg(F.min("time_zone").alias("time_zone"))
     other = articles.withColumn("_edition", edition(F.col("url"))).join(zones, F.col("_edition") == zones["edition"], "left_anti")
-    estimated = estimate_zones(unzoned_times(parsed_fields(other)), "edition", "local", "seen_micros")
+    estimated = estimate_zones(unzoned_times(parsed_fields(other, ALIGNED)), "edition", "local", "seen_micros")
     # One row per edition; written out first, so that its size is known and the long table needn't move for it.
     every = checkpointed(zones.unionByName(estimated.select("edition", "time_zone")))
     joined = parsed_fields(articles).join(small(every), "edition", "left")

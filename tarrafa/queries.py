@@ -19,7 +19,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The zone of each edition as its articles alone tell it, beside the given one."""
     articles = table(spark, sf_dir, "g1_articles", "url", "first_seen_at", *timestamps.FIELDS)
-    found = timestamps.estimate_zones(timestamps.unzoned_times(timestamps.parsed_fields(articles)), "edition", "local", "seen_micros")
+    found = timestamps.estimate_zones(timestamps.unzoned_times(timestamps.parsed_fields(articles, timestamps.ALIGNED)), "edition", "local", "seen_micros")
     return found.join(table(spark, sf_dir, "edition_zones").withColumnRenamed("time_zone", "given_zone"), "edition", "left")
 
 
