@@ -14,8 +14,8 @@ Every hash is a single random projection of the unit vector. Two uses are made o
   at once, radius by radius, until the k-th verified distance lies within the radius; at the largest radius the
   whole cell is in the windows, so a query never ends with fewer neighbours than its cell has.
 
-Nothing is dropped to escape skew: a cell beyond ``cell_rows`` is searched by pairs of blocks, each a task's
-work; of more than ``copies`` exact copies of a vector only as many as can be anybody's neighbours (the smallest
+Nothing is dropped to escape skew: a leader with too many rows is replaced by finer ones; a cell that stays beyond
+``cell_rows`` is searched by pairs of blocks, each a task's work; of more than ``copies`` exact copies of a vector only as many as can be anybody's neighbours (the smallest
 ids) are indexed, and the others' neighbours, their copies, are written directly.
 
 Defined results: vectors that are null, of another length, not finite or all zero take no part; equal similarity
@@ -103,6 +103,32 @@ def leaders(x: np.ndarray, known: np.ndarray, alike: float = ALIKE, block: int =
     return mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12)
 
 
+def split_leaders(x: np.ndarray, table: np.ndarray, sizes: np.ndarray, most: int, alike: float = ALIKE, depth: int = 6) -> np.ndarray:
+    """Leaders with more than ``most`` rows replaced by leaders of their own part of the sample, told apart more finely.
+
+    The likeness asked for comes halfway nearer to 1 per step. What the sample can't split stays whole.
+    """
+    if not len(table) or not (sizes > most).any():
+        return table
+    near = nearest_leaders(x, table, 1)[0][:, 0]
+    done, todo = [table[sizes <= most]], [(x[near == i], float(sizes[i]), alike) for i in np.flatnonzero(sizes > most)]
+    kept = [table[i] for i in np.flatnonzero(sizes > most) if not (near == i).any()]
+    for step in range(depth + 1):
+        finer = []
+        for rows, size, threshold in todo:
+            if size <= most or len(rows) < 16 or step == depth:
+                mean = rows.mean(axis=0) if len(rows) else None
+                if mean is not None:
+                    kept.append(mean / max(np.linalg.norm(mean), 1e-12))
+                continue
+            threshold = 1 - (1 - threshold) / 2
+            subs = leaders(rows, np.zeros((0, x.shape[1]), np.float32), threshold)
+            own = nearest_leaders(rows, subs, 1)[0][:, 0]
+            finer += [(rows[own == j], size * float((own == j).mean()), threshold) for j in range(len(subs)) if (own == j).any()]
+        todo = finer
+    return np.concatenate([*done, np.array(kept, np.float32).reshape(-1, x.shape[1])]).astype(np.float32)
+
+
 def route(u: np.ndarray, table: np.ndarray, a: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
     """(numbers of the nearest leaders, nearest first, and the similarity to the nearest) of unit vectors."""
     h = u @ a
@@ -249,6 +275,11 @@ class Index:
             table = leaders(x, table)
             self.table = sc.broadcast(table)
         sizes = np.array([led.get(i, 0) for i in range(len(table))], np.int64)
+        finer = split_leaders(first, table, sizes, cell_rows // 2)
+        if finer is not table:
+            table, self.table = finer, sc.broadcast(finer)
+            led = self._survey(0)[0]
+            sizes = np.array([led.get(i, 0) for i in range(len(table))], np.int64)
         cell = joined_cells(table, sizes, least_rows)
         self.cell = sc.broadcast(cell)
         self.probes = probes or enough_probes(first, table, cell, k)

@@ -56,6 +56,18 @@ def test_neighbours_of_many_copies_and_hot_cells(spark):
     assert got[0] == [2, 4, 6] and got[2] == [0, 4, 6] and got[1998] == [0, 2, 4]
 
 
+def test_neighbours_in_one_dense_cluster(spark):
+    rng = np.random.default_rng(9)
+    centres = np.full(32, 1.0) + 0.25 * rng.standard_normal((60, 32))
+    v = (centres[np.arange(3000) % 60] + 0.08 * rng.standard_normal((3000, 32))).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, e array<float>")
+    index = neighbours.Index(df.select(F.col("id").alias("_id"), F.col("e").alias("_e")), 32, 5, least_rows=64, cell_rows=512)
+    assert len(index.table.value) > 10 and index.routed().count() <= 12 * 3000
+    got = set(rows(neighbours.pairs(index.neighbours(5).select(F.col("_id").alias("id"), F.col("_nb").alias("neighbour")), "id")))
+    want = brute(dict(enumerate(v)), 5)
+    assert len(got & want) >= 0.9 * len(want)
+
+
 def test_neighbours_without_clusters(spark):
     v = np.random.default_rng(8).standard_normal((2500, 24)).astype(np.float32)
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, e array<float>")
