@@ -167,7 +167,7 @@ def candidates(text: str, start: int, end: int) -> Iterator[tuple[int, tuple]]:
             t = _TOKEN.search(text, max(start, m.start() - 24), m.start())
             token = t.group() if t else ""
             at = t.start() if t else m.start()
-            before = _before(token, not text[start:at].strip())
+            before = _before(token, at - start <= 8 and not text[start:at].strip())
             if before in ("leading", "ending", "letter", "initial"):
                 p = _TOKEN.search(text[max(start, at - 12) : at].rstrip())
                 number_before = "n" if p and p.group()[-1:].isdigit() else "a" if p and p.group().endswith(".") else ""
