@@ -43,6 +43,8 @@ SAMPLE, ALIKE, ROUNDS, ORPHANS = 40_000, 0.5, 3, 0.02
 LEAST_ROWS, CELL_ROWS, COPIES = 1024, 4096, 64
 #: Probes to choose from, and the share of neighbours in the sample that must meet in a cell.
 PROBES, MEET, TRIALS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64), 0.98, 400
+#: Similarities with leaders that are held at once.
+SIMILARITIES = 4_000_000
 #: Half a window is this often the radius; the share of windows that must hold a row.
 HALF_WINDOW, THRESHOLD = 1.36, 0.70
 RADII = [0.35, 0.5, 0.65, 0.8, 0.95, 1.15, 1.4, 4.0]
@@ -96,9 +98,9 @@ def leaders(x: np.ndarray, known: np.ndarray, alike: float = ALIKE, block: int =
                 b = b[1:][(b[1:] @ b[0]) < alike]
             table = np.array(out, np.float32)
     mean = table.copy()
-    for i in range(0, len(x), 2048):
-        s = x[i : i + 2048] @ table.T
-        np.add.at(mean, s.argmax(axis=1), x[i : i + 2048])
+    step = max(16, SIMILARITIES // max(len(table), 1))
+    for i in range(0, len(x), step):
+        np.add.at(mean, (x[i : i + step] @ table.T).argmax(axis=1), x[i : i + step])
     mean[: len(known)] = known
     return mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12)
 
@@ -139,15 +141,16 @@ def route(u: np.ndarray, table: np.ndarray, a: np.ndarray, probes: int) -> tuple
 def nearest_leaders(h: np.ndarray, table: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
     probes = min(probes, len(table))
     near, best = np.empty((len(h), probes), np.int32), np.empty(len(h), np.float32)
-    for i in range(0, len(h), 1024):
-        s = h[i : i + 1024] @ table.T
+    step = max(16, SIMILARITIES // max(len(table), 1))
+    for i in range(0, len(h), step):
+        s = h[i : i + step] @ table.T
         if probes == 1:
             p = s.argmax(axis=1)[:, None]
         else:
             p = np.argpartition(-s, probes - 1, axis=1)[:, :probes]
             p = np.take_along_axis(p, np.argsort(-np.take_along_axis(s, p, axis=1), axis=1, kind="stable"), axis=1)
-        near[i : i + 1024] = p
-        best[i : i + 1024] = np.take_along_axis(s, p[:, :1], axis=1)[:, 0]
+        near[i : i + step] = p
+        best[i : i + step] = np.take_along_axis(s, p[:, :1], axis=1)[:, 0]
     return near, best
 
 
