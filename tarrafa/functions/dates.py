@@ -11,7 +11,9 @@ def sitemap_sort_key(loc: Column, lastmod: Column) -> Column:
 
     A lastmod without an offset is read as UTC (the session's zone must be UTC).
     """
-    at = F.when(F.coalesce(lastmod, F.lit("")) != "", F.try_to_timestamp(F.regexp_replace(lastmod, r"[zZ]$", "+00:00")))
+    # Casts don't read an offset after minutes, and take a clock time alone for one of today.
+    whole = F.regexp_replace(F.regexp_replace(lastmod, r"[zZ]$", "+00:00"), r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})(?=[+-])", "$1:00")
+    at = F.when(lastmod.rlike(r"^\s*\d{4}-\d{1,2}-\d{1,2}(?!\d)"), F.try_to_timestamp(whole))
     g = lambda i: F.regexp_extract(loc, r"/(\d{4})/(\d{2})/(\d{2})_(\d+)\.xml$", i)
     named = F.try_to_timestamp(F.concat_ws("-", F.nullif(g(1), F.lit("")), F.nullif(g(2), F.lit("")), F.nullif(g(3), F.lit(""))), F.lit("yyyy-MM-dd"))
     epoch = F.timestamp_seconds(F.lit(0))

@@ -116,12 +116,19 @@ def numeric_coercion(spark, d):
     WHEN regexp_matches(sitemap_url, '/\d{4}/\d{2}/\d{2}_\d+\.xml$') THEN {'at': CAST(replace(regexp_extract(sitemap_url, '/(\d{4}/\d{2}/\d{2})_\d+\.xml$', 1), '/', '-') AS TIMESTAMP), 'seq': CAST(regexp_extract(sitemap_url, '_(\d+)\.xml$', 1) AS INTEGER)}
     ELSE {'at': TIMESTAMP '1970-01-01', 'seq': 0} END AS k FROM g1_sitemaps WHERE sitemap_lastmod IS NULL OR length(sitemap_lastmod) <= 10) ORDER BY at_micros DESC, seq DESC, sitemap_url""")
 def sitemap_sort(spark, d):
-    """Sitemaps whose lastmod is a date or missing, newest first (instants have a query of their own)."""
+    """Sitemaps whose lastmod is a date or missing, newest first, which SQL follows; ``sitemap_order`` takes all."""
     rows = table(spark, d, "g1_sitemaps", "sitemap_url", "sitemap_lastmod").where("sitemap_lastmod is null or length(sitemap_lastmod) <= 10")
     index = rows.select(F.col("sitemap_url").alias("loc"), F.when(F.col("sitemap_lastmod").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("sitemap_lastmod")).alias("lastmod"))
     return crawl.newest_sitemaps(index).select(F.col("loc").alias("sitemap_url"), F.unix_micros("at").alias("at_micros"), "seq")
 
 
+@query()
+def sitemap_order(spark, d):
+    """All sitemaps, lastmod as stored, newest first; no SQL, as it doesn't read all the notations of instants."""
+    index = table(spark, d, "g1_sitemaps", "sitemap_url", "sitemap_lastmod").withColumnsRenamed({"sitemap_url": "loc", "sitemap_lastmod": "lastmod"})
+    return crawl.newest_sitemaps(index).select(F.col("loc").alias("sitemap_url"), F.unix_micros("at").alias("at_micros"), "seq")
+
+
 _DATE = r"try_cast(nullif(regexp_extract(date_published, '^\s*(\d{4}-\d{2}-\d{2})', 1), '') AS DATE)"
 
 
