@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarrafa.functions.url import site
-from tarrafa.session import checkpointed
+from tarrafa.session import checkpointed, small
 
 #: A variable's name, as templates spell it.
 _NAME = r"\$?[A-Za-z_][A-Za-z0-9_]*(?:[. ][A-Za-z_][A-Za-z0-9_]*){0,3}"
@@ -58,7 +58,7 @@ SCRIPT_PHRASES = [
     r"(?:e |and )?(?:recarregue|recarregar|reload)(?: (?:a|esta|the|this) (?:página|page))?", r"(?:e |and )?desative o bloqueador(?: de anúncios)?", r"(?:and )?disable your ad ?blocker", r"(?:para|to) (?:ler (?:a|esta) (?:notícia|matéria|página)|ver (?:a|esta) (?:página|notícia|matéria)|continuar|prosseguir|continue|run this app|view this page|read (?:this|the) (?:article|page))",
     r"loading", r"carregando", r"(?:por favor,? )?aguarde(?: (?:um momento|enquanto (?:checamos|verificamos) (?:o )?seu navegador))?", r"checking (?:your browser|if the site connection is secure)(?: before accessing)?", r"(?:estamos )?verificando (?:se a conexão é segura|(?:o )?seu navegador)", r"(?:prove|confirme|verifique) que você (?:não é um robô|é humano)", r"(?:verify|confirm|prove) (?:that )?you are (?:not a robot|human)", r"não sou um robô", r"just a moment", r"um momento",
 ]
-_LATIN = r"(?:lorem|ipsum|dolor|sit|amet|consectetur|adipiscing|elit|sed|do|eiusmod|tempor|incididunt|ut|labore|et|dolore|magna|aliqua|enim|ad|minim|veniam|quis|nostrud|exercitation|ullamco|laboris|nisi|aliquip|ex|ea|commodo|consequat|duis|aute|irure|in|reprehenderit|voluptate|velit|esse|cillum|eu|fugiat|nulla|pariatur|excepteur|sint|occaecat|cupidatat|non|proident|sunt|culpa|qui|officia|deserunt|mollit|anim|id|est|laborum)"
+_LATIN = r"(?:lorem|ipsum|dolor|sit|amet|consectetur|adipiscing|elit|sed|do|eiusmod|tempor|incididunt|ut|labore|et|dolore|magna|aliqua|enim|ad|minim|veniam|quis|nostrud|exercitation|ullamco|laboris|nisi|aliquip|ex|ea|commodo|consequat|duis|aute|irure|in|reprehenderit|voluptate|velit|esse|cillum|eu|fugiat|nulla|pariatur|excepteur|sint|occaecat|cupidatat|non|proident|sunt|culpa|qui|officia|deserunt|mollit|anim|id|est|laborum)(?!\p{L})"
 _KEYS = r"(?:asdf|qwerty|qwer|teste|test|blá|bla|abc|foobar|foo|bar)"
 FILLER_PHRASES = [
     rf"{_LATIN}(?:[\s,;]+{_LATIN}){{2,}}+", r"mussum ipsum", r"mussum fictício latim", r"cacilds[^.!?]{0,60}", r"x{3,}(?:[\s.,]++x{3,})*+(?:[\s.,]*0)?", rf"{_KEYS}(?:[\s.,]++{_KEYS})++(?:[\s.,]*0)?", r"asdf(?:gh(?:jkl)?)?\s*0?", r"(?<w>\p{L}{1,8})(?:[\s.,]+\k<w>){3,}+[\s.,]*0?", r"hello,? world",
@@ -95,7 +95,7 @@ def _phrases() -> str:
 
 def whole_residue(mask: Column) -> Column:
     """Whether a masked text is nothing but a run of known phrases (possessive, so linear in the text)."""
-    run = mask.rlike(rf"\A{_BREAK}*+(?:(?:{_phrases()})(?![\p{{L}}\p{{N}}]){_BREAK}*+)++\z")
+    run = mask.rlike(_known_run())
     # Mock Latin that fills a text but for a few words is filler too, whatever those words are.
     latin = rf"\b{_LATIN}(?:[\s,;.]+{_LATIN}){{5,}}+\b"
     return run | (mask.rlike(latin) & (F.length(F.regexp_replace(mask, latin, "")) < F.length(mask) * MOCK_REST))
@@ -106,39 +106,67 @@ def _segments(mask: Column) -> Column:
     return F.transform(F.filter(parts, lambda s: s.rlike(r"\p{L}{2}|0")), lambda s: F.regexp_replace(s, r"[\s.!?:]+\z", ""))
 
 
-#: Characters at either end of a text within which its first and last phrase lie.
+#: Characters at either end of a text, once trimmed and collapsed, within which its first and last phrase show.
 _EDGE = 240
+#: What is trimmed before: the characters of _BREAK and the white space that masking collapses.
+_TRIMMED = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000|:!?.,;/>»›•·…-–—=_*()[]\"“”'"
 
 
-def may_be_page(text: Column) -> Column:
-    """What every text needs that is residue as a whole or but for one phrase: a known phrase first or last.
+def _bound(value: Column, f) -> Column:
+    """f(value), with the value worked out once however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
 
-    Or words of mock Latin. Only a test that spares the rest the full patterns: those see whole texts.
+def _end(text: Column, take, cut_word: str) -> Column:
+    """The masked window at one end; of the whole masked text where masking leaves little of the window.
+
+    A word cut in two at the window's edge is left out, as it could spoil the phrase beside it.
     """
-    head = masked(F.left(text, F.lit(_EDGE))).rlike(rf"\A{_BREAK}*+(?:{_phrases()})(?![\p{{L}}\p{{N}}])")
-    tail = F.try_element_at(_segments(masked(F.right(text, F.lit(_EDGE)))), F.lit(-1)).rlike(rf"\A{_BREAK}*+(?:{_phrases()})\z")
-    low, latin = F.lower(text), F.lit(False)
-    for word in ("lorem", "ipsum", "adipiscing", "consectetur", "ullamco", "eiusmod", "incididunt", "nostrud", "veniam"):
-        latin = latin | F.contains(low, F.lit(word))
-    return F.coalesce(head | tail | latin, F.lit(False))
+    cut = lambda t: F.when(F.length(t) <= _EDGE, t).otherwise(F.regexp_replace(take(t, F.lit(_EDGE)), cut_word, ""))
+    return _bound(masked(cut(text)), lambda w: F.when((F.length(text) > _EDGE) & (F.length(w) < _EDGE // 2), _bound(masked(text), cut)).otherwise(w))
+
 
+def _known_run() -> str:
+    return rf"\A{_BREAK}*+(?:(?:{_phrases()})(?![\p{{L}}\p{{N}}]){_BREAK}*+)++\z"
 
-def induced_phrases(records: DataFrame, min_records: int = MIN_RECORDS, min_sites: int = MIN_SITES, min_share: float = MIN_SHARE) -> DataFrame:
+
+def may_be_page(text: Column) -> Column:
+    """What every text needs that is residue as a whole or but for one phrase: known phrases first or last.
+
+    Or a run of mock Latin. Only a test that spares the rest the full patterns: those see whole texts. The
+    ends are trimmed before they are taken, so that blanks and rules hide nothing.
+    """
+    t = F.btrim(text, F.lit(_TRIMMED))
+    head = _end(t, F.left, r"(?<=[\s.,;])[\p{L}\p{N}]++\z").rlike(rf"\A{_BREAK}*+(?:{_phrases()})(?![\p{{L}}\p{{N}}])")
+    # A last segment that reaches out of the window may begin within a phrase.
+    open_run = rf"(?:\A|(?<={_BREAK}))(?:{_phrases()}){_BREAK}*+\z"
+    last = lambda w: _bound(_segments(w), lambda s: F.try_element_at(s, F.lit(-1)).rlike(_known_run()) | ((F.length(t) > _EDGE) & (F.size(s) == 1) & w.rlike(open_run)))
+    tail = _bound(_end(t, F.right, r"\A[\p{L}\p{N}]++(?=[\s.,;])"), last)
+    gap, word = r"[\s\p{Z},;.]+", "[a-z]{2,13}"
+    latin = F.lower(t).rlike(rf"\b(?={word}(?:{gap}{word}){{5}}){_LATIN}(?:{gap}{_LATIN}){{5}}")
+    return F.coalesce(head, F.lit(False)) | F.coalesce(tail, F.lit(False)) | F.coalesce(latin, F.lit(False))
+
+
+def induced_phrases(records: DataFrame, texts: DataFrame, min_records: int = MIN_RECORDS, min_sites: int = MIN_SITES, min_share: float = MIN_SHARE) -> DataFrame:
     """(_segment): masked phrases, unknown to the lists, of repeated whole-page templates.
 
     ``records`` has _rec (an id), _site and _mask. A record speaks for its unknown phrase if it has one
-    only and all its other phrases, at least one of them more than a bare number, are known.
+    only and all its other phrases, at least one of them more than a bare number, are known. What such
+    phrases there are is counted over all ``texts`` (_text); where there are none, those aren't read.
     """
-    known = lambda s: F.regexp_replace(s, r"[.!?:]+\z", "").rlike(rf"\A(?:{_phrases()})\z")
+    known = lambda s: s.rlike(_known_run())
     cut = records.select("_site", _segments(F.col("_mask")).alias("_segments"))
     flagged = cut.select("_site", F.transform("_segments", lambda s: F.struct(s.alias("s"), known(s).alias("k"))).alias("_f"))
     unknown = F.filter("_f", lambda x: ~x["k"])
     support = F.exists("_f", lambda x: x["k"] & x["s"].rlike(r"\p{L}{3}"))
-    each = flagged.select("_site", (support & (F.size(unknown) == 1)).alias("_for"), F.explode(F.transform(unknown, lambda x: x["s"])).alias("_segment"))
+    each = flagged.where(support & (F.size(unknown) == 1)).select("_site", unknown[0]["s"].alias("_segment"))
     # Partial counts per site first: a phrase on one hot site stays one row per map task.
-    per_site = each.groupBy("_segment", "_site").agg(F.count_if("_for").alias("_for"), F.count("*").alias("_n"))
-    counted = per_site.groupBy("_segment").agg(F.sum("_for").alias("_for"), F.sum("_n").alias("_n"), F.count_if(F.col("_for") > 0).alias("_sites"))
-    return counted.where((F.col("_for") >= min_records) & (F.col("_sites") >= min_sites) & (F.col("_for") >= min_share * F.col("_n"))).select("_segment")
+    counted = each.groupBy("_segment", "_site").agg(F.count("*").alias("_for")).groupBy("_segment").agg(F.sum("_for").alias("_for"), F.count("*").alias("_sites"))
+    likely = checkpointed(counted.where((F.col("_for") >= min_records) & (F.col("_sites") >= min_sites)).select("_segment", "_for"))
+    if likely.isEmpty():
+        return likely.select("_segment")
+    every = texts.select(F.explode(_segments(masked(F.col("_text")))).alias("_segment")).join(small(likely), "_segment")
+    return every.groupBy("_segment").agg(F.first("_for").alias("_for"), F.count("*").alias("_n")).where(F.col("_for") >= min_share * F.col("_n")).select("_segment")
 
 
 def residue(df: DataFrame, key: str = "id", title: str = "title", text: str = "article_content", url: str = "sourceurl") -> DataFrame:
@@ -157,9 +185,9 @@ def residue(df: DataFrame, key: str = "id", title: str = "title", text: str = "a
     sure = some.where("slot or _page").select("_key", F.when(F.col("slot"), "slot").otherwise("page").alias("reason"))
 
     open_ = some.where("not slot and not _page").select(F.struct("_key", "_field").alias("_rec"), "_key", "_site", "_mask")
-    phrases = induced_phrases(open_)
+    phrases = induced_phrases(open_, base)
     parts = open_.select("_rec", "_key", F.explode(_segments(F.col("_mask"))).alias("_segment"))
-    parts = parts.where(~F.col("_segment").rlike(rf"\A(?:{_phrases()})\z"))
+    parts = parts.where(~F.col("_segment").rlike(_known_run()))
     judged = parts.join(phrases.withColumn("_in", F.lit(True)), "_segment", "left").groupBy("_rec", "_key").agg(F.bool_and(F.coalesce("_in", F.lit(False))).alias("_all"))
     induced = judged.where("_all").select("_key", F.lit("induced").alias("reason"))
     return sure.unionByName(induced).groupBy("_key").agg(F.max("reason").alias("reason")).withColumnRenamed("_key", key)
