@@ -10,7 +10,8 @@ Three ways to be found, for a title or a text each:
 * **repeated templates**: phrases that no list names, learnt from the corpus. Records are cut at their
   separators and masked (numbers and hex ids become slots), which aligns those of one template; a phrase that
   stands next to known residue in whole records, on several sites and far more often than next to anything
-  else, is residue itself.
+  else, is residue itself. So is a whole title or text, in whatever words, that stands on several pages of
+  each of several sites: under other headlines (a text), over other texts (a title).
 
 Articles that talk about such things aren't found, as their other words belong to no phrase. Defined results:
 a null or blank title and text are no case; repeated rows are each found.
@@ -25,14 +26,16 @@ from tarrafa.functions.url import site
 from tarrafa.session import checkpointed, small
 
 #: A variable's name, as templates spell it.
-_NAME = r"\$?[A-Za-z_][A-Za-z0-9_]*(?:[. ][A-Za-z_][A-Za-z0-9_]*){0,3}"
-_UPPER = r"[A-Z][A-Z_]*(?: [A-Z_]+){0,3}"
+_NAME = r"\$?[\p{L}_][\p{L}\p{M}\p{N}_]*(?:[. ][\p{L}_][\p{L}\p{M}\p{N}_]*){0,3}"
+_UPPER = r"\p{Lu}[\p{Lu}\p{M}_]*(?: [\p{Lu}\p{M}_]+){0,3}"
 #: Slots that still hold a variable's name, by the delimiters of their template language.
 SLOTS = [
-    rf"\{{\{{\{{?\s*{_NAME}\s*\}}?\}}\}}", rf"[$#]\{{\s*{_NAME}\s*\}}", rf"(?<![$#{{])\{{\s*[A-Za-z_]+(?:[._][A-Za-z_]+)*\s*\}}", rf"\{{%\s*{_NAME}\s*%\}}",
-    rf"<%=?-?\s*{_NAME}\s*%>", rf"<\?(?:php|=)?\s*(?:echo\s+)?{_NAME};?\s*\?>", rf"\[\[\s*{_NAME}\s*\]\]", rf"@@\s*{_NAME}\s*@@", rf"(?<![\d\w%])%[A-Za-z_]+(?:[._][A-Za-z_]+)*%(?!\w)",
-    rf"__[A-Z]+(?:_[A-Z]+)*__", rf"\[{_UPPER}\]", rf"<{_UPPER}>", rf"(?i:\((?:completar|preencher|inserir|colocar|a definir|definir|escrever|trocar)\s)[A-Z_][A-Z_ ]*\)",
-    rf"(?<![A-Z])X{{3,}}\s+{_UPPER}\s+X{{3,}}(?![A-Z])", rf"\b(?:TODO|FIXME)\s*:?\s+(?i:inserir|completar|preencher|colocar|escrever)\b",
+    rf"\{{\{{\{{?\s*{_NAME}\s*\}}?\}}\}}", rf"[$#]\{{\s*{_NAME}\s*\}}", rf"(?<![$#{{])\{{\s*[\p{{L}}\p{{M}}_]+(?:[._][\p{{L}}\p{{M}}_]+)*\s*\}}", rf"\{{%\s*{_NAME}\s*%\}}",
+    rf"<%=?-?\s*{_NAME}\s*%>", rf"<\?(?:php|=)?\s*(?:echo\s+)?{_NAME};?\s*\?>", rf"\[\[\s*{_NAME}\s*\]\]", rf"@@\s*{_NAME}\s*@@", rf"(?<![\d\w%])%[\p{{L}}\p{{M}}_]+(?:[._][\p{{L}}\p{{M}}_]+)*%(?![\w\p{{L}}])",
+    rf"__[\p{{Lu}}\p{{M}}]+(?:_[\p{{Lu}}\p{{M}}]+)*__", rf"\[{_UPPER}\]", rf"<{_UPPER}>", rf"(?i:\((?:completar|preencher|inserir|colocar|a definir|definir|escrever|trocar)\s)[\p{{Lu}}_][\p{{Lu}}\p{{M}}_ ]*\)",
+    rf"(?<!\p{{Lu}})X{{3,}}\s+{_UPPER}\s+X{{3,}}(?!\p{{Lu}})", rf"\b(?:TODO|FIXME)\s*:?\s+(?i:inserir|completar|preencher|colocar|escrever)\b",
+    # Blanks: the same delimiters with nothing left between them ({} alone, [ ] and %% say too little).
+    r"\{\{\{?\s*\}?\}\}", r"[$#]\{\s*\}", r"<%=?-?\s*%>", r"<\?(?:php|=)\s*(?:echo)?\s*;?\s*\?>", r"\[\[\s*\]\]",
 ]
 #: Defaults that a slot shows when its variable was never set.
 DEFAULTS = [r"\[object Object\]", r"\bNaN[:/.]NaN\b", r"\bundefined\b[^.\n]{0,40}\b(?:undefined|null|NaN)\b", r"\b(?:em|por|de|às) (?:undefined|null|NaN)\b", r"\AInvalid Date\z"]
@@ -72,6 +75,8 @@ MOCK_REST = 0.3
 _BREAK = r"[\s|:!?.,;/>»›•·…\-–—=_*()\[\]\"“”']"
 #: Least records and sites on which a phrase must stand next to known residue, and the share of its records.
 MIN_RECORDS, MIN_SITES, MIN_SHARE = 5, 3, 0.9
+#: Least pages of a site on which the same whole text must stand, on each of MIN_SITES sites.
+MIN_PAGES = 3
 
 
 def masked(text: Column) -> Column:
@@ -84,7 +89,7 @@ def masked(text: Column) -> Column:
 
 def has_slot(text: Column) -> Column:
     """Slots and defaults; the patterns run only on texts that hold a character or word they all need."""
-    sign = text.rlike(r"[{<@\[]|%[A-Za-z]|__[A-Z]|XXX|TODO|FIXME|\([\p{L} ]+ [A-Z]")
+    sign = text.rlike(r"[{<@\[]|%\p{L}|__\p{Lu}|XXX|TODO|FIXME|\([\p{L} ]+ [\p{Lu}_]")
     word = F.contains(text, F.lit("undefined")) | F.contains(text, F.lit("[object")) | F.contains(text, F.lit("NaN")) | F.contains(text, F.lit("null")) | (text == "Invalid Date")
     return (sign & text.rlike("|".join(SLOTS))) | (word & text.rlike("|".join(DEFAULTS)))
 
@@ -169,6 +174,25 @@ def induced_phrases(records: DataFrame, texts: DataFrame, min_records: int = MIN
     return every.groupBy("_segment").agg(F.first("_for").alias("_for"), F.count("*").alias("_n")).where(F.col("_for") >= min_share * F.col("_n")).select("_segment")
 
 
+def repeated_pages(texts: DataFrame, min_pages: int = MIN_PAGES, min_sites: int = MIN_SITES) -> DataFrame:
+    """_key of the records whose whole title or text is a template repeated over pages of several sites.
+
+    ``texts`` has _key, _site, _field, _text and _page, a hash of what tells the record's page from others. Hex ids
+    are slots, other numbers are not: headlines that differ in a figure are different ones. What lies between
+    the windows at both ends of a long text is compared without any character of a hex id.
+    """
+    t = F.btrim("_text", F.lit(_TRIMMED))
+    ids = lambda x: F.regexp_replace(x, r"\b(?=[a-f]*\d)[\da-f]{6,}\b", "h")
+    inner = F.when(F.length(t) > 2 * _EDGE, F.translate(t, "0123456789abcdef", ""))
+    form = F.xxhash64(ids(F.left(t, F.lit(_EDGE))), ids(F.right(t, F.lit(_EDGE))), inner)
+    # A generator, so that the forms of what has letters are worked out once.
+    forms = texts.select("_key", F.xxhash64("_site").alias("_site"), "_field", "_page", F.explode(F.when(t.rlike(r"\p{L}{2}"), F.array(form))).alias("_form"))
+    forms = checkpointed(forms)
+    per_site = forms.groupBy("_field", "_form", "_site").agg(F.count_distinct("_page").alias("_pages")).where(F.col("_pages") >= min_pages)
+    often = per_site.groupBy("_field", "_form").agg(F.count("*").alias("_sites")).where(F.col("_sites") >= min_sites)
+    return forms.join(often, ["_field", "_form"], "left_semi").select("_key")
+
+
 def residue(df: DataFrame, key: str = "id", title: str = "title", text: str = "article_content", url: str = "sourceurl") -> DataFrame:
     """(key, reason) of each row with residue; reason is 'slot', 'page' or 'induced'.
 
@@ -176,7 +200,8 @@ def residue(df: DataFrame, key: str = "id", title: str = "title", text: str = "a
     follows works on those, from a checkpoint.
     """
     fields = F.array(F.col(title), F.col(text))
-    base = df.select(F.col(key).alias("_key"), site(F.coalesce(F.col(url), F.lit(""))).alias("_site"), F.posexplode(fields).alias("_field", "_text"))
+    keyed = [F.col(key).alias("_key"), site(F.coalesce(F.col(url), F.lit(""))).alias("_site")]
+    base = df.select(*keyed, F.posexplode(fields).alias("_field", "_text"))
     # A generator, not a filter: the optimizer would evaluate a filter's patterns a second time for the output.
     t = F.col("_text")
     kept = F.when(has_slot(t), F.array(F.struct(F.lit(True).alias("slot"), F.lit(None).cast("string").alias("mask")))).when(may_be_page(t), F.array(F.struct(F.lit(False).alias("slot"), masked(t).alias("mask"))))
@@ -190,4 +215,10 @@ def residue(df: DataFrame, key: str = "id", title: str = "title", text: str = "a
     parts = parts.where(~F.col("_segment").rlike(_known_run()))
     judged = parts.join(phrases.withColumn("_in", F.lit(True)), "_segment", "left").groupBy("_rec", "_key").agg(F.bool_and(F.coalesce("_in", F.lit(False))).alias("_all"))
     induced = judged.where("_all").select("_key", F.lit("induced").alias("reason"))
+    # A page is told by the other field, a headline without the site's name behind it; where that is blank, by the address.
+    filled = lambda c: F.nullif(F.btrim(c), F.lit(""))
+    headline = F.regexp_extract(F.col(title), r"^(.*?)(?:\s[|–—-]\s|\z)", 1)
+    pages = F.array(*[F.struct(F.col(c).alias("_text"), F.xxhash64(F.coalesce(filled(other), F.col(url))).alias("_page")) for c, other in ((title, F.col(text)), (text, headline))])
+    paged = df.select(*keyed, F.posexplode(pages).alias("_field", "_x")).select("_key", "_site", "_field", "_x._text", "_x._page")
+    induced = induced.unionByName(repeated_pages(paged).select("_key", F.lit("induced").alias("reason")))
     return sure.unionByName(induced).groupBy("_key").agg(F.max("reason").alias("reason")).withColumnRenamed("_key", key)

@@ -1,5 +1,7 @@
 """Residue whose ends are blanks, rules or mock Latin, and learnt phrases counted over all records."""
 
+from pyspark.sql import functions as F
+
 from tarrafa.llm import residue
 
 SCHEMA = "id long, title string, article_content string, sourceurl string"
@@ -15,11 +17,16 @@ def test_blanks_and_rules_at_the_ends_hide_nothing(spark):
     assert {r["id"] for r in residue.residue(df).collect()} == set(range(len(texts)))
 
 
+def learnt_from(df):
+    texts = df.select("id", F.explode(F.array("title", "article_content")).alias("_text"), F.regexp_extract("sourceurl", "//([^/]+)", 1).alias("_site"))
+    return texts.where(residue.may_be_page(F.col("_text"))).select("_site", residue.masked(F.col("_text")).alias("_mask")), texts
+
+
 def test_learnt_phrases_are_counted_over_all_records(spark):
     data = [(i, f"Erro 500 | Agenda da semana | Tente de novo em alguns minutos. | Ray {i:06x}abcd1234", None, f"https://s{i % 5}.br/{i}") for i in range(20)]
     ordinary = [(100 + i, "t", f"Festa no bairro {chr(97 + i)}. Agenda da semana. Chuva volta ao litoral amanhã", f"https://s{i % 5}.br/n{i}") for i in range(10)]
-    assert residue.residue(spark.createDataFrame(data, SCHEMA)).where("reason = 'induced'").count() == 20
-    assert residue.residue(spark.createDataFrame(data + ordinary, SCHEMA)).where("reason = 'induced'").count() == 0
+    found = lambda rows: [r[0] for r in residue.induced_phrases(*learnt_from(spark.createDataFrame(rows, SCHEMA))).collect()]
+    assert found(data) == ["agenda da semana"] and found(data + ordinary) == []
 
 
 def test_a_known_end_beyond_the_window_is_seen(spark):
