@@ -171,7 +171,15 @@ def default_tree() -> tuple:
 
 def _python(pattern: str) -> str:
     """A pattern of the residue operator in Python's dialect."""
-    return pattern.replace(r"\p{L}", r"[^\W\d_]").replace("(?<w>", "(?P<w>").replace(r"\k<w>", "(?P=w)")
+    upper = "".join(c for c in map(chr, range(0x250)) if c.isupper())
+    alone, inside = {"L": r"[^\W\d_]", "Lu": f"[{upper}]"}, {"L": r"\w", "Lu": upper, "M": "\u0300-\u036f", "N": r"\d"}
+
+    def spelt(m: re.Match) -> str:
+        names = inside if m[0].startswith("[") else alone
+        return re.sub(r"\\p\{(\w+)\}", lambda n: names[n[1]], m[0])
+
+    pattern = re.sub(r"\\p\{\w+\}|\\.|\[\^?(?:\\p\{\w+\}|\\.|[^\]])*\]", spelt, pattern)
+    return pattern.replace("(?<w>", "(?P<w>").replace(r"\k<w>", "(?P=w)")
 
 
 @functools.lru_cache(maxsize=1)
