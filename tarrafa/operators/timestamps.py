@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarrafa.session import checkpointed, small
+from tarrafa.session import written
 
 # Month names by their first three letters, Portuguese and English.
 MONTHS = {
@@ -199,7 +199,7 @@ def normalise_articles(articles: DataFrame, edition_zones: DataFrame) -> DataFra
     other = articles.withColumn("_edition", edition(F.col("url"))).join(zones, F.col("_edition") == zones["edition"], "left_anti")
     estimated = estimate_zones(unzoned_times(parsed_fields(other, ALIGNED)), "edition", "local", "seen_micros")
     # One row per edition; written out first, so that its size is known and the long table needn't move for it.
-    every = checkpointed(zones.unionByName(estimated.select("edition", "time_zone")))
-    joined = parsed_fields(articles).join(small(every), "edition", "left")
+    every = written(zones.unionByName(estimated.select("edition", "time_zone")))
+    joined = parsed_fields(articles).join(every, "edition", "left")
     zone = F.when(F.col("walled"), F.col("time_zone")).otherwise("UTC")
     return joined.select("url", "field_name", to_utc_micros(F.col("p"), zone).alias("utc_micros")).where("utc_micros is not null")

@@ -8,6 +8,7 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Largest estimated size, in bytes, of a table that may be broadcast.
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -23,15 +24,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder all executors share for checkpoints.
 
     The session's ``spark.checkpoint.dir`` is used when set; a temporary local folder is made only
-    where it is unset, as in tests.
+    where it is unset and driver and executors are one process, as in tests. A cluster without it is an error:
+    executors have no local folder in common.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarrafa-ckpt-")
-    sc.setCheckpointDir(path)
-    return path
+    sc.setCheckpointDir(checkpoint_path(spark.conf.get("spark.checkpoint.dir", None), sc.master))
+    return sc.getCheckpointDir()
+
+
+def checkpoint_path(configured: str | None, master: str) -> str:
+    if configured:
+        return configured
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="tarrafa-ckpt-")
 
 
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
@@ -50,6 +59,24 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
+def written(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` behind a checkpoint, with a broadcast hint if what was written is no larger than ``limit``.
+
+    A checkpoint keeps the estimate of the plan it came from, so its rows are counted and measured instead.
+    """
+    kept = checkpointed(df)
+    return F.broadcast(kept) if measured_bytes(kept) <= limit else kept
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Size of a written table by its rows: fixed widths, and the lengths of its values as JSON where widths vary."""
+    wide = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType))]
+    fixed = 16 + 8 * (len(df.columns) - len(wide))
+    varying = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(wide)])))) if wide else F.lit(0)
+    n, bytes_ = df.agg(F.count("*"), varying).first()
+    return n * fixed + (bytes_ or 0)
+
+
 _SHIPPED: set[str] = set()
 
 
