@@ -1,20 +1,21 @@
 """Template residue and error-page text: rows whose title or text is left-over machinery, not content.
 
-Three ways to be found, for a title or a text each:
-
-* **unfilled slots**, anywhere: an aligned template's slot that still holds a variable name between
-  delimiters (``{{titulo}}``, ``<%= x %>``, ``[INSERIR LEAD]``, ``%LEAD%`` ...) or a default (``undefined``,
-  ``[object Object]``, ``NaN:NaN``);
-* **whole-page residue**: the text as a whole is a run of phrases of error messages, script notices or
-  filler, with their codes and reference numbers, and nothing else;
-* **repeated templates**: phrases that no list names, learnt from the corpus. Records are cut at their
-  separators and masked (numbers and hex ids become slots), which aligns those of one template; a phrase that
-  stands next to known residue in whole records, on several sites and far more often than next to anything
-  else, is residue itself. So is a whole title or text, in whatever words, that stands on several pages of
-  each of several sites: under other headlines (a text), over other texts (a title).
-
-Articles that talk about such things aren't found, as their other words belong to no phrase. Defined results:
-a null or blank title and text are no case; repeated rows are each found.
+Templates are induced from the records themselves:
+
+* **aligned slots**: lines are aligned by their skeleton, which keeps the words a template repeats and makes a slot of
+  each run of names, numbers and symbols. Where a skeleton's slots are filled in by many lines, the few lines that
+  keep a variable's name, a default or nothing in one are residue, whatever the delimiters;
+* **repeated pages**: a whole title or text, in whatever words, that stands on several pages of each of several
+  sites: under other headlines (a text), over other texts (a title);
+* **learnt phrases**: a phrase that stands alone among known ones in whole records, on several sites and far more
+  often than next to anything else.
+
+What stands too seldom to be induced is told by seeds: delimiters of template languages with a name, an
+expression or nothing between them, defaults that a slot shows (``undefined``, ``[object Object]``), and phrases of
+error pages, script notices and filler of which a whole title or text must be a run.
+
+Articles that talk about such things aren't found, as their other words belong to no phrase. Every test sees whole
+texts. Defined results: a null or blank title and text are no case; repeated rows are each found.
 """
 
 from __future__ import annotations
@@ -23,37 +24,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarrafa.functions.url import site
-from tarrafa.session import checkpointed, small
+from tarrafa.session import checkpointed, written
 
 #: A variable's name, as templates spell it.
 _NAME = r"\$?[\p{L}_][\p{L}\p{M}\p{N}_]*(?:[. ][\p{L}_][\p{L}\p{M}\p{N}_]*){0,3}"
 _UPPER = r"\p{Lu}[\p{Lu}\p{M}_]*(?: [\p{Lu}\p{M}_]+){0,3}"
-#: Slots that still hold a variable's name, by the delimiters of their template language.
+#: Seeds: slots by the delimiters of their template language, with a name, an expression or nothing in them.
 SLOTS = [
-    rf"\{{\{{\{{?\s*{_NAME}\s*\}}?\}}\}}", rf"[$#]\{{\s*{_NAME}\s*\}}", rf"(?<![$#{{])\{{\s*[\p{{L}}\p{{M}}_]+(?:[._][\p{{L}}\p{{M}}_]+)*\s*\}}", rf"\{{%\s*{_NAME}\s*%\}}",
-    rf"<%=?-?\s*{_NAME}\s*%>", rf"<\?(?:php|=)?\s*(?:echo\s+)?{_NAME};?\s*\?>", rf"\[\[\s*{_NAME}\s*\]\]", rf"@@\s*{_NAME}\s*@@", rf"(?<![\d\w%])%[\p{{L}}\p{{M}}_]+(?:[._][\p{{L}}\p{{M}}_]+)*%(?![\w\p{{L}}])",
+    r"\{\{\{?[^{}\n]*+\}?\}\}", r"[$#]\{[^{}\n]*+\}", rf"(?<![$#{{])\{{\s*[\p{{L}}\p{{M}}_]+(?:[._-][\p{{L}}\p{{M}}_]+)*\s*\}}", r"\{%[^{}%\n]*+%\}", r"(?<![$#{\p{L}\p{N}])\{\d{1,2}\}",
+    r"<%[=-]?[^<>%\n]*+%>", r"<\?(?:php|=)(?:[^?\n]|\?(?!>))*+\?>", rf"<\?\s*(?:echo\s+)?{_NAME};?\s*\?>", rf"\[\[\s*{_NAME}\s*\]\]", r"\[\[\s*\]\]", rf"@@\s*{_NAME}\s*@@", rf"(?<![\d\w%])%[\p{{L}}\p{{M}}_]+(?:[._-][\p{{L}}\p{{M}}_]+)*%(?![\w\p{{L}}])", r"(?<![\p{L}\p{N}%])%[sd](?![\p{L}\p{N}%])",
     rf"__[\p{{Lu}}\p{{M}}]+(?:_[\p{{Lu}}\p{{M}}]+)*__", rf"\[{_UPPER}\]", rf"<{_UPPER}>", rf"(?i:\((?:completar|preencher|inserir|colocar|a definir|definir|escrever|trocar)\s)[\p{{Lu}}_][\p{{Lu}}\p{{M}}_ ]*\)",
     rf"(?<!\p{{Lu}})X{{3,}}\s+{_UPPER}\s+X{{3,}}(?!\p{{Lu}})", rf"\b(?:TODO|FIXME)\s*:?\s+(?i:inserir|completar|preencher|colocar|escrever)\b",
-    # Blanks: the same delimiters with nothing left between them ({} alone, [ ] and %% say too little).
-    r"\{\{\{?\s*\}?\}\}", r"[$#]\{\s*\}", r"<%=?-?\s*%>", r"<\?(?:php|=)\s*(?:echo)?\s*;?\s*\?>", r"\[\[\s*\]\]",
 ]
 #: Defaults that a slot shows when its variable was never set.
 DEFAULTS = [r"\[object Object\]", r"\bNaN[:/.]NaN\b", r"\bundefined\b[^.\n]{0,40}\b(?:undefined|null|NaN)\b", r"\b(?:em|por|de|às) (?:undefined|null|NaN)\b", r"\AInvalid Date\z"]
 
 # All repeated groups are possessive: the JVM matches those in a loop, others by recursion, which very long
 # filler would overflow. A phrase that begins like another one stands in front of it for that reason.
-# Phrases of error pages, access messages, script notices and filler, as patterns over lower
-# case text whose numbers are 0 and whose hex ids are h.
+#: A hex id, or the h that stands for one in a masked text, or a number.
+_ID = r"(?:[\da-f]{6,}+|\d+|h)"
+# Seeds, that is phrases of error pages, access messages, script notices and filler, as patterns
+# over text in any case; a space stands for any run of white space.
 ERROR_PHRASES = [
     r"(?:ops|oops|ooops|atenção|desculpe|desculpas|aviso|lo sentimos|sorry|whoops|que pena|puxa)",
-    r"(?:(?:http|erro|error|código|code|status)\s*)?0",
+    r"(?:(?:http|erro|error|código|code|status)\s*)?\d+",
     r"(?:a )?página não (?:foi )?encontrada", r"(?:a )?página (?:solicitada |que você procura )?não existe(?: mais)?", r"(?:the )?page not found", r"(?:la )?página (?:que buscas )?no (?:existe|encontrada)", r"not found", r"conteúdo não (?:foi )?encontrado", r"não encontrad[oa]",
     r"(?:o )?conteúdo (?:foi )?removido(?: ou expirado)?", r"(?:o )?endereço digitado não existe(?: ou mudou)?", r"não achamos o que você procura", r"não (?:foi possível|conseguimos) (?:encontrar|carregar|abrir|exibir)(?: (?:a página|o conteúdo|esta página|este conteúdo))?",
     r"acesso (?:negado|proibido|restrito)", r"access (?:denied|forbidden)", r"forbidden", r"unauthorized", r"não autorizado", r"you don'?t have permission to (?:access|view) this (?:page|resource)", r"você não tem permissão para (?:ver|acessar) (?:esta|essa|a) página",
     r"muitas requisições(?: deste endereço)?", r"too many requests", r"erro interno(?: do servidor)?", r"internal server error", r"bad gateway", r"bad request", r"gateway time-?out", r"service (?:temporarily )?unavailable", r"serviço (?:temporariamente )?indisponível", r"(?:the )?request timed out", r"tempo (?:de resposta )?esgotado",
     r"(?:o )?banco de dados não respondeu", r"error establishing a database connection", r"erro ao (?:conectar|estabelecer uma conexão)(?: com o| ao)? banco de dados", r"algo deu errado(?: do nosso lado)?", r"something went wrong", r"estamos em manutenção(?: e voltamos logo)?", r"site em manutenção", r"voltamos (?:logo|em breve)",
     r"(?:por favor,? )?(?:tente|tentar) (?:de novo|novamente|outra vez)(?: (?:em alguns (?:minutos|instantes)|mais tarde))?", r"(?:please )?try again(?: later| in a few minutes)?", r"use a busca(?: acima| abaixo| do site)?", r"volte (?:para|à) (?:a )?(?:página inicial|home|capa)", r"(?:ir para|voltar (?:para|à)) (?:a )?(?:página inicial|home|capa)", r"contate o administrador(?: do site)?", r"contact the administrator", r"verifique o endereço(?: digitado)?", r"go back(?: home)?",
-    r"ray(?: id)?:?\s*[h0]", r"request[_ -]?id\s*[=:]?\s*[h0]", r"servidor-?\s*0", r"server-?\s*0", r"refer(?:ência|ence)\s*#?:?\s*[h0]", r"incident(?:e)?(?: id)?:?\s*[h0]", r"ip\s*:?\s*0", r"(?:erro fatal|fatal error|http|erro|error)(?:\s*http)?(?:\s*0)?",
+    rf"ray(?: id)?:?\s*{_ID}", rf"request[-_\s]?id\s*[=:]?\s*{_ID}", r"servidor-?\s*\d+", r"server-?\s*\d+", rf"refer(?:ência|ence)\s*#?:?\s*{_ID}", rf"incident(?:e)?(?: id)?:?\s*{_ID}", r"ip\s*:?\s*\d+", r"(?:erro fatal|fatal error|http|erro|error)(?:\s*http)?(?:\s*\d+)?",
 ]
 SCRIPT_PHRASES = [
     r"(?:(?:você )?(?:precisa|é preciso|é necessário|deve) (?:ligar|habilitar|ativar|ter)|habilit[ea](?:r)?|ativ[ea](?:r)?|lig(?:ue|ar)|(?:please )?(?:enable|turn on)|you need to enable) (?:o |os |a )?(?:javascript|java script|js|scripts|cookies)(?: do (?:seu )?navegador| in your browser)?",
@@ -64,19 +65,34 @@ SCRIPT_PHRASES = [
 _LATIN = r"(?:lorem|ipsum|dolor|sit|amet|consectetur|adipiscing|elit|sed|do|eiusmod|tempor|incididunt|ut|labore|et|dolore|magna|aliqua|enim|ad|minim|veniam|quis|nostrud|exercitation|ullamco|laboris|nisi|aliquip|ex|ea|commodo|consequat|duis|aute|irure|in|reprehenderit|voluptate|velit|esse|cillum|eu|fugiat|nulla|pariatur|excepteur|sint|occaecat|cupidatat|non|proident|sunt|culpa|qui|officia|deserunt|mollit|anim|id|est|laborum)(?!\p{L})"
 _KEYS = r"(?:asdf|qwerty|qwer|teste|test|blá|bla|abc|foobar|foo|bar)"
 FILLER_PHRASES = [
-    rf"{_LATIN}(?:[\s,;]+{_LATIN}){{2,}}+", r"mussum ipsum", r"mussum fictício latim", r"cacilds[^.!?]{0,60}", r"x{3,}(?:[\s.,]++x{3,})*+(?:[\s.,]*0)?", rf"{_KEYS}(?:[\s.,]++{_KEYS})++(?:[\s.,]*0)?", r"asdf(?:gh(?:jkl)?)?\s*0?", r"(?<w>\p{L}{1,8})(?:[\s.,]+\k<w>){3,}+[\s.,]*0?", r"hello,? world",
+    rf"{_LATIN}(?:[\s,;]+{_LATIN}){{2,}}+", r"mussum ipsum", r"mussum fictício latim", r"cacilds[^.!?]{0,60}", r"x{3,}(?:[\s.,]++x{3,})*+(?:[\s.,]*\d+)?", rf"{_KEYS}(?:[\s.,]++{_KEYS})++(?:[\s.,]*\d+)?", r"asdf(?:gh(?:jkl)?)?(?:\s*\d+)?", r"(?<w>\p{L}{1,8})(?:[\s.,]+\k<w>){3,}+(?:[\s.,]*\d+)?", r"hello,? world",
     r"sem título", r"título da (?:notícia|matéria|página)", r"título", r"untitled", r"no title", r"(?:nova|new) (?:página|page|notícia|post)", r"rascunho(?: automático)?", r"auto draft",
     r"este é um (?:parágrafo|texto|exemplo) de (?:demonstração|exemplo|teste)(?: do tema| do modelo)?", r"(?:clique|dê um clique) (?:duas vezes|aqui) para editar(?: (?:este|o) (?:bloco|texto))?", r"double.click to edit(?: this (?:block|text))?", r"(?:insira|digite|escreva|cole|coloque) (?:aqui )?(?:o |seu |um )?(?:texto|conteúdo|título|corpo|parágrafo)(?: da (?:notícia|matéria|página)| do (?:post|texto|artigo))?(?: aqui)?",
-    r"texto de (?:exemplo|teste|demonstração)(?: do (?:modelo|tema))?", r"substitua (?:este texto )?antes de publicar", r"(?:parágrafo|bloco|texto|linha) 0", r"texto provisório(?: do (?:diagramador|editor|modelo))?", r"(?:apagar|remover|trocar|substituir|excluir|revisar) (?:depois|antes de publicar)", r"(?:this is )?(?:sample|placeholder|dummy) text", r"conteúdo de (?:exemplo|teste)", r"texto.guia", r"texto (?:falso|fictício)", r"placeholder",
+    r"texto de (?:exemplo|teste|demonstração)(?: do (?:modelo|tema))?", r"substitua (?:este texto )?antes de publicar", r"(?:parágrafo|bloco|texto|linha) \d+", r"texto provisório(?: do (?:diagramador|editor|modelo))?", r"(?:apagar|remover|trocar|substituir|excluir|revisar) (?:depois|antes de publicar)", r"(?:this is )?(?:sample|placeholder|dummy) text", r"conteúdo de (?:exemplo|teste)", r"texto.guia", r"texto (?:falso|fictício)", r"placeholder",
 ]
 
+#: Nothing behind a preposition.
+BLANK = r"(?<!\S)((?:em|por|de|às|na|no|da|do|by|on|at|in|from))(?:[ \t]{2,}+|[ \t]*+(?=[.,;:)\n]|\z))"
+#: What may fill a slot of an aligned line and isn't content: a name in any delimiters or spelt as an identifier,
+#: a printf mark, a default, or a blank.
+ODD = "|".join([
+    r"(?:\{{1,3}[%#]?|\$\{|<[%?]?=?|\[{1,2}|@@|##|__|~|\^|«)\s*+[$:]?[\p{L}_][\p{L}\p{M}\p{N}_.'\[\]-]*+\s*+(?:[%#]?\}{1,3}|[%?]?>|@@|##|(?<=__)|~|\^|»|(?<=\]))",
+    r"(?<![\p{L}\p{N}%])%(?:[sd](?![\p{L}\p{N}%])|[\p{L}_][\p{L}\p{N}_.]*%)", r"\{\d{0,2}\}", r"(?<![\p{L}\p{N}$])\$[\p{L}_][\p{L}\p{N}_]*+", r"(?<![\p{L}\p{N}_@./])\p{L}++(?:_[\p{L}\p{N}]++)++(?![\p{L}\p{N}_@])",
+    r"(?<![\p{L}\p{N}])(?:undefined|null|NaN|None|N/A|TBD)(?![\p{L}\p{N}])",
+    BLANK,
+])
+#: What every seed of a slot and every odd filling but defaults and blanks holds.
+MARKS = r"[{<\[@#_~^«]|[%$]\p{L}|XXX|TODO|FIXME|\(\p{L}{6,}"
+DEFAULT_WORDS = ["undefined", "null", "NaN", "None", "N/A", "TBD", "[object", "Invalid Date"]
 #: Share of a text that mock Latin may leave over.
 MOCK_REST = 0.3
-_BREAK = r"[\s|:!?.,;/>»›•·…\-–—=_*()\[\]\"“”']"
+_BREAK = r"[\s\p{Z}|:!?.,;/>»›•·…\-–—=_*()\[\]\"“”']"
 #: Least records and sites on which a phrase must stand next to known residue, and the share of its records.
 MIN_RECORDS, MIN_SITES, MIN_SHARE = 5, 3, 0.9
 #: Least pages of a site on which the same whole text must stand, on each of MIN_SITES sites.
 MIN_PAGES = 3
+#: Largest share of a skeleton's lines that may be odd; where more are, that is how its slot is filled.
+MAX_ODD = 0.2
 
 
 def masked(text: Column) -> Column:
@@ -88,68 +104,50 @@ def masked(text: Column) -> Column:
 
 
 def has_slot(text: Column) -> Column:
-    """Slots and defaults; the patterns run only on texts that hold a character or word they all need."""
-    sign = text.rlike(r"[{<@\[]|%\p{L}|__\p{Lu}|XXX|TODO|FIXME|\([\p{L} ]+ [\p{Lu}_]")
-    word = F.contains(text, F.lit("undefined")) | F.contains(text, F.lit("[object")) | F.contains(text, F.lit("NaN")) | F.contains(text, F.lit("null")) | (text == "Invalid Date")
-    return (sign & text.rlike("|".join(SLOTS))) | (word & text.rlike("|".join(DEFAULTS)))
+    """Seeds of slots and defaults; the patterns run only on texts that hold a character or word they all need."""
+    return (text.rlike(MARKS) & text.rlike("|".join(SLOTS))) | (_has_default(text) & text.rlike("|".join(DEFAULTS)))
 
 
-def _phrases() -> str:
-    return "|".join([*ERROR_PHRASES, *SCRIPT_PHRASES, *FILLER_PHRASES])
-
-
-def whole_residue(mask: Column) -> Column:
-    """Whether a masked text is nothing but a run of known phrases (possessive, so linear in the text)."""
-    run = mask.rlike(_known_run())
-    # Mock Latin that fills a text but for a few words is filler too, whatever those words are.
-    latin = rf"\b{_LATIN}(?:[\s,;.]+{_LATIN}){{5,}}+\b"
-    return run | (mask.rlike(latin) & (F.length(F.regexp_replace(mask, latin, "")) < F.length(mask) * MOCK_REST))
+def _has_default(text: Column) -> Column:
+    found = F.lit(False)
+    for word in DEFAULT_WORDS:
+        found = found | F.contains(text, F.lit(word))
+    return found
 
 
-def _segments(mask: Column) -> Column:
-    parts = F.split(mask, r"\s*\|\s*|(?<=[.!?:])\s+|[.!?:]+\z|\s+[-–—]\s+|(?<=[.!])(?=[.!])")
-    return F.transform(F.filter(parts, lambda s: s.rlike(r"\p{L}{2}|0")), lambda s: F.regexp_replace(s, r"[\s.!?:]+\z", ""))
+def _phrases() -> str:
+    # A number's last digit must not be left over for another phrase, so that runs stay linear.
+    return "|".join(p.replace(r"\d+", r"\d++").replace(" ?", r"[\s\p{Z}]*+").replace(" ", r"[\s\p{Z}]++") for p in [*ERROR_PHRASES, *SCRIPT_PHRASES, *FILLER_PHRASES])
 
 
-#: Characters at either end of a text, once trimmed and collapsed, within which its first and last phrase show.
-_EDGE = 240
-#: What is trimmed before: the characters of _BREAK and the white space that masking collapses.
-_TRIMMED = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000|:!?.,;/>»›•·…-–—=_*()[]\"“”'"
+def _known_run() -> str:
+    return rf"(?iu)\A{_BREAK}*+(?:(?:{_phrases()})(?![\p{{L}}\p{{N}}]){_BREAK}*+)++\z"
 
 
-def _bound(value: Column, f) -> Column:
-    """f(value), with the value worked out once however often f names it."""
-    return F.transform(F.array(value), f)[0]
+#: Mock Latin: a word, and runs of six or more behind a cheap test for six short words in a row.
+_GAP = r"[\s\p{Z},;.]+"
+_LATIN_RUN = rf"(?i)\b(?=[a-z]{{2,13}}(?:{_GAP}[a-z]{{2,13}}){{5}}){_LATIN}(?:{_GAP}{_LATIN}){{5,}}+\b"
 
 
-def _end(text: Column, take, cut_word: str) -> Column:
-    """The masked window at one end; of the whole masked text where masking leaves little of the window.
+def whole_residue(text: Column, latin: Column | None = None) -> Column:
+    """Whether a text is nothing but a run of known phrases; anchored, so it ends at the first word of an article.
 
-    A word cut in two at the window's edge is left out, as it could spoil the phrase beside it.
+    ``latin`` may say whether the text has a run of mock Latin, if that is known already.
     """
-    cut = lambda t: F.when(F.length(t) <= _EDGE, t).otherwise(F.regexp_replace(take(t, F.lit(_EDGE)), cut_word, ""))
-    return _bound(masked(cut(text)), lambda w: F.when((F.length(text) > _EDGE) & (F.length(w) < _EDGE // 2), _bound(masked(text), cut)).otherwise(w))
-
-
-def _known_run() -> str:
-    return rf"\A{_BREAK}*+(?:(?:{_phrases()})(?![\p{{L}}\p{{N}}]){_BREAK}*+)++\z"
+    # Mock Latin that fills a text but for a few words is filler too, whatever those words are.
+    latin = text.rlike(_LATIN_RUN) if latin is None else latin
+    return text.rlike(_known_run()) | (latin & (F.length(F.regexp_replace(text, _LATIN_RUN, "")) < F.length(text) * MOCK_REST))
 
 
 def may_be_page(text: Column) -> Column:
-    """What every text needs that is residue as a whole or but for one phrase: known phrases first or last.
+    """What every text needs that is a run of known phrases but for one: its first or its second is known."""
+    first = r"(?>[^\n]*?(?:\||[.!?:]++(?:\s|\z)|\s[-–—]\s|\n))"
+    return text.rlike(rf"(?iu)\A{_BREAK}*+(?:{first}{_BREAK}*+)??(?:{_phrases()})(?![\p{{L}}\p{{N}}])")
 
-    Or a run of mock Latin. Only a test that spares the rest the full patterns: those see whole texts. The
-    ends are trimmed before they are taken, so that blanks and rules hide nothing.
-    """
-    t = F.btrim(text, F.lit(_TRIMMED))
-    head = _end(t, F.left, r"(?<=[\s.,;])[\p{L}\p{N}]++\z").rlike(rf"\A{_BREAK}*+(?:{_phrases()})(?![\p{{L}}\p{{N}}])")
-    # A last segment that reaches out of the window may begin within a phrase.
-    open_run = rf"(?:\A|(?<={_BREAK}))(?:{_phrases()}){_BREAK}*+\z"
-    last = lambda w: _bound(_segments(w), lambda s: F.try_element_at(s, F.lit(-1)).rlike(_known_run()) | ((F.length(t) > _EDGE) & (F.size(s) == 1) & w.rlike(open_run)))
-    tail = _bound(_end(t, F.right, r"\A[\p{L}\p{N}]++(?=[\s.,;])"), last)
-    gap, word = r"[\s\p{Z},;.]+", "[a-z]{2,13}"
-    latin = F.lower(t).rlike(rf"\b(?={word}(?:{gap}{word}){{5}}){_LATIN}(?:{gap}{_LATIN}){{5}}")
-    return F.coalesce(head, F.lit(False)) | F.coalesce(tail, F.lit(False)) | F.coalesce(latin, F.lit(False))
+
+def _segments(mask: Column) -> Column:
+    parts = F.split(mask, r"\s*\|\s*|(?<=[.!?:])\s+|[.!?:]+\z|\s+[-–—]\s+|(?<=[.!])(?=[.!])")
+    return F.transform(F.filter(parts, lambda s: s.rlike(r"\p{L}{2}|0")), lambda s: F.regexp_replace(s, r"[\s.!?:]+\z", ""))
 
 
 def induced_phrases(records: DataFrame, texts: DataFrame, min_records: int = MIN_RECORDS, min_sites: int = MIN_SITES, min_share: float = MIN_SHARE) -> DataFrame:
@@ -167,10 +165,10 @@ def induced_phrases(records: DataFrame, texts: DataFrame, min_records: int = MIN
     each = flagged.where(support & (F.size(unknown) == 1)).select("_site", unknown[0]["s"].alias("_segment"))
     # Partial counts per site first: a phrase on one hot site stays one row per map task.
     counted = each.groupBy("_segment", "_site").agg(F.count("*").alias("_for")).groupBy("_segment").agg(F.sum("_for").alias("_for"), F.count("*").alias("_sites"))
-    likely = checkpointed(counted.where((F.col("_for") >= min_records) & (F.col("_sites") >= min_sites)).select("_segment", "_for"))
+    likely = written(counted.where((F.col("_for") >= min_records) & (F.col("_sites") >= min_sites)).select("_segment", "_for"))
     if likely.isEmpty():
         return likely.select("_segment")
-    every = texts.select(F.explode(_segments(masked(F.col("_text")))).alias("_segment")).join(small(likely), "_segment")
+    every = texts.select(F.explode(_segments(masked(F.col("_text")))).alias("_segment")).join(likely, "_segment")
     return every.groupBy("_segment").agg(F.first("_for").alias("_for"), F.count("*").alias("_n")).where(F.col("_for") >= min_share * F.col("_n")).select("_segment")
 
 
@@ -178,13 +176,11 @@ def repeated_pages(texts: DataFrame, min_pages: int = MIN_PAGES, min_sites: int
     """_key of the records whose whole title or text is a template repeated over pages of several sites.
 
     ``texts`` has _key, _site, _field, _text and _page, a hash of what tells the record's page from others. Hex ids
-    are slots, other numbers are not: headlines that differ in a figure are different ones. What lies between
-    the windows at both ends of a long text is compared without any character of a hex id.
+    are slots, numbers of less than six digits are not: headlines that differ in a figure are different ones. White
+    space and punctuation don't count.
     """
-    t = F.btrim("_text", F.lit(_TRIMMED))
-    ids = lambda x: F.regexp_replace(x, r"\b(?=[a-f]*\d)[\da-f]{6,}\b", "h")
-    inner = F.when(F.length(t) > 2 * _EDGE, F.translate(t, "0123456789abcdef", ""))
-    form = F.xxhash64(ids(F.left(t, F.lit(_EDGE))), ids(F.right(t, F.lit(_EDGE))), inner)
+    t = F.col("_text")
+    form = F.xxhash64(F.regexp_replace(t, r"[\da-f]{6,}|[^\p{L}\p{M}\p{N}]+", ""))
     # A generator, so that the forms of what has letters are worked out once.
     forms = texts.select("_key", F.xxhash64("_site").alias("_site"), "_field", "_page", F.explode(F.when(t.rlike(r"\p{L}{2}"), F.array(form))).alias("_form"))
     forms = checkpointed(forms)
@@ -193,32 +189,61 @@ def repeated_pages(texts: DataFrame, min_pages: int = MIN_PAGES, min_sites: int
     return forms.join(often, ["_field", "_form"], "left_semi").select("_key")
 
 
+def skeleton(line: Column) -> Column:
+    """A line's words in lower case, with a * for each run of tokens that begin with a capital, a digit or a symbol."""
+    return F.rtrim(F.regexp_replace(line, r"(?<!\S)(?:[^\p{Ll}\s]\S*+(?:\s++|\z))++", "* "))
+
+
+def odd_forms(text: Column) -> Column:
+    """Hashes of the skeletons of a text's odd lines that have two words at least beside their slots."""
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(ODD))
+    bare = F.transform(lines, lambda x: skeleton(F.regexp_replace(F.regexp_replace(x, ODD, "$1 * "), r"\s+", " ")))
+    return F.transform(F.filter(bare, lambda x: F.contains(x, F.lit("*")) & (F.regexp_count(x, F.lit(r"\p{L}+")) >= 2)), lambda x: F.xxhash64(x))
+
+
+def aligned_slots(odd: DataFrame, texts: DataFrame, min_records: int = MIN_RECORDS, max_odd: float = MAX_ODD) -> DataFrame:
+    """_key of the records with an odd line in whose place other lines of its template hold content.
+
+    ``odd`` has _key and _form (``odd_forms``), ``texts`` _text. Only skeletons of odd lines are counted, over the lines
+    of all texts; a skeleton needs ``min_records`` lines that aren't odd, and few that are.
+    """
+    kinds = written(odd.groupBy("_form").agg(F.count("*").alias("_odd")))
+    every = texts.select(F.explode(F.split("_text", "\n")).alias("_line")).select(F.xxhash64(skeleton(F.col("_line"))).alias("_form"))
+    counts = every.join(kinds.select("_form"), "_form", "left_semi").groupBy("_form").agg(F.count("*").alias("_n"))
+    kept = kinds.join(counts, "_form").where((F.col("_n") - F.col("_odd") >= min_records) & (F.col("_odd") <= max_odd * F.col("_n"))).select("_form")
+    return odd.join(written(kept), "_form", "left_semi").select("_key")
+
+
 def residue(df: DataFrame, key: str = "id", title: str = "title", text: str = "article_content", url: str = "sourceurl") -> DataFrame:
-    """(key, reason) of each row with residue; reason is 'slot', 'page' or 'induced'.
+    """(key, reason) of each row with residue; reason is 'induced', else 'page' or 'slot' (found by seeds alone).
 
-    One pass over the texts finds slots and hands on the few texts that can be residue as a whole; all that
-    follows works on those, from a checkpoint.
+    One pass over the texts applies the seeds and hands on the few texts that may hold a phrase to be learnt.
     """
     fields = F.array(F.col(title), F.col(text))
     keyed = [F.col(key).alias("_key"), site(F.coalesce(F.col(url), F.lit(""))).alias("_site")]
     base = df.select(*keyed, F.posexplode(fields).alias("_field", "_text"))
-    # A generator, not a filter: the optimizer would evaluate a filter's patterns a second time for the output.
+    # Generators, not projections and filters: the optimizer would evaluate their patterns once per use.
     t = F.col("_text")
-    kept = F.when(has_slot(t), F.array(F.struct(F.lit(True).alias("slot"), F.lit(None).cast("string").alias("mask")))).when(may_be_page(t), F.array(F.struct(F.lit(False).alias("slot"), masked(t).alias("mask"))))
-    some = base.select("_key", "_site", "_field", F.inline(kept)).select("_key", "_site", "_field", "slot", "mask")
-    some = checkpointed(some.select("_key", "_site", "_field", "slot", F.col("mask").alias("_mask"), whole_residue(F.col("mask")).alias("_page")))
-    sure = some.where("slot or _page").select("_key", F.when(F.col("slot"), "slot").otherwise("page").alias("reason"))
-
-    open_ = some.where("not slot and not _page").select(F.struct("_key", "_field").alias("_rec"), "_key", "_site", "_mask")
+    odd = t.rlike(MARKS) | _has_default(t) | t.rlike(BLANK)
+    seen = base.select("_key", "_site", "_field", F.inline(F.array(F.struct(t.alias("_text"), t.rlike(_LATIN_RUN).alias("_latin"), odd.alias("_odd")))))
+    none, no_form = F.lit(None).cast("string"), F.lit(None).cast("long")
+    one = lambda kind, mask: F.array(F.struct(F.lit(kind).alias("_kind"), mask.alias("_mask"), no_form.alias("_form")))
+    seeds = F.when(F.col("_odd") & has_slot(t), one("slot", none)).when(whole_residue(t, F.col("_latin")), one("page", none)).when(F.col("_latin") | may_be_page(t), one("open", masked(t)))
+    forms = F.when(F.col("_odd"), F.transform(odd_forms(t), lambda x: F.struct(F.lit("odd").alias("_kind"), none.alias("_mask"), x.alias("_form"))))
+    found = F.concat(F.coalesce(seeds, F.array().cast("array<struct<_kind:string,_mask:string,_form:bigint>>")), F.coalesce(forms, F.array().cast("array<struct<_kind:string,_mask:string,_form:bigint>>")))
+    some = checkpointed(seen.select("_key", "_site", "_field", F.inline(found)))
+    sure = some.where("_kind in ('slot', 'page')").select("_key", F.col("_kind").alias("reason"))
+
+    open_ = some.where("_kind = 'open'").select(F.struct("_key", "_field").alias("_rec"), "_key", "_site", "_mask")
     phrases = induced_phrases(open_, base)
     parts = open_.select("_rec", "_key", F.explode(_segments(F.col("_mask"))).alias("_segment"))
     parts = parts.where(~F.col("_segment").rlike(_known_run()))
     judged = parts.join(phrases.withColumn("_in", F.lit(True)), "_segment", "left").groupBy("_rec", "_key").agg(F.bool_and(F.coalesce("_in", F.lit(False))).alias("_all"))
-    induced = judged.where("_all").select("_key", F.lit("induced").alias("reason"))
+    induced = judged.where("_all").select("_key")
     # A page is told by the other field, a headline without the site's name behind it; where that is blank, by the address.
     filled = lambda c: F.nullif(F.btrim(c), F.lit(""))
     headline = F.regexp_extract(F.col(title), r"^(.*?)(?:\s[|–—-]\s|\z)", 1)
     pages = F.array(*[F.struct(F.col(c).alias("_text"), F.xxhash64(F.coalesce(filled(other), F.col(url))).alias("_page")) for c, other in ((title, F.col(text)), (text, headline))])
     paged = df.select(*keyed, F.posexplode(pages).alias("_field", "_x")).select("_key", "_site", "_field", "_x._text", "_x._page")
-    induced = induced.unionByName(repeated_pages(paged).select("_key", F.lit("induced").alias("reason")))
-    return sure.unionByName(induced).groupBy("_key").agg(F.max("reason").alias("reason")).withColumnRenamed("_key", key)
+    induced = induced.unionByName(repeated_pages(paged)).unionByName(aligned_slots(some.where("_kind = 'odd'").select("_key", "_form"), base))
+    return sure.unionByName(induced.select("_key", F.lit("induced").alias("reason"))).groupBy("_key").agg(F.min("reason").alias("reason")).withColumnRenamed("_key", key)
