@@ -1,12 +1,11 @@
 """Writes with conflict rules as full outer joins of the old snapshot with new rows, and snapshot directories.
 
 Parquet has no row-level changes: an upsert yields a new snapshot, which ``write_snapshot`` puts into a directory
-of its own before the pointer to the current one is moved. Nothing overwrites the path that it reads.
+of its own before a pointer to it is added. Nothing overwrites the path that it reads.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable
 
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarrafa.operators.dedup import first_per_key, last_per_key
+from tarrafa.session import names, read_text, write_text
 
 Rule = Callable[[Column, Column], Column]
 take_new: Rule = lambda old, new: new
@@ -104,23 +104,23 @@ def mark_chunked(articles: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def write_snapshot(df: DataFrame, root: str) -> str:
-    """Write ``df`` as a new snapshot under ``root`` and point ``_current`` at it."""
-    name = f"snapshot-{uuid.uuid4().hex}"
+    """Write ``df`` as a new snapshot under ``root``; the pointer with the highest number counts.
+
+    Pointers are only ever added, each by one rename, so that a reader finds the snapshot before or the one after.
+    Of two writers at once the slower one fails.
+    """
+    spark, name = df.sparkSession, f"snapshot-{uuid.uuid4().hex}"
+    number = max(_pointers(spark, root), default=0) + 1
     df.write.parquet(f"{root}/{name}")
-    spark = df.sparkSession
-    spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("overwrite").text(f"{root}/_current-next")
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(root).getFileSystem(conf)
-    fs.delete(path(f"{root}/_current"), True)
-    if not fs.rename(path(f"{root}/_current-next"), path(f"{root}/_current")):
-        raise OSError(f"the pointer under {root} could not be moved")
+    write_text(spark, f"{root}/_pointers/{number:012d}", name)
     return name
 
 
+def _pointers(spark: SparkSession, root: str) -> list[int]:
+    return [int(n) for n in names(spark, f"{root}/_pointers") if n.isdigit()]
+
+
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
-    """The current snapshot under ``root``, or None before the first."""
-    if "://" not in root and not os.path.exists(f"{root}/_current"):
-        return None
-    name = spark.read.text(f"{root}/_current").first()[0]
-    return spark.read.parquet(f"{root}/{name}")
+    """The current snapshot under ``root``, on any file system, or None before the first."""
+    numbers = _pointers(spark, root)
+    return spark.read.parquet(f"{root}/{read_text(spark, f'{root}/_pointers/{max(numbers):012d}').strip()}") if numbers else None

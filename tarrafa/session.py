@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,6 +78,55 @@ def measured_bytes(df: DataFrame) -> int:
     return n * fixed + (bytes_ or 0)
 
 
+def _at(spark: SparkSession, path: str):
+    """The file system of a path, whatever its scheme, and the path as it takes it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _at(spark, path)
+    return fs.exists(at)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted; none where there is no such folder."""
+    fs, at = _at(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    fs, at = _at(spark, path)
+    return fs.getContentSummary(at).getLength() if fs.exists(at) else 0
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there as a whole or not at all; an error where it exists already."""
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    fs, at = _at(spark, part)
+    out = fs.create(at, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    target = _at(spark, path)[1]
+    if fs.exists(target) or not fs.rename(at, target):
+        fs.delete(at, False)
+        raise FileExistsError(path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, at = _at(spark, path)
+    stream = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _at(spark, path)
+    fs.delete(at, True)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -6,8 +6,6 @@ is written under its batch id; a batch that runs again after a failure overwrite
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,11 +13,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tarrafa.plans.ingest import new_events
 from tarrafa.schemas import EVENTS
+from tarrafa.session import exists
 from tarrafa.sources.readers import export_rows, unzipped_lines
 
 def stored_events(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
     """All batches under ``root``, or those before a batch id; an empty table where there are none."""
-    if "://" not in root and not os.path.isdir(root):
+    if not exists(spark, root):
         return spark.createDataFrame([], EVENTS)
     stored = T.StructType([*EVENTS.fields, T.StructField("batch", T.LongType())])
     rows = spark.read.option("basePath", root).schema(stored).parquet(root)

@@ -29,3 +29,19 @@ def test_checkpoint_folders():
     for master in ("yarn", "spark://h:7077", "local-cluster[3,2,1024]"):
         with pytest.raises(RuntimeError):
             checkpoint_path(None, master)
+
+
+def test_files_on_any_file_system(spark, tmp_path):
+    from tarrafa.operators.upsert import read_snapshot, write_snapshot
+    from tarrafa.session import exists, names, read_text, write_text
+
+    root = f"file://{tmp_path}/none"
+    assert read_snapshot(spark, root) is None and not exists(spark, root) and names(spark, root) == []
+    for i in range(3):
+        write_snapshot(spark.range(i + 1), root)
+        assert read_snapshot(spark, root).count() == i + 1
+    write_text(spark, f"{root}/x", "olá")
+    assert read_text(spark, f"{root}/x") == "olá" and [n for n in names(spark, root) if "part" in n] == []
+    with pytest.raises(FileExistsError):
+        write_text(spark, f"{root}/x", "y")
+    assert read_text(spark, f"{root}/x") == "olá"
