@@ -377,7 +377,7 @@ class Index:
             sizes = np.array([led.get(i, 0) for i in range(len(table))], np.int64)
         cell = joined_cells(table, sizes, least_rows)
         self.cell = sc.broadcast(cell)
-        self.probes, self.met = (probes, None) if probes else enough_probes(*self._trials(k), table, cell)
+        self.probes, self.met = (probes, None) if probes else enough_probes(*self._trials(k, n), table, cell)
         if self.probes > PROBES[-1]:
             warnings.warn(f"the vectors fall into no clear cells: {self.probes} cells are searched per vector", stacklevel=2)
         per_cell = np.bincount(cell, weights=sizes, minlength=1)
@@ -397,13 +397,14 @@ class Index:
         rows = vectors.mapInArrow(run, "h binary").toArrow().column("h").to_pylist()
         return np.frombuffer(b"".join(rows), np.float16).reshape(-1, ROUTE).astype(np.float32)
 
-    def _trials(self, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    def _trials(self, k: int, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
         """Some rows and, for each, its k nearest among all rows by brute force; all of them projected.
 
         A stated set of ``TRIALS`` queries at most against every row: each task keeps k rows a query.
         """
         dims, a, sc = self.dims, self.a, self.vectors.sparkSession.sparkContext
-        chosen = self.vectors.orderBy(F.xxhash64(F.lit(SEED + 1), "_id")).limit(2 * TRIALS)
+        luck = math.ceil(min(1.0, 2 * TRIALS / max(n, 1)) * (1 << 40))
+        chosen = self.vectors.where(F.pmod(F.xxhash64(F.lit(SEED + 1), "_id"), F.lit(1 << 40)) < luck)
         batches = chosen.select("_id", "_e").toArrow().combine_chunks().to_batches()
         rows, v = usable(batches[0], dims) if batches else (np.zeros(0, int), np.zeros((0, dims), np.float32))
         asked, v = np.asarray(batches[0].column(0))[rows][:TRIALS] if len(rows) else np.zeros(0, np.int64), v[:TRIALS]
