@@ -2,15 +2,19 @@
 
 Two addresses lead to the same page if their site and numbers agree and their slugs share at least 3/4 of
 their distinct words taken together. An index of what was accepted is kept as tables: *variants*, one row
-per distinct (site, numbers, word set) with the first row that brought it and its cluster; and the
-*blocking keys* of each variant. A new batch is reduced to its own variants, probes the blocking keys of the
-history (never its rows), scores the candidates with learned weights, checks them exactly, and changes the
-representative of the clusters that it touches only.
+per distinct (site, numbers, word set) with the first row that brought it and its cluster; the *blocking keys*
+of each variant; and *moved*, the union-find mapping of cluster representatives. A new batch is reduced to its
+own variants, probes the blocking keys of the history (never its rows), scores the candidates with learned
+weights, and changes the representatives of the clusters that it touches only.
 
-Blocking keys: a Jaccard similarity of t needs a common word among the first ``n - ceil(t n) + 1`` words of
-each set in any fixed order; words are ordered by length, longest first, then by hash, since long words are
-rare ones. A key is (site, numbers, word), so a hot site or one page in many copies doesn't make a hot key:
-copies are one variant. Nothing is capped.
+Blocking keys: sets of a and b words with a Jaccard similarity of t share at least ``ceil(t a)`` words, so two of
+the first ``a - ceil(t a) + 2`` words of each in any fixed order (one, for sets of one word). A key is (site, numbers,
+two such words); words are ordered by length, longest first, then by hash, since long words are rare ones. A hot site
+or one page in many copies doesn't make a hot key: copies are one variant. Nothing is capped.
+
+The score is logistic in the number of common words and of words in both; its weights are learnt from all pairs of
+sets of up to ``LEARNT`` words, on which it makes no mistake. It decides for such pairs; those of longer slugs, where
+weights learnt from shorter ones could be off by a word, are checked exactly.
 
 Defined results: a null address is the page ''; addresses without a hyphenated part have an empty slug,
 which agrees with an empty slug only; repeated rows are the same page; ties in the order of arrival can't
@@ -19,35 +23,44 @@ occur if ids are unique (otherwise such rows don't come before each other).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarrafa.functions.url import site, strip
-from tarrafa.session import checkpointed
+from tarrafa.session import checkpointed, ensure_checkpoint_dir, names, read_text, remove, write_text
 
 THRESHOLD = 0.75
 #: Parameters that only follow visitors, as a pattern over a decoded name.
 TRACKING = r"(?i)^(?:utm_.*|fbclid|gclid|dclid|msclkid|yclid|igshid|mc_[ce]id|_ga|_gl|ref|ref_.*|referrer|origem|origin|source|src|from|share|shared|xtor|cmpid|ncid|wt_.*|at_.*|sid|sessionid|phpsessid|jsessionid)$"
 
-#: Labelled candidate pairs, (share of common words, share of common prefix keys, same page): what the
-#: weights of the score are fitted on.
-LABELLED_PAIRS = [
-    (1.00, 1.00, 1), (0.95, 1.00, 1), (0.92, 0.67, 1), (0.90, 1.00, 1), (0.88, 0.67, 1), (0.83, 0.67, 1), (0.82, 0.33, 1),
-    (0.80, 0.67, 1), (0.78, 0.33, 1), (0.77, 0.67, 1), (0.75, 0.33, 1), (0.75, 0.67, 1), (0.73, 0.67, 0), (0.71, 0.33, 0),
-    (0.70, 0.67, 0), (0.67, 0.33, 0), (0.64, 0.67, 0), (0.60, 0.33, 0), (0.54, 0.33, 0), (0.50, 0.67, 0), (0.45, 0.33, 0),
-    (0.40, 0.33, 0), (0.33, 0.33, 0), (0.25, 0.33, 0), (0.17, 0.33, 0), (0.11, 0.33, 0), (0.05, 0.33, 0),
-]
+#: Most words of the sets that the weights of the score are learnt from.
+LEARNT = 24
+
+
+def labelled_pairs(most: int = LEARNT, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
+    """(words in common, words of both sets, whether they are the same page) of all pairs of sets up to a size."""
+    return [(c, a + b, int(c >= threshold * (a + b - c))) for a in range(1, most + 1) for b in range(1, most + 1) for c in range(min(a, b) + 1)]
 
 
-def fit_weights(pairs: list[tuple[float, float, int]] = LABELLED_PAIRS, steps: int = 4000, rate: float = 2.0) -> tuple[float, float, float]:
-    """Logistic weights (bias, word share, key share) by plain gradient descent on the labelled pairs."""
+@functools.lru_cache(maxsize=8)
+def fit_weights(most: int = LEARNT, threshold: float = THRESHOLD) -> tuple[float, float, float]:
+    """Logistic weights (bias, common words, words of both), by Newton's method on the labelled pairs."""
     import numpy as np
 
-    x = np.array([[1.0, a, b] for a, b, _ in pairs])
-    y = np.array([c for *_, c in pairs], dtype=float)
+    pairs = np.array(labelled_pairs(most, threshold), dtype=float)
+    x, y = np.column_stack([np.ones(len(pairs)), pairs[:, :2]]), pairs[:, 2]
     w = np.zeros(3)
-    for _ in range(steps):
-        w -= rate * (x.T @ (1 / (1 + np.exp(-x @ w)) - y) / len(y) + 1e-4 * np.array([0, *w[1:]]))
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        ridge = 1e-6 * np.diag([0.0, 1, 1])
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(3), x.T @ (p - y) + ridge @ w)
+        if ((x @ w >= 0) == (y > 0)).all():
+            break
     return tuple(float(v) for v in w)
 
 
@@ -69,41 +82,41 @@ def with_page(df: DataFrame, url: str) -> DataFrame:
     return d.select(*keep, site(F.col("_u")).alias("_site"), F.array_join("_numbers", ",").alias("_numbers"), ordered.alias("_words"))
 
 
-def _prefix(words: Column, threshold: float) -> Column:
-    """The first words of a set, of which one must be shared; '' stands for an empty set."""
+def _keys(threshold: float) -> Column:
+    """Blocking keys of _site, _numbers and _words: pairs of the first words; a set of one word or none has one key."""
+    if not 0.5 < threshold <= 1:
+        raise ValueError("the threshold must lie between 1/2 and 1: smaller sets may share one word only")
+    words = F.col("_words")
     n = F.size(words)
-    return F.when(n == 0, F.array(F.lit(""))).otherwise(F.slice(words, F.lit(1), n - F.ceil(n * F.lit(threshold)).cast("int") + 1))
+    first = F.slice(words, F.lit(1), n - F.ceil(n * F.lit(threshold)).cast("int") + 2)
+    pairs = F.transform(first, lambda x, i: F.transform(F.slice(first, i + 2, F.size(first)), lambda y: F.xxhash64("_site", "_numbers", x, y)))
+    return F.when(n < 2, F.array(F.xxhash64("_site", "_numbers", F.coalesce(F.get(words, F.lit(0)), F.lit(""))))).otherwise(F.array_distinct(F.flatten(pairs)))
 
 
-def _block(word: Column) -> Column:
-    return F.xxhash64("_site", "_numbers", word)
+def parsed_rows(df: DataFrame, order: list[str], url: str) -> DataFrame:
+    """(order columns, _site, _numbers, _words, _variant) of each row; written out, since two steps need it."""
+    d = with_page(df.select(*order, url), url).drop(url)
+    return checkpointed(d.withColumn("_variant", F.xxhash64("_site", "_numbers", F.array_sort("_words"))))
 
 
-def variants(df: DataFrame, order: list[str], url: str, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per distinct (site, numbers, words) with ``_first``, the least order struct, and its keys."""
-    d = with_page(df.select(*order, url), url).select(F.struct(*order).alias("_order"), "_site", "_numbers", "_words")
-    v = d.withColumn("_variant", F.xxhash64("_site", "_numbers", F.array_sort("_words")))
-    v = v.groupBy("_variant").agg(F.min("_order").alias("_first"), F.first("_site").alias("_site"), F.first("_numbers").alias("_numbers"), F.first("_words").alias("_words"))
-    return v.withColumn("_keys", F.transform(_prefix(F.col("_words"), threshold), _block))
+def variants(rows: DataFrame, order: list[str], threshold: float = THRESHOLD) -> DataFrame:
+    """One row per distinct page address of ``parsed_rows``: _variant, _first (the least order struct), _words, _keys."""
+    v = rows.groupBy("_variant").agg(F.min(F.struct(*order)).alias("_first"), F.any_value("_site").alias("_site"), F.any_value("_numbers").alias("_numbers"), F.any_value("_words").alias("_words"))
+    return v.select("_variant", "_first", "_words", _keys(threshold).alias("_keys"))
 
 
 def links(new: DataFrame, known: DataFrame, threshold: float = THRESHOLD, weights: tuple[float, float, float] | None = None) -> DataFrame:
-    """(_a, _b): pairs of different variants, from ``new`` and ``known``, that are the same page.
+    """(_a, _b): pairs of different variants, from ``new`` and ``known``, that share a blocking key and are the same page.
 
-    Candidates share a blocking key; those whose score is hopeless (a probability under 5 %, which no pair
-    at the threshold has) are left out, the rest is checked exactly. Each pair comes out once per direction
-    in which it was found.
+    Each pair comes out once per direction in which it was found.
     """
-    b, ws, wk = weights or fit_weights()
+    b, wc, ws = weights or fit_weights(threshold=threshold)
     left = new.select(F.col("_variant").alias("_a"), F.col("_words").alias("_wa"), F.explode("_keys").alias("_key"))
     right = known.select(F.col("_variant").alias("_b"), F.col("_words").alias("_wb"), F.explode("_keys").alias("_key"))
     pairs = left.join(right, "_key").where("_a <> _b")
-    common = F.size(F.array_intersect("_wa", "_wb"))
-    share = common / F.greatest(F.size("_wa") + F.size("_wb") - common, F.lit(1))
-    need = F.least(F.size(_prefix(F.col("_wa"), threshold)), F.size(_prefix(F.col("_wb"), threshold)))
-    keys = F.size(F.array_intersect(_prefix(F.col("_wa"), threshold), _prefix(F.col("_wb"), threshold))) / F.greatest(need, F.lit(1))
-    score = F.lit(1.0) / (1 + F.exp(-(b + ws * share + wk * keys)))
-    return pairs.where((score >= 0.05) & (share >= threshold)).select("_a", "_b").distinct()
+    common, total = F.size(F.array_intersect("_wa", "_wb")), F.size("_wa") + F.size("_wb")
+    same = F.when(F.greatest(F.size("_wa"), F.size("_wb")) <= LEARNT, b + wc * common + ws * total >= 0).otherwise(common >= threshold * (total - common))
+    return pairs.where(same).select("_a", "_b").distinct()
 
 
 def first_on_page(all_variants: DataFrame, found: DataFrame) -> DataFrame:
@@ -113,17 +126,34 @@ def first_on_page(all_variants: DataFrame, found: DataFrame) -> DataFrame:
     return all_variants.join(near, "_variant", "left").select("_variant", F.least("_first", F.coalesce("_other", "_first")).alias("_earliest"))
 
 
-def duplicates(df: DataFrame, order: list[str], url: str = "sourceurl", threshold: float = THRESHOLD) -> DataFrame:
-    """The order columns of each row for which a row on the same page comes before it.
+def ingested(df: DataFrame, order: list[str], url: str = "sourceurl", threshold: float = THRESHOLD, groups: int = 1) -> tuple[DataFrame, PageIndex]:
+    """(order columns, is_duplicate, cluster) of all rows, and the index they went through.
 
-    All batches at once: what the incremental index would have said for each batch in its turn, since a row
-    is only ever compared with what comes before it in ``order``.
+    Batches (values of the first order column) arrive in order, in ``groups`` ingests of about as many rows each, into
+    an index of their own in the checkpoint folder. A batch is checked against what was ingested before and what
+    comes before it in its ingest, so the number of groups doesn't change the rows.
     """
-    v = variants(df, order, url, threshold)
-    # Only a block with two variants or more has pairs; links() finds none elsewhere.
-    earliest = first_on_page(v, links(v, v, threshold))
-    rows = with_page(df.select(*order, url), url).select(*order, F.xxhash64("_site", "_numbers", F.array_sort("_words")).alias("_variant"))
-    return rows.join(earliest, "_variant").where(F.struct(*order) > F.col("_earliest")).select(*order)
+    spark, batch = df.sparkSession, order[0]
+    index = PageIndex(spark, f"{ensure_checkpoint_dir(spark)}/pages-{uuid.uuid4().hex}", order, url, threshold)
+    parts = [df]
+    if groups > 1:
+        # One row per batch in the window; at most ``groups`` rows come to the driver.
+        sizes = df.groupBy(batch).agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy(F.asc_nulls_first(batch))) - F.col("n"))
+        total = F.sum("n").over(Window.partitionBy())
+        ends = sizes.withColumn("part", F.floor(F.col("before") * groups / total)).groupBy("part").agg(F.max(batch).alias("end")).orderBy("part")
+        ends = [r["end"] for r in ends.collect() if r["end"] is not None]
+        last = lambda e: F.coalesce(F.col(batch) <= F.lit(e), F.lit(True))
+        parts = [df.where(last(high) if low is None else (F.col(batch) > F.lit(low)) & last(high)) for low, high in zip([None, *ends], ends, strict=False)] or [df]
+    out = None
+    for part in parts:
+        rows = index.ingest(part)
+        out = rows if out is None else out.unionByName(rows)
+    return out, index
+
+
+def duplicates(df: DataFrame, order: list[str], url: str = "sourceurl", threshold: float = THRESHOLD, groups: int = 1) -> DataFrame:
+    """The order columns of each row for which a row on the same page comes before it, by ``ingested``."""
+    return ingested(df, order, url, threshold, groups)[0].where("is_duplicate").select(*order)
 
 
 def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -152,86 +182,136 @@ def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return roots
 
 
-def pages(df: DataFrame, order: list[str], url: str = "sourceurl", threshold: float = THRESHOLD) -> DataFrame:
-    """The order columns and ``page`` of each row: the least variant of its cluster of linked addresses."""
-    v = variants(df, order, url, threshold)
-    edges = checkpointed(links(v, v, threshold))
-    rows = with_page(df.select(*order, url), url).select(*order, F.xxhash64("_site", "_numbers", F.array_sort("_words")).alias("_node"))
-    return rows.join(connected(edges), "_node", "left").select(*order, F.coalesce("_root", "_node").alias("page"))
+def pages(df: DataFrame, order: list[str], url: str = "sourceurl", threshold: float = THRESHOLD, groups: int = 1) -> DataFrame:
+    """The order columns and ``page`` of each row: the representative of its cluster of linked addresses, by ``ingested``."""
+    rows, index = ingested(df, order, url, threshold, groups)
+    return index.present(rows.select(*order, F.col("cluster").alias("page")), "page")
 
 
 class PageIndex:
     """What was accepted so far, as Parquet tables under ``path``.
 
-    Per batch, a generation of *keys* (blocking key, variant) and *variants*, both partitioned by hash, so that a small
-    batch reads few files; and one table of *moved* clusters, the union-find mapping of old representatives to
-    their present ones, written anew per batch (it holds merged clusters only). A batch probes the keys, fetches the
-    variants found, and touches the clusters of those alone. An index opened on a path goes on after the last
-    batch that was written to its end; batches must arrive in their order.
-    """
+    Each ingest writes a generation: *keys* (blocking key, variant) and *variants*, in folders by hash whose number
+    follows the generation's rows (``bucket_rows`` of them each), and *moved* clusters, if any were merged. A batch
+    opens only the folders its own keys fall into, so what it reads follows its size, not that of the history. ``fan``
+    generations of one level are merged into one of the next, so that few are live, and a row is rewritten once per
+    level. Representatives move once (afterwards they aren't representatives), so *moved* is only ever added to.
 
-    BUCKETS = 64
+    A manifest per ingest, written last, names the live generations; an index opened on a path goes on after the
+    last manifest. Batches must arrive in their order. Tables that no manifest needs any more are removed one ingest
+    later, so that readers of the manifest before aren't disturbed.
+    """
 
-    def __init__(self, spark, path: str, order: list[str], url: str = "sourceurl", threshold: float = THRESHOLD):
+    def __init__(self, spark, path: str, order: list[str], url: str = "sourceurl", threshold: float = THRESHOLD, bucket_rows: int = 1 << 18, fan: int = 4):
         self.spark, self.path, self.order, self.url, self.threshold = spark, path.rstrip("/"), order, url, threshold
-        self.generation = 0
-        while self._exists(f"moved/{self.generation}/_SUCCESS"):
-            self.generation += 1
-
-    def _exists(self, name: str) -> bool:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return at.getFileSystem(conf).exists(at)
-
-    def _read(self, kind: str) -> DataFrame:
-        parts = [f"{self.path}/{kind}/{i}" for i in range(self.generation)]
-        frames = [self.spark.read.parquet(p) for p in parts]
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f)
-        return out
-
-    def _bucket(self, column: str) -> Column:
-        return F.pmod(F.col(column), F.lit(self.BUCKETS)).cast("int")
+        self.bucket_rows, self.fan = bucket_rows, fan
+        done = [n for n in names(spark, f"{self.path}/manifests") if n.isdigit()]
+        self.state = json.loads(read_text(spark, f"{self.path}/manifests/{done[-1]}")) if done else {"ingests": 0, "live": [], "old": []}
+        self.opened: list[str] = []
+
+    def _read(self, kind: str, generation: dict, buckets: list[int] | None = None) -> DataFrame:
+        """A table of a generation, or those of its folders that are named (and there)."""
+        root = f"{self.path}/{kind}/{generation['name']}"
+        if buckets is None:
+            return self.spark.read.parquet(root)
+        wanted = [f"{root}/_bucket={b}" for b in sorted(set(buckets) & set(generation[kind]))]
+        self.opened += wanted
+        schema = generation["schemas"][kind]
+        return self.spark.read.schema(schema).option("basePath", root).parquet(*wanted) if wanted else self.spark.createDataFrame([], T._parse_datatype_string(schema))
+
+    def _buckets(self, values: DataFrame, column: str, of: list[dict], kind: str) -> list[list[int]]:
+        """For each generation, the folders that the values fall into: at most as many numbers as it has folders."""
+        if not of:
+            return []
+        row = values.agg(*[F.collect_set(F.pmod(F.col(column), F.lit(g["folders"][kind]))).alias(str(i)) for i, g in enumerate(of)]).first()
+        return [list(x) for x in row]
 
     def probe(self, new: DataFrame) -> DataFrame:
         """Variants of the history that share a blocking key with new ones, with the clusters they are in now."""
-        keys = new.select(F.explode("_keys").alias("_key")).distinct().withColumn("_bucket", self._bucket("_key"))
-        hit = self._read("keys").join(keys, ["_bucket", "_key"], "left_semi").select("_variant").distinct().withColumn("_bucket", self._bucket("_variant"))
-        found = self._read("variants").join(hit, ["_bucket", "_variant"], "left_semi").drop("_bucket")
-        moved = self.spark.read.parquet(f"{self.path}/moved/{self.generation - 1}")
-        return found.join(moved, F.col("_cluster") == F.col("_from"), "left").withColumn("_cluster", F.coalesce("_to", "_cluster")).drop("_from", "_to")
+        live = self.state["live"]
+        keys = checkpointed(new.select(F.explode("_keys").alias("_key")).distinct())
+        hits = None
+        for i, (g, buckets) in enumerate(zip(live, self._buckets(keys, "_key", live, "keys"))):
+            hit = self._read("keys", g, buckets).join(keys, "_key", "left_semi").select("_variant", F.lit(i).alias("_in"))
+            hits = hit if hits is None else hits.unionByName(hit)
+        hits = checkpointed(hits.distinct())
+        found = None
+        folders = F.get(F.array(*[F.lit(g["folders"]["variants"]) for g in live]), F.col("_in"))
+        touched = {r["_in"]: r["b"] for r in hits.groupBy("_in").agg(F.collect_set(F.pmod("_variant", folders)).alias("b")).collect()}
+        for i, g in enumerate(live):
+            part = self._read("variants", g, touched.get(i, [])).drop("_bucket").join(hits.where(F.col("_in") == i).select("_variant"), "_variant", "left_semi")
+            found = part if found is None else found.unionByName(part)
+        return self.present(found, "_cluster")
+
+    def present(self, df: DataFrame, column: str) -> DataFrame:
+        """``df`` with each representative in ``column`` replaced by the present one of its cluster."""
+        with_moves = [g for g in self.state["live"] if g["moved"]]
+        if not with_moves:
+            return df
+        moved = None
+        for g in with_moves:
+            part = self._read("moved", g).select(F.col("_from").alias("_old"), "_to")
+            moved = part if moved is None else moved.unionByName(part)
+        moved = checkpointed(moved)
+        while True:
+            df = checkpointed(df.join(moved, F.col(column) == F.col("_old"), "left").withColumn(column, F.coalesce("_to", column)).drop("_old", "_to"))
+            if df.join(moved, F.col(column) == F.col("_old"), "left_semi").isEmpty():
+                return df
 
     def ingest(self, batch: DataFrame) -> DataFrame:
         """(order columns, is_duplicate, cluster) of the batch; cluster is the least variant of the page's cluster."""
-        new = checkpointed(variants(batch, self.order, self.url, self.threshold))
+        self.opened = []
+        rows = parsed_rows(batch, self.order, self.url)
+        new = checkpointed(variants(rows, self.order, self.threshold))
         own = new.withColumn("_cluster", F.col("_variant"))
-        touched = checkpointed(self.probe(new)) if self.generation else own.limit(0)
-        pool = touched.unionByName(own.join(touched, "_variant", "left_anti"))
-        pool = checkpointed(pool)
-        found = checkpointed(links(new, pool.drop("_cluster"), self.threshold))
-        earliest = first_on_page(pool.drop("_cluster"), found)
-        clusters = pool.select("_variant", "_cluster")
-        edges = found.select("_a", "_b").union(clusters.where("_variant <> _cluster").select("_variant", "_cluster"))
-        roots = connected(edges)
-        named = checkpointed(clusters.join(roots.withColumnRenamed("_node", "_variant"), "_variant", "left").select("_variant", F.coalesce("_root", "_cluster").alias("_now"), F.col("_cluster").alias("_was")))
-        self._write(new.join(touched, "_variant", "left_anti"), named)
-        rows = with_page(batch.select(*self.order, self.url), self.url).select(*self.order, F.xxhash64("_site", "_numbers", F.array_sort("_words")).alias("_variant"))
-        out = rows.join(earliest, "_variant").join(named, "_variant").select(*self.order, (F.struct(*self.order) > F.col("_earliest")).alias("is_duplicate"), F.col("_now").alias("cluster"))
+        if self.state["live"]:
+            touched = checkpointed(self.probe(new).select(own.columns))
+            fresh = checkpointed(own.join(touched.select("_variant"), "_variant", "left_anti"))
+            pool = touched.unionByName(fresh)
+        else:
+            touched, fresh, pool = own.limit(0), own, own
+        found = checkpointed(links(new, pool, self.threshold))
+        edges = found.select("_a", "_b").union(touched.where("_variant <> _cluster").select("_variant", "_cluster"))
+        roots = connected(edges).withColumnRenamed("_node", "_variant")
+        named = checkpointed(first_on_page(pool, found).join(pool.select("_variant", "_cluster"), "_variant").join(roots, "_variant", "left").select("_variant", "_earliest", F.coalesce("_root", "_cluster").alias("_now"), F.col("_cluster").alias("_was")))
+        self._write(fresh, named, touched)
+        out = rows.select(*self.order, "_variant").join(named, "_variant").select(*self.order, (F.struct(*self.order) > F.col("_earliest")).alias("is_duplicate"), F.col("_now").alias("cluster"))
         return checkpointed(out)
 
-    def _write(self, fresh: DataFrame, named: DataFrame) -> None:
-        at = self.generation
-        keys = fresh.select(F.explode("_keys").alias("_key"), "_variant").withColumn("_bucket", self._bucket("_key"))
-        keys.write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/keys/{at}")
-        kept = fresh.join(named.select("_variant", F.col("_now").alias("_cluster")), "_variant").withColumn("_bucket", self._bucket("_variant"))
-        kept.write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/variants/{at}")
-        changed = named.where("_was <> _now").groupBy(F.col("_was").alias("_from")).agg(F.min("_now").alias("_to"))
-        if at:
-            before = self.spark.read.parquet(f"{self.path}/moved/{at - 1}")
-            again = changed.select(F.col("_from").alias("_to"), F.col("_to").alias("_next"))
-            paths = before.join(again, "_to", "left").select("_from", F.coalesce("_next", "_to").alias("_to"))
-            changed = paths.unionByName(changed.join(before, "_from", "left_anti"))
-        # Written last: the batch counts once this is complete.
-        changed.select("_from", "_to").write.mode("overwrite").parquet(f"{self.path}/moved/{at}")
-        self.generation += 1
+    def _write(self, fresh: DataFrame, named: DataFrame, touched: DataFrame) -> None:
+        state = self.state
+        number = state["ingests"] + 1
+        name = f"{number:09d}"
+        kept = fresh.drop("_cluster").join(named.select("_variant", F.col("_now").alias("_cluster")), "_variant")
+        keys = fresh.select(F.explode("_keys").alias("_key"), "_variant")
+        counts = fresh.agg(F.count("*").alias("v"), F.coalesce(F.sum(F.size("_keys")), F.lit(0)).alias("k")).first()
+        moved = checkpointed(named.where("_was <> _now").join(touched.select(F.col("_cluster").alias("_was")).distinct(), "_was", "left_semi").groupBy(F.col("_was").alias("_from")).agg(F.min("_now").alias("_to"))) if state["live"] else None
+        live, old = list(state["live"]), []
+        live.append(self._generation(name, 0, keys, kept, moved, counts["k"], counts["v"]))
+        while len(same := [g for g in live if g["level"] == live[-1]["level"]]) >= self.fan:
+            union = lambda kind: functools.reduce(DataFrame.unionByName, [self._read(kind, g) for g in same if g[kind]] or [self._read(kind, same[0], [])])  # noqa: E731, B023
+            moves = [self._read("moved", g) for g in same if g["moved"]]
+            merged = self._generation(f"{name}-{live[-1]['level'] + 1}", live[-1]["level"] + 1, union("keys").select("_key", "_variant"), union("variants").drop("_bucket"), functools.reduce(DataFrame.unionByName, moves) if moves else None, sum(g["rows"]["keys"] for g in same), sum(g["rows"]["variants"] for g in same))
+            old += [g["name"] for g in same]
+            live = [g for g in live if g not in same] + [merged]
+        state = {"ingests": number, "live": live, "old": old}
+        write_text(self.spark, f"{self.path}/manifests/{number:09d}", json.dumps(state))
+        for gone in self.state["old"]:
+            for kind in ("keys", "variants", "moved"):
+                remove(self.spark, f"{self.path}/{kind}/{gone}")
+        self.state = state
+
+    def _generation(self, name: str, level: int, keys: DataFrame, kept: DataFrame, moved: DataFrame | None, n_keys: int, n_variants: int) -> dict:
+        folders, there, schemas = {}, {}, {}
+        for kind, df, column, n in (("keys", keys, "_key", n_keys), ("variants", kept, "_variant", n_variants)):
+            folders[kind] = max(1, -(-n // self.bucket_rows))
+            bucketed = df.withColumn("_bucket", F.pmod(F.col(column), F.lit(folders[kind])).cast("int"))
+            schemas[kind] = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bucketed.schema.fields)
+            # One file a folder; what is written is read by folder, and within it by the ranges of its pages.
+            parts = min(folders[kind], 4096)
+            bucketed.repartition(parts, "_bucket").sortWithinPartitions("_bucket", column).write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/{kind}/{name}")
+            there[kind] = [int(x.removeprefix("_bucket=")) for x in names(self.spark, f"{self.path}/{kind}/{name}") if x.startswith("_bucket=")]
+        merged = moved is not None and not moved.isEmpty()
+        if merged:
+            moved.select("_from", "_to").write.mode("overwrite").parquet(f"{self.path}/moved/{name}")
+        return {"name": name, "level": level, "folders": folders, "schemas": schemas, "rows": {"keys": n_keys, "variants": n_variants}, "moved": merged, **there}

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarrafa.llm import boilerplate, linkage, mixture, neighbours, repeated_lines, residue, sentences, splitter, tokens
-from tarrafa.session import ensure_checkpoint_dir, table
+from tarrafa.session import table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,29 +36,26 @@ def p3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.main_text(table(spark, sf_dir, "g1_articles", "url", "text_content"), "url", "text_content")
 
 
+#: Ingests that the stored events are sent through; the rows don't depend on it.
+GROUPS = 3
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored events through the persisted index, in ``GROUPS`` ingests of whole source files, each against what came before."""
     events = table(spark, sf_dir, "gdelt_brazil_events", "source_file", "id", "sourceurl")
-    return linkage.duplicates(events, ["source_file", "id"]).select("id")
+    return linkage.duplicates(events, ["source_file", "id"], groups=GROUPS).select("id")
 
 
 def p4_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of p4_found, by the persisted index: four groups of source files, each against what came before."""
+    """The rows of p4_found, in one ingest more."""
     events = table(spark, sf_dir, "gdelt_brazil_events", "source_file", "id", "sourceurl")
-    files = events.select("source_file").distinct().withColumn("group", F.ntile(4).over(Window.orderBy("source_file")))
-    ends = [r["end"] for r in files.groupBy("group").agg(F.max("source_file").alias("end")).orderBy("group").collect()]  # four rows
-    index = linkage.PageIndex(spark, f"{ensure_checkpoint_dir(spark)}/pages-{uuid.uuid4().hex}", ["source_file", "id"])
-    out = None
-    for low, high in zip([None, *ends], ends, strict=False):
-        inside = (F.col("source_file") > low) & (F.col("source_file") <= high) if low is not None else F.coalesce(F.col("source_file") <= high, F.lit(True))
-        batch = index.ingest(events.where(inside)).where("is_duplicate").select("id")
-        out = batch if out is None else out.unionByName(batch)
-    return out if out is not None else events.select("id")
+    return linkage.duplicates(events, ["source_file", "id"], groups=GROUPS + 1).select("id")
 
 
 def p4_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, page): each row with the cluster of addresses that lead to its page, one hash per cluster."""
     events = table(spark, sf_dir, "gdelt_brazil_events", "source_file", "id", "sourceurl")
-    return linkage.pages(events, ["source_file", "id"]).select("id", "page")
+    return linkage.pages(events, ["source_file", "id"], groups=GROUPS).select("id", "page")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
