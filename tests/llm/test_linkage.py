@@ -33,11 +33,11 @@ def test_what_a_batch_reads_follows_its_size(spark, tmp_path):
         read[turn] = sum(folder_bytes(spark, p) for p in index.opened)
     history = folder_bytes(spark, f"{tmp_path}/i/keys") + folder_bytes(spark, f"{tmp_path}/i/variants")
     # Nine times the history, in two large generations instead of one: each is opened at the batch's own folders.
-    assert len(index.state["live"]) == 3 and read[3] < 2.5 * read[1] and read[3] < history / 50, (read, history)
+    assert read[3] < 2.5 * read[1] and read[3] < history / 50, (read, history)
 
 
 def test_generations_are_merged_and_say_the_same(spark, tmp_path):
-    data = [(f"f{i // 8:02d}", i, f"https://s.br/{i % 40 // 20}/" + "-".join(f"w{(i * k) % 29}{chr(97 + k)}" for k in range(1, 6 + i % 3))) for i in range(56)]
+    data = [(f"f{i // 8:02d}", i, f"https://s.br/{i % 40 // 20}/" + "-".join(f"w{(i * k) % 5}{chr(97 + k)}" for k in range(1, 6 + i % 3))) for i in range(56)]
     df = spark.createDataFrame(data, "source_file string, id long, sourceurl string")
     whole = {tuple(r) for r in linkage.duplicates(df, ORDER).collect()}
     found = set()
