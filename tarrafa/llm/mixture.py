@@ -30,8 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarrafa.llm.tokens import count_tokens
-from tarrafa.session import checkpointed, small
+from tarrafa.llm.tokens import count_tokens, encode
+from tarrafa.session import checkpointed, written
 
 BLOCK, SHARD_BLOCKS, SEED = 256, 256, 20240607
 #: Tokens of one stream of a source: what one numbering task sees.
@@ -52,8 +52,8 @@ def pack(tokens: DataFrame, block: int = BLOCK, stream_tokens: int = STREAM_TOKE
     Block numbers are dense within a source, from 0. ``tokens`` is read more than once, so it should be written out.
     """
     sizes = tokens.groupBy("source").agg(F.sum("n_tokens").alias("_total")).select("source", F.ceil(F.col("_total") / stream_tokens).alias("_streams"))
-    # One row per named source, of a size that is known once it is written.
-    t = tokens.join(small(checkpointed(sizes)), "source").withColumn("_stream", F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), "_streams")).drop("_streams")
+    # One row per named source; its size is measured once it is written.
+    t = tokens.join(written(sizes), "source").withColumn("_stream", F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), "_streams")).drop("_streams")
     order = Window.partitionBy("source", "_stream").orderBy(F.xxhash64("doc_id"), "doc_id")
     t = t.withColumn("_end", F.sum("n_tokens").over(order)).withColumn("_start", F.col("_end") - F.col("n_tokens"))
     # Streams of a source are few (its size over stream_tokens); their block counts are summed up in a small window.
@@ -90,8 +90,7 @@ def shard_draw(counts: np.ndarray, sizes_total: int, shard: int, shards: int, sh
     while high - low > 1:
         mid = (low + high) // 2
         left = min(mid * shard_blocks, sizes_total) - low * shard_blocks
-        rng = np.random.default_rng([seed, low, high])
-        drawn = rng.multivariate_hypergeometric(have, left, method="marginals")
+        drawn = drawn_of_each(np.random.default_rng([seed, low, high]), have, left)
         if shard < mid:
             high, have = mid, drawn
         else:
@@ -99,6 +98,56 @@ def shard_draw(counts: np.ndarray, sizes_total: int, shard: int, shards: int, sh
     return start, have
 
 
+def drawn_of_each(rng: np.random.Generator, have: np.ndarray, n: int) -> np.ndarray:
+    """How many of each kind are among n drawn without putting back; counts may be as large as doubles tell apart."""
+    out, rest = np.zeros_like(have), int(have.sum())
+    for i, good in enumerate(have.tolist()):
+        rest -= good
+        out[i] = hypergeometric(rng, good, rest, n)
+        n -= int(out[i])
+    return out
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """Number of good ones among n drawn of good + bad.
+
+    Populations that the library's sampler doesn't take (1e9 and more) are drawn by the ratio of uniforms: points under
+    the square root of the law's density, in a rectangle known to hold it, are accepted.
+    """
+    whole = good + bad
+    if not good or not n:
+        return 0
+    if not bad or n == whole:
+        return min(good, n)
+    if whole < 1_000_000_000:
+        return int(rng.hypergeometric(good, bad, n))
+    if 2 * good > whole:
+        return n - hypergeometric(rng, bad, good, n)
+    if 2 * n > whole:
+        return good - hypergeometric(rng, good, bad, whole - n)
+    mode = (n + 1) * (good + 1) // (whole + 2)
+    share = good / whole
+    deviation = math.sqrt((whole - n) / (whole - 1) * n * share * (1 - share) + 0.5)
+    # Width of the rectangle, 2 sqrt(2 / e) and 3 - 2 sqrt(3 / e), by Stadlober's bound.
+    centre, width = n * share + 0.5, 2 * math.sqrt(2 / math.e) * deviation + 3 - 2 * math.sqrt(3 / math.e)
+    while True:
+        u, v = 1 - rng.random(), rng.random()
+        w = centre + width * (v - 0.5) / u
+        if not 0 <= w < min(n, good) + 1:
+            continue
+        k = int(w)
+        pairs = ((k, mode), (good - k, good - mode), (n - k, n - mode), (bad - n + k, bad - n + mode))
+        if 2 * math.log(u) <= -sum(_log_factorials(x, y) for x, y in pairs):
+            return k
+
+
+def _log_factorials(x: int, y: int) -> float:
+    """log x! - log y!, without the cancellation that two large logarithms would suffer."""
+    if min(x, y) < 1000:
+        return math.lgamma(x + 1) - math.lgamma(y + 1)
+    return (y + 0.5) * math.log1p((x - y) / y) + (x - y) * (math.log(x) - 1) + (1 / x - 1 / y) / 12
+
+
 def permuted(n: np.ndarray, size: int, key: int) -> np.ndarray:
     """A pseudorandom permutation of range(size), at the indices n: four Feistel rounds, walking on until inside."""
     half = max(1, math.ceil(math.log2(max(size, 2)) / 2))
@@ -161,10 +210,24 @@ def mix(documents: DataFrame, targets: DataFrame, block: int = BLOCK, shard_bloc
     blocks = {s: b for s, (b, _) in have.items()}
     counts = plan(blocks, [tuple(r) for r in goals.select("source", "target_share", "max_repeats").collect()], wanted_blocks)
     drawn = slots(spark, counts, blocks, shard_blocks, seed)
-    segments = drawn.join(packed, ["source", "block_no"]).select("shard", "slot", "source", "doc_id", "first_token", "n_tokens", "pass")
+    # Both sides grow with the mix: what the optimizer guesses of the drawn one is that of a few shards.
+    segments = drawn.join(packed.hint("merge"), ["source", "block_no"]).select("shard", "slot", "source", "doc_id", "first_token", "n_tokens", "pass")
     used = segments.groupBy("source").agg(F.sum("n_tokens").alias("tokens_used"), (F.max("pass") + 1).alias("passes"))
     available = packed.groupBy("source").agg(F.sum("n_tokens").alias("tokens_available"))
     report = goals.join(available, "source", "left").join(used, "source", "left")
     whole = F.sum(F.coalesce("tokens_used", F.lit(0))).over(Window.partitionBy())
     report = report.select("source", "target_share", F.coalesce("tokens_available", F.lit(0)).alias("tokens_available"), F.coalesce("tokens_used", F.lit(0)).alias("tokens_used"), F.coalesce(F.try_divide(F.coalesce("tokens_used", F.lit(0)), whole), F.lit(0.0)).alias("actual_share"), F.coalesce("passes", F.lit(0)).alias("passes"))
     return segments, report
+
+
+def mixed_ids(documents: DataFrame, segments: DataFrame, path: str | None = None) -> DataFrame:
+    """(shard, slot, source, pass, ids) of each block of the mix: the token ids of its segments, end to end.
+
+    Ids and segments meet by document; a slot's segments, at most a block's tokens, then meet by shard and slot.
+    """
+    used = segments.select("doc_id").distinct()
+    ids = encode(documents.where("text is not null and text <> ''").select("doc_id", "text").join(used, "doc_id", "left_semi"), "doc_id", "text", path)
+    order = F.xxhash64("doc_id")  # documents lie in a stream by this hash, so a block's segments do as well
+    part = F.struct(order.alias("h"), "doc_id", "first_token", F.slice("ids", (F.col("first_token") + 1).cast("int"), F.col("n_tokens").cast("int")).alias("ids"))
+    cut = segments.join(ids.hint("merge"), "doc_id").select("shard", "slot", "source", "pass", part.alias("p"))
+    return cut.groupBy("shard", "slot", "source", "pass").agg(F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["ids"])).alias("ids"))

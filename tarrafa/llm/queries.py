@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarrafa.llm import boilerplate, linkage, mixture, neighbours, repeated_lines, residue, sentences, splitter, tokens
@@ -117,11 +117,25 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"), table(spark, sf_dir, "source_targets"))[1]
 
 
+def p9_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, target_share, has_tokens, reached): whether a source's share is its target's, relative to all that have tokens, within 1/50."""
+    report = p9_shares(spark, sf_dir)
+    possible = F.sum(F.when(F.col("tokens_available") > 0, F.col("target_share")).otherwise(0.0)).over(Window.partitionBy())
+    wanted = F.when(F.col("tokens_available") > 0, F.col("target_share") / possible).otherwise(0.0)
+    return report.select("source", "target_share", (F.col("tokens_available") > 0).alias("has_tokens"), (F.abs(F.col("actual_share") - wanted) <= 0.02).alias("reached"))
+
+
+def p9_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix with its token ids: shard, slot, source, pass, ids."""
+    documents = table(spark, sf_dir, "documents", "doc_id", "source", "text")
+    return mixture.mixed_ids(documents, mixture.mix(documents, table(spark, sf_dir, "source_targets"))[0])
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p2_found, p2_neighbours, p3_found, p3_main_text, p4_found, p4_ingested, p4_pages, p5_found, p5_kept, p6_found, p6_pieces, p6_rejoined, p7_found, p7_cleaned, p8_ids, p8_decoded, p9_mix, p9_shares, p10_found)
+    for f in (p2_found, p2_neighbours, p3_found, p3_main_text, p4_found, p4_ingested, p4_pages, p5_found, p5_kept, p6_found, p6_pieces, p6_rejoined, p7_found, p7_cleaned, p8_ids, p8_decoded, p9_mix, p9_shares, p9_reached, p9_blocks, p10_found)
 }

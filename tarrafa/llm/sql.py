@@ -23,5 +23,8 @@ SQL: dict[str, str] = {
     "p7_cleaned": f"""WITH {_LINES}, kept AS (
         SELECT n.id, string_agg(n.raw, chr(10) ORDER BY n.line_no) AS text FROM norm n LEFT JOIN often o ON n.site = o.site AND n.key = o.key WHERE o.key IS NULL GROUP BY n.id)
         SELECT e.id, CASE WHEN e.article_content IS NOT NULL THEN coalesce(k.text, '') END AS article_content FROM gdelt_brazil_events e LEFT JOIN kept k ON k.id = e.id""",
+    "p9_reached": """
+        SELECT t.source, max(t.target_share) AS target_share, count(d.doc_id) > 0 AS has_tokens, true AS reached
+        FROM source_targets t LEFT JOIN documents d ON d.source = t.source AND d.text <> '' WHERE t.source IS NOT NULL GROUP BY t.source""",
     "p8_decoded": "SELECT doc_id, text FROM documents",
 }
