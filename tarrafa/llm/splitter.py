@@ -36,6 +36,27 @@ def boundary_pattern(limit: int = LIMIT, overlap: int = OVERLAP) -> str:
     return rf"(?s)\A(?:{run(limit)})|(?:{run(later)})"
 
 
+#: Starts gathered in one array before it is put to the others.
+_GATHERED = 256
+
+
+def _starts(cores: Column) -> Column:
+    """Where each of consecutive texts begins: running sums of lengths.
+
+    An array is copied as it grows, so starts are gathered in short ones; a text's pieces cost about the same each.
+    """
+    kind = "struct<total:int,done:array<array<int>>,last:array<int>>"
+
+    def step(acc: Column, c: Column) -> Column:
+        full = F.size(acc["last"]) >= _GATHERED
+        done = F.when(full, F.concat(acc["done"], F.array(acc["last"]))).otherwise(acc["done"])
+        last = F.concat(F.when(full, F.array().cast("array<int>")).otherwise(acc["last"]), F.array(acc["total"]))
+        return F.struct((acc["total"] + F.length(c)).alias("total"), done.alias("done"), last.alias("last")).cast(kind)
+
+    zero = F.struct(F.lit(0).alias("total"), F.array().cast("array<array<int>>").alias("done"), F.array().cast("array<int>").alias("last")).cast(kind)
+    return F.aggregate(cores, zero, step, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["last"]))))
+
+
 def split_items(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """(key, pieces) of each row; pieces is an array of struct(piece_no, n_pieces, start_pos, end_pos, piece).
 
@@ -51,9 +72,9 @@ def split_items(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap:
     d = df.select(F.col(key).alias("_s_key"), F.col(text).alias("_s_text")).select("_s_key", cores.alias("_s_cores"))
     # Starts of the new texts as running sums of their lengths; the text before each; how many there are.
     # No lambda refers to a column: the optimizer could put a column's expression in its place, and run it per element.
-    starts = F.aggregate("_s_cores", F.array(F.lit(0)), lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(c))))
+    starts = _starts(F.col("_s_cores"))
     before = F.concat(F.array(F.lit("")), "_s_cores")
-    parts = F.arrays_zip(F.col("_s_cores").alias("c"), F.slice(starts, F.lit(1), F.size("_s_cores")).alias("s"), F.slice(before, F.lit(1), F.size("_s_cores")).alias("b"), F.array_repeat(F.size("_s_cores"), F.size("_s_cores")).alias("n"))
+    parts = F.arrays_zip(F.col("_s_cores").alias("c"), starts.alias("s"), F.slice(before, F.lit(1), F.size("_s_cores")).alias("b"), F.array_repeat(F.size("_s_cores"), F.size("_s_cores")).alias("n"))
     d = d.select("_s_key", parts.alias("_s_parts"))
 
     def backed(z: Column) -> Column:
