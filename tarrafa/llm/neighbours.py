@@ -29,6 +29,7 @@ ids are not supported (ids are unique); repeated vectors are each other's neighb
 
 from __future__ import annotations
 
+import heapq
 import math
 import warnings
 from collections.abc import Iterator
@@ -51,6 +52,8 @@ SPLITS = 6
 #: Probes to try first (then twice as many, up to all leaders), the share of true neighbours that must meet in a
 #: cell, the rows for which it is measured.
 PROBES, MEET, TRIALS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64), 0.98, 200
+#: Bytes of vectors that a task should search.
+PART_BYTES = 32 << 20
 #: Similarities with leaders that are held at once.
 SIMILARITIES = 4_000_000
 #: Half a window is this often the radius; the share of windows that must hold a row; a radius by the one before.
@@ -381,6 +384,14 @@ class Index:
         if self.probes > PROBES[-1]:
             warnings.warn(f"the vectors fall into no clear cells: {self.probes} cells are searched per vector", stacklevel=2)
         per_cell = np.bincount(cell, weights=sizes, minlength=1)
+        # Cells of many rows first, each to the part that has the fewest rows so far.
+        self.parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(per_cell.sum() * self.probes * dims * 4 / PART_BYTES))
+        part, load = np.zeros(len(per_cell), np.int32), [(0.0, i) for i in range(self.parts)]
+        for c in np.argsort(-per_cell, kind="stable"):
+            rows, least = heapq.heappop(load)
+            part[c] = least
+            heapq.heappush(load, (rows + per_cell[c], least))
+        self.part = sc.broadcast(part)
         self.blocks = {int(c): math.ceil(per_cell[c] / cell_rows) for c in np.flatnonzero(per_cell > cell_rows)}
 
     def _projected(self, vectors: DataFrame) -> np.ndarray:
@@ -483,8 +494,8 @@ class Index:
         return sums, orphans, rows, np.frombuffer(b"".join(x), np.float32).reshape(-1, ROUTE)
 
     def routed(self, hashed_only: bool = False) -> DataFrame:
-        """(_cell, _index_block, _query_block, _lead, _role, _id, _h, _vector); role 1 is indexed, 2 asked, 3 both."""
-        dims, a, table, cell, probes, blocks = self.dims, self.a, self.table, self.cell, self.probes, self.blocks
+        """(_part, _cell, _index_block, _query_block, _lead, _role, _id, _h, _vector); role 1 is indexed, 2 asked, 3 both."""
+        dims, a, table, cell, probes, blocks, part, parts = self.dims, self.a, self.table, self.cell, self.probes, self.blocks, self.part, self.parts
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches):
@@ -509,9 +520,11 @@ class Index:
                         out += [(c, ib, x, 3 if x == qb else 1, i) for x in range(n)]
                         out += [(c, x, qb, 2, i) for x in range(n) if x != ib]
                 c, ib, qb, role, i = (list(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(ib, pa.int32()), pa.array(qb, pa.int32()), pa.array(near[i, 0]), pa.array(role, pa.int8()), pa.array(ids[i]), pa.array(h[i]), pa.array([payload[x] for x in i], pa.binary())], names=["_cell", "_index_block", "_query_block", "_lead", "_role", "_id", "_h", "_vector"])
+                # Pairs of blocks of a hot cell are each a task's work.
+                at = (part.value[c] + np.array(ib) * 31 + np.array(qb) * 977) % parts
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(c, pa.int32()), pa.array(ib, pa.int32()), pa.array(qb, pa.int32()), pa.array(near[i, 0]), pa.array(role, pa.int8()), pa.array(ids[i]), pa.array(h[i]), pa.array([payload[x] for x in i], pa.binary())], names=["_part", "_cell", "_index_block", "_query_block", "_lead", "_role", "_id", "_h", "_vector"])
 
-        kind = "_id long, _h long" if hashed_only else "_cell int, _index_block int, _query_block int, _lead int, _role byte, _id long, _h long, _vector binary"
+        kind = "_id long, _h long" if hashed_only else "_part int, _cell int, _index_block int, _query_block int, _lead int, _role byte, _id long, _h long, _vector binary"
         return self.vectors.mapInArrow(run, kind)
 
     def neighbours(self, k: int) -> DataFrame:
@@ -561,7 +574,7 @@ class Index:
 
         keys = ["_cell", "_index_block", "_query_block"]
         # Within a cell, rows of one leader stand together.
-        ordered = routed.select(*keys, "_lead", "_role", "_id", "_vector").repartition(*keys).sortWithinPartitions(*keys, "_lead")
+        ordered = routed.select(*keys, "_lead", "_role", "_id", "_vector", "_part").repartitionById(self.parts, F.col("_part")).sortWithinPartitions(*keys, "_lead")
         found = ordered.mapInArrow(run, "_id long, _nb long, _sim double")
         # At most probes x blocks x k rows per vector come together here.
         best = found.groupBy("_id").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("_sim")).alias("d"), F.col("_nb").alias("nb")))), 1, k).alias("_best"))
