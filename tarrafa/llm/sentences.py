@@ -29,6 +29,7 @@ from tarrafa.llm.labelled_sentences import TEXTS
 # Abbreviations that lead to what follows (titles, streets, references), by language.
 LEADING = set(
     "dr dra drs sr sra srs sras srta prof profa profs eng arq av r pça pca pc trav rod est al dep sen gov min cel cap ten maj gen sgt brig d dom da fr pe exmo exma sto sta cia art arts inc nº n nr no núm num fl fls p pg pág págs pag pp cf vol ed séc sec tel obs v vs fig tab aprox máx mín km "
+    "str nr hr fr hrn frl bzw zb vgl abs kap mme mlle "
     "mr mrs ms messrs st mt ft rev hon capt col lt gov pres supt approx ca "
     "ud uds vda lic ing dpto avda c pza "
     "ул пр пл пер наб им стр см рис проф акад доц тов гр ст т тт напр ср гл кн обл р-н д г "
@@ -36,6 +37,8 @@ LEADING = set(
 )
 # Abbreviations that may end a sentence as well.
 ENDING = set("etc jr ltd ltda inc co corp s.a s/a a.m p.m u.s u.k e.u.a uu ee.uu seg segs ex al cit руб млн млрд тыс др пр кг км мин сек т.д т.п e.g i.e".split())
+# What companies' names end in; a mark before it belongs to the name.
+SUFFIXES = set("inc ltd ltda corp co llc plc gmbh ag sa cia".split())
 # Words that open a sentence rather than go on with a name.
 OPENERS = set(
     "o a os as ele ela eles elas um uma isso isto este esta esse essa aquele em no na nos nas segundo para por com quando se mas e já não ninguém quem como agora depois hoje ontem foi era há "
@@ -46,9 +49,12 @@ OPENERS = set(
 _BREAK = re.compile("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")
 _CLOSE = "\"'”’»›」』）)\\]】〉》"
 #: Marks with their closers; an ASCII full stop inside a number, an address or before a small letter is none.
-_CANDIDATE = re.compile(rf"(?:[!?…]|\.(?![a-zß-ÿа-я0-9_@/])|[。！？｡।॥؟۔።])[.!?…。！？｡؟]*[{_CLOSE}]*")
+_CANDIDATE = re.compile(rf"(?:[!?…‼⁇⁈⁉]|\.(?![a-zß-ÿа-яα-ώა-ჿ0-9_@/])|[。！？｡।॥؟۔።။។៕։།༎\u037e]|(?<=[\u0370-\u03ff\u1f00-\u1fff]);)[.!?…。！？｡؟]*[{_CLOSE}]*")
 _THAI_GAP = re.compile(r"(?<=[฀-๿])\s+|\s+(?=[฀-๿])")
-_TOKEN = re.compile(r"\S+\Z")
+_SPACE = re.compile(r"\s+")
+_EDGES = "\"'“”‘’«»()[]¿¡—–-,;:"
+#: Longer than any abbreviation, initial or item number: beyond it a token is told by its parts alone.
+_LISTED = 40
 _NEXT = re.compile(r"\w+(?:[-'’]\w+)*\.?")
 _QUOTATIVE = ("と", "って", "という", "との", "など", "を", "に", "は", "が", "の", "も", "で")
 _SAYING = ("说", "问", "道", "喊", "表示", "他说", "她说", "他问", "她问", "的")
@@ -73,7 +79,7 @@ def _script(c: str) -> str:
 
 def _before(token: str, at_start: bool) -> str:
     """The class of the token in front of the mark."""
-    bare = token.strip("\"'“”‘’«»()[]¿¡—–-,;:")
+    bare = token.strip(_EDGES)
     if not bare:
         return "none"
     if not bare.isascii():
@@ -96,6 +102,58 @@ def _before(token: str, at_start: bool) -> str:
     return "word"
 
 
+class _Line:
+    """The tokens in front of a line's candidates, in order; each character is looked at once, however long a token is."""
+
+    def __init__(self, text: str, start: int, end: int):
+        self.text, self.start = text, start
+        self.gaps = _SPACE.finditer(text, start, end)
+        self.gap = next(self.gaps, None)
+        self.cased = not text[start:end].islower()
+        self.first = self.gap.end() if self.gap and self.gap.start() == start else start
+        self._open(start)
+
+    def _open(self, at: int) -> None:
+        self.at = self.upto = at
+        self.short_parts, self.any_digit, self.all_digits, self.upper, self.parts = True, False, True, False, 0
+
+    def before(self, mark: int) -> tuple[str, str]:
+        """(class of the token that ends at a mark, what the one before it ends with: n for a digit, a for a stop)."""
+        while self.gap and self.gap.end() <= mark:
+            self._open(self.gap.end())
+            self.gap = next(self.gaps, None)
+        if mark - self.at <= _LISTED:
+            kind = _before(self.text[self.at : mark], self.at <= self.first)
+        else:
+            kind = self._of_parts(mark)
+        if kind not in ("leading", "ending", "letter", "initial"):
+            return kind, ""
+        j = self.at
+        while j > self.start and self.text[j - 1].isspace():
+            j -= 1
+        last = self.text[j - 1] if j > self.start else ""
+        return kind, "n" if last.isdigit() else "a" if last == "." else ""
+
+    def _of_parts(self, mark: int) -> str:
+        piece = self.text[self.upto : mark]
+        if not self.parts:
+            piece = piece.lstrip(_EDGES)
+            self.upper = piece[:1].isupper()
+        body = piece.rstrip(_EDGES)
+        for part in body.split("."):
+            if part:
+                self.parts += 1
+                self.short_parts &= len(part) <= 2 and part.isalpha()
+                self.any_digit |= any(map(str.isdigit, part))
+                self.all_digits &= part.isdigit()
+        self.upto = mark
+        if self.parts == 1 and self.all_digits:
+            return "number"
+        if self.parts > 1 and self.short_parts:
+            return "acronym" if self.upper else "dotted"
+        return "digits" if self.any_digit else "word"
+
+
 def _after(text: str, i: int, end: int) -> tuple[str, str, str, str]:
     """(gap, opening mark, class of the next token, script) of what follows position i."""
     j = i
@@ -122,8 +180,10 @@ def _after(text: str, i: int, end: int) -> tuple[str, str, str, str]:
         return gap, opening, "quotative" if rest.startswith(_QUOTATIVE) or rest in _SAYING or rest[:1] in _SAYING else "plain", script
     if script in ("arabic", "indic", "thai"):
         return gap, opening, "plain", script
-    m = _NEXT.match(text, j, min(end, j + 30))
+    m = _NEXT.match(text, j, end)
     word = m.group() if m else c
+    if word.rstrip(".").lower() in SUFFIXES and c.isupper():
+        return gap, opening, "suffix", script
     if c.islower():
         return gap, opening, "camel" if len(word) > 1 and word[1].isupper() else "lower", script
     if word.endswith(".") and len(word) <= 3 and word[:-1].isupper():
@@ -135,12 +195,14 @@ def _kind(mark: str) -> str:
     c = mark[0]
     if mark.startswith("..") or c == "…":
         return "dots"
-    return "stop" if c == "." else "ask" if c in "!?؟" else "full"
+    return "stop" if c == "." else "ask" if c in "!?؟;\u037e‼⁇⁈⁉" else "full"
 
 
 def features(key: tuple) -> list[str]:
-    kind, closed, gap, opening, after, script, before, number_before = key
+    kind, closed, gap, opening, after, script, before, number_before, cased = key
     f = ["bias", f"k:{kind}", f"a:{after}", f"g:{gap}", f"s:{script}", f"ka:{kind}|{after}", f"kga:{kind}|{gap}|{after}", f"ca:{closed}|{after}", f"kca:{kind}|{closed}|{after}", f"o:{opening}", f"oa:{opening}|{after}", f"sa:{script}|{after}", f"kcs:{kind}|{closed}|{script}|{after}"]
+    if not cased:
+        f += [f"l:{kind}|{after}", f"lb:{kind}|{before}", f"lg:{kind}|{gap}", f"lba:{before}|{after}"]
     if kind == "stop":
         f += [f"b:{before}", f"ba:{before}|{after}", f"bo:{before}|{opening}", f"bn:{before}|{number_before}", f"bna:{before}|{number_before}|{after}", f"bg:{before}|{gap}"]
     return f
@@ -148,7 +210,9 @@ def features(key: tuple) -> list[str]:
 
 def candidates(text: str, start: int, end: int) -> Iterator[tuple[int, tuple]]:
     """(position after the marks and closers, key of the surroundings) of each candidate in a line."""
+    line = None
     for m in _CANDIDATE.finditer(text, start, end):
+        line = line or _Line(text, start, end)
         i = m.end()
         mark = m.group()
         # A straight quote right behind the mark and in front of a letter opens the next sentence.
@@ -162,16 +226,8 @@ def candidates(text: str, start: int, end: int) -> Iterator[tuple[int, tuple]]:
         gap, opening, after, script = _after(text, i, end)
         if after == "end" and not opening:
             continue
-        before = number_before = ""
-        if kind == "stop":
-            t = _TOKEN.search(text, max(start, m.start() - 24), m.start())
-            token = t.group() if t else ""
-            at = t.start() if t else m.start()
-            before = _before(token, at - start <= 8 and not text[start:at].strip())
-            if before in ("leading", "ending", "letter", "initial"):
-                p = _TOKEN.search(text[max(start, at - 12) : at].rstrip())
-                number_before = "n" if p and p.group()[-1:].isdigit() else "a" if p and p.group().endswith(".") else ""
-        yield i, (kind, closed, gap, opening, after, script, before, number_before)
+        before, number_before = line.before(m.start()) if kind == "stop" else ("", "")
+        yield i, (kind, closed, gap, opening, after, script, before, number_before, line.cased)
 
 
 def labelled_candidates(texts: str = TEXTS) -> tuple[list[tuple], list[int]]:
