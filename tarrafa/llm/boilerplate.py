@@ -1,15 +1,16 @@
 """Page boilerplate: lines of the page around the article, told from the article's own lines.
 
 Each text is a flat list of blocks (its non-blank lines). A block is described by its word count, its link
-density and what else the text alone shows, and by the word counts and densities of its neighbours; a
+density and what else the text alone shows, and by the word counts, densities and ends of its neighbours; a
 decision tree trained on a small labelled table (``labelled_pages``) judges it. As the texts hold no markup
-any more, link density is the share of a block's words that stand in what sites link: names of
-sections, calls to act, notices, separators between entries.
-
-One Arrow pass per table and no shuffle; the tree is fitted on the driver in well under a second and
-travels in the task closure (a few hundred numbers). Defined results: null and empty texts have no blocks;
-blank lines are none; lines of error pages, script notices and filler count as article, as other operators
-look for them; repeated rows are each judged.
+any more, link density is the share of a block's words that stand in anchor-like parts: few words between
+separators, without a full stop. Beside it stand the share of small words (menus and names have few), capitals, and
+words that sites use around articles in three languages.
+
+One Arrow pass per table and no shuffle; the tree is fitted on the driver in about a second and
+travels in the task closure (a few hundred numbers). Blocks of any length have all features. Defined results: null
+and empty texts have no blocks; blank lines are none; lines of error pages, script notices and filler count as
+article, as other operators look for them; repeated rows are each judged.
 """
 
 from __future__ import annotations
@@ -24,19 +25,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarrafa.llm.labelled_pages import PAGES
+from tarrafa.llm.labelled_pages import pages
 from tarrafa.llm.residue import DEFAULTS, ERROR_PHRASES, FILLER_PHRASES, SCRIPT_PHRASES, SLOTS
 
-# What sites say around an article (calls, notices, counters, bylines), in lower case; found by
-# one Aho-Corasick automaton.
+# Words that sites use around an article, in lower case and three languages (endings left open); found
+# by one Aho-Corasick automaton.
 CUES = [
-    "cookie", "privacidade", "política de dados", "guardamos dados", "coletamos dados", "dados de navegação", "gerir opções", "aceitar todos", "concordo", "anúncios do seu interesse", "clique em aceitar", "aceitar para seguir", "medir a audiência", "lembrar suas preferências", "manter você conectado", "tecnologias parecidas", "este site utiliza", "melhorar sua visita", "você concorda com", "ao continuar,", "nossos parceiros", "no seu aparelho", "valorizamos a sua",
-    "compartilhe esta", "compartilhe est", "compartilhar n", "compartilhar:", "envie pelo", "envie por", "mande para um amigo", "copiar link", "copiar o link", "imprimir", "salvar para", "ouça esta", "ouça a matéria", "ouça est", "siga-nos", "siga a gente", "siga o canal", "curta nossa", "assine o boletim", "assine a newsletter", "seja assinante", "assine já", "cadastre-se", "inscreva-se", "receba as notícias", "receba nossas", "receba as", "ative as notificações", "baixe o aplicativo", "baixe o app", "entre no nosso canal", "entre no canal", "entre no grupo", "boletim diário", "newsletter", "leia sem limites", "é grátis", "no seu e-mail",
-    "©", "copyright", "direitos reservados", "direito autoral", "direitos autorais", "é proibida a reprodução", "reprodução sem autorização", "reprodução proibida", "não pode ser redistribuído", "all rights reserved", "as opiniões não refletem", "os comentários são de responsabilidade", "responsabilidade de seus autores", "termos de uso", "todos os direitos", "conteúdo protegido",
-    "publicidade", "anúncio", "conteúdo patrocinado", "continua depois da", "continua após a", "atualizado há", "mil acessos", "comentários em:", "comentários:", "tags:", "assuntos:", "tópicos:",
-    "leia mais", "leia também", "veja mais", "veja também", "saiba mais em", "mais lidas", "últimas de", "últimas notícias", "relacionadas", "relacionados", "anterior:", "próxima:", "próximo:", "notícias relacionadas",
-    "por redação", "da redação", "plantão da redação", "redação e agências", "equipe de reportagem", "do correspondente em", "anuncie", "trabalhe aqui", "trabalhe conosco", "atendimento ao leitor", "fale conosco", "| rua", "| av", "| praça",
+    "cookie", "privacidad", "privacy", "parceiros", "our partners", "consent", "concordo", "aceito", "aceit", "accept", "acepto", "you agree", "você concorda", "personaliz", "dados de navegação", "your device", "no seu aparelho", "gerir opções", "configurar", "manage options", "recusar", "reject", "política de dados", "política de datos", "audiência", "audience", "ao continuar", "lembrar suas",
+    "compartilh", "comparte", "compartir", "share th", "envie ", "mande para", "siga ", "siga-", "síguenos", "follow us", "curta ", "like our", "assine", "assinant", "suscr", "subscri", "sign up", "cadastre", "inscreva", "receba", "recibe ", "get the ", "boletim", "boletín", "newsletter", "notificações", "notifications", "alertas", "baixe", "descarga", "download", "aplicativo", "our app", "grupo do", "nosso canal", "no canal", "no grupo", "mensageiro", "whatsapp", "telegram", "facebook", "redes", "social media", "imprimir", "print this", "copiar", "copy link", "enlace", "o link", "salvar ", "guardar ", "save for", "favoritos", "ouça", "ouvir a", "listen to", "grátis", "gratis", "sem limites", "without limits", "e-mail", "correo", "correio eletrônico", "inbox", "deixe o", "deja tu", "gostou", "tell us",
+    "©", "copyright", "direitos reservados", "derechos reservados", "rights reserved", "direito autoral", "direitos autorais", "reprodução", "reproducción", "proibida", "prohibida", "vedada", "redistribu", "may not be", "autorização", "autorización", "permission", "termos de uso", "terms of use", "aviso legal", "as opiniões", "las opiniones", "the views of", "não reflete", "no reflejan", "de responsabilidade", "conteúdo protegido",
+    "publicidad", "advertis", "anúncio", "anuncie", "patrocinad", "sponsored", "atualizado há", "actualizado hace", "updated ", "acessos", "leituras", "lecturas", "views", "min read", "comentários", "comentarios", "comments", "tags:", "assuntos:", "tópicos:", "topics:", "etiquetas:", "temas:",
+    "leia mais", "leia também", "lea más", "lea también", "read more", "see also", "veja mais", "veja também", "saiba mais", "mais lid", "mais vist", "más leído", "most read", "últimas", "latest news", "relacionad", "related stor", "you may also", "te puede", "anterior:", "próxima:", "próximo:", "siguiente:", "previous:", "next:",
+    "redação", "redacción", "newsroom", "equipe de", "staff report", "plantão", "correspondente em", "corresponsal", "correspondent in", "por redação", "fale conosco", "contact us", "contacto", "trabalhe", "trabaja con", "atendimento ao", "| rua", "| av", "| praça", "| calle", "mapa do site", "quem somos",
 ]
+# Small words of prose, in the same languages.
+SMALL = set("o a os as um uma de do da dos das em no na nos nas ao à aos às por pelo pela para com sem que se e ou mas não foi é são era ser está como mais até entre sobre depois segundo disse ele ela seu sua the of to in on at for by with and or but that is was were be has had he she it they his her from after said el la los las un una del al en con sin para por que se y o pero no fue es son era según su sus tras".split())
+# Words by which a site speaks to its visitors.
+ADDRESS = set("você vocês nós nosso nossa nossos nossas usamos coletamos gente we our us you your nosotros nuestro nuestra nuestros nuestras usted ustedes tu tus te".split())
+# Names of sections and pages that menus link to.
+SECTIONS = set("início inicio home capa portada política politica politics economia economía business esporte esportes deportes sports cidade cidades saúde salud health educação cultura culture ciência ciencia science tecnologia technology agro mundo world brasil opinião opinión opinion blog blogs coluna colunas vídeo vídeos video videos fotos photos podcast podcasts classificados emprego empregos loterias tempo weather trânsito travel food expediente assine entrar login anuncie contato contacto contact polícia crime sucesos entretenimento concursos news".split())
 
 
 @functools.lru_cache(maxsize=1)
@@ -45,96 +52,122 @@ def _automaton():
 
     a = ahocorasick.Automaton()
     for cue in CUES:
-        a.add_word(cue, (len(cue), cue.count(" ") + 1))
+        a.add_word(cue, len(cue))
     a.make_automaton()
     return a
 
 
-#: Names of sections and pages that menus link to.
-_SECTIONS = re.compile(
-    r"\b(?:in[íi]cio|home|capa|pol[íi]tica|economia|esportes?|cidades?|sa[úu]de|educa[çc][ãa]o|cultura|ci[êe]ncia|tecnologia|agro|mundo|brasil|opini[ãa]o|blogs?|colunas?|v[íi]deos?|fotos|podcasts?|classificados|empregos?|loterias?|tempo|tr[âa]nsito|expediente|assine|entrar|login|anuncie|contato|fale conosco|mapa do site|edi[çc][ãa]o impressa|quem somos|pol[íi]cia|entretenimento|concursos)\b",
-    re.I,
-)
 _SEPARATOR = re.compile(r"\s[|•›»·>/–—-]\s|\s{2,}|↗|→")
-_HEADING = re.compile(r"^(?:leia (?:mais|tamb[ée]m)|veja (?:mais|tamb[ée]m)|mais lidas|mais vistas|[úu]ltimas|relacionad[ao]s|not[íi]cias relacionadas|destaques|recomendad[ao]s|em alta)\b(?!\s*:\s*\S)", re.I)
+_MARKS = set("| • › » · > / – — - ↗ →".split())
+_HEADING = re.compile(r"^(?:leia (?:mais|tamb[ée]m)|veja (?:mais|tamb[ée]m)|mais lidas|mais vistas|[úu]ltimas|relacionad[ao]s|(?:not[íi]cias )?relacionadas|destaques|recomendad[ao]s|em alta|lo m[áa]s le[íi]do|te puede interesar|most read|related (?:stories|news|articles)|you may also like|latest (?:news|stories)|read (?:more|also)|trending|see also)\b(?!\s*:\s*\S)", re.I)
 _BULLET = re.compile(r"^\s*(?:[•·*>›»▪–—-]|\d{1,3}[.)ºª°])\s*")
 _HEX = re.compile(r"\b(?=[a-f]*\d|[a-f]{6}\b)[0-9a-f]{6,}\b")
-_SUBHEAD = re.compile(r"^(?:o que|como|por que|quem|quando|onde|entenda|hist[óo]rico|pr[óo]ximos passos|a vers[ãa]o|veja (?:os|as|quem|o que)|confira|servi[çc]o\b|saiba (?:como|o que|quem))|\b(?:em|na) foto\b|\bfoto:", re.I)
+_SUBHEAD = re.compile(r"^(?:o que|como|por que|quem|quando|onde|entenda|hist[óo]ric[oa]|pr[óo]xim[ao]s? (?:fase|passo)s?|a (?:vers[ãa]o|resposta)|veja (?:os|as|quem|o que)|confira|servi[çc]o\b|saiba (?:como|o que|quem)|what|how|why|who|qu[ée] |c[óo]mo|por qu[ée])")
 _STOP = re.compile(r"[.!?…;:][\"”’'»)\]]*$")
+_TRIM = "\"'“”‘’«»()[]¿¡.,;:!?…"
 
-FEATURES = ["words", "chars", "cues", "cue_density", "link_density", "separators", "stop", "bullet", "hex", "upper", "link_list", "subhead", "tabs", "digits", "cue_first", "words_before", "words_after", "density_before", "density_after", "cues_before", "cues_after"]
-
-
-#: Blocks up to this many characters can be menus, headings or list entries; longer ones have no such features.
-SHORT = 240
-_UPPER, _DIGIT = re.compile(r"[A-ZÀ-Þ]"), re.compile(r"\d")
+FEATURES = [
+    "words", "chars", "cues", "cue_density", "link_density", "separators", "stop", "bullet", "hex", "upper", "small_words", "titles", "link_list", "subhead", "heading", "tabs", "digits", "before_cue", "sections", "commas", "address", "before_colon",
+    "words_before", "words_after", "links_before", "links_after", "cues_before", "cues_after", "stop_before", "stop_after", "list_before", "list_after",
+]
+_OWN = FEATURES.index("words_before")
+_AT = {name: i for i, name in enumerate(FEATURES)}
+#: Most words of a part between separators that looks like an anchor.
+ANCHOR_WORDS = 6
+#: Trees that vote.
+TREES = 15
+#: Blocks up to this many characters recur, so that their features are kept; it changes nothing else.
+KEPT = 240
 
 
 def _block(line: str) -> tuple:
-    """Features of one block by itself, its bullet and whether it heads a list of links; kept for short ones, which recur."""
-    return _kept_block(line) if len(line) <= SHORT else _make_block(line)
+    """Features of one block by itself, its bullet and whether it heads a list of links."""
+    return _kept_block(line) if len(line) <= KEPT else _make_block(line)
 
 
 def _make_block(line: str) -> tuple:
     parts = line.split()
-    n, size = len(parts), len(line)
+    n, size = len(parts) - sum(map(_MARKS.__contains__, parts)), len(line)
+    w = max(n, 1)
     low = " ".join(parts).lower()
-    cues = cue_words = end = 0
-    for at, (length, words) in _automaton().iter(low):
+    cues = cue_chars = end = 0
+    first = None
+    for at, length in _automaton().iter(low):
+        begin = at - length + 1
+        if begin > 0 and low[begin - 1].isalpha():  # within a word
+            continue
         cues += 1
-        if at - length >= end:  # overlapping cues count once for the density
-            cue_words += words
-            end = at
-    first = next(iter(_automaton().iter(low, 0, min(len(low), 40))), None) is not None if cues else False
-    sections = separators = hexes = heading = subhead = 0
-    bullet = ""
-    if size <= SHORT:
-        separators = len(_SEPARATOR.findall(line))
-        sections = len(_SECTIONS.findall(low))
-        hexes = 1 if _HEX.search(low) else 0
-        m = _BULLET.match(line)
-        bullet = m.group().strip()[-1:] if m else ""
-        heading = n < 16 and bool(_HEADING.match(low))
-        subhead = 1 if _SUBHEAD.search(low) else 0
-    linked = (sections if sections * 2 >= n else sections + separators) if separators or sections * 2 >= n else 0
-    own = (n, size, cues, min(1.0, cue_words / max(n, 1)), min(1.0, (cue_words + linked) / max(n, 1)), separators, 1 if _STOP.search(line[-6:]) else 0, 1 if bullet else 0, hexes, len(_UPPER.findall(line)) / max(size, 1), 0, subhead, line.count("\t"), len(_DIGIT.findall(line)) / max(size, 1), 1 if first else 0)
+        if first is None:
+            first = begin
+        if begin >= end:  # overlapping cues count once for the density
+            cue_chars += length
+            end = at + 1
+    words = [w.strip(_TRIM) for w in low.split(" ")]
+    small = sum(map(SMALL.__contains__, words))
+    sections = sum(map(SECTIONS.__contains__, words))
+    titles = sum([p[:1].isupper() for p in parts])
+    separators = len(_SEPARATOR.findall(line))
+    digits = sum(map(str.isdigit, line))
+    stop = 1 if _STOP.search(line[-6:]) else 0
+    anchors = 0
+    if separators:
+        for part in _SEPARATOR.split(line):
+            k = len(part.split())
+            anchors += k if k <= ANCHOR_WORDS and not part.rstrip().endswith((".", "!", "?")) else 0
+    elif n <= ANCHOR_WORDS and not stop:
+        anchors = n
+    m = _BULLET.match(line)
+    bullet = m.group().strip()[-1:] if m else ""
+    heading = n < 16 and bool(_HEADING.match(low))
+    subhead = 1 if _SUBHEAD.match(low) or "foto" in low or "photo" in low else 0
+    hexes = 1 if digits and _HEX.search(low) else 0
+    upper = sum(map(str.isupper, line)) / max(size, 1)
+    before_cue = n if first is None else low.count(" ", 0, first)
+    own = (n, size, cues, min(1.0, cue_chars / max(len(low), 1)), anchors / w, separators / w, stop, 1 if bullet else 0, hexes, upper, small / w, titles / w, 0, subhead, int(heading), line.count("\t"), digits / max(size, 1), before_cue, sections / w, line.count(", "), sum(map(ADDRESS.__contains__, words)), low.count(" ", 0, low.find(":")) + 1 if ":" in low else n)
     return own, bullet, heading
 
 
 _kept_block = functools.lru_cache(maxsize=50_000)(_make_block)
 
 
-_NONE = (0,) * 15
+_NONE = (0,) * _OWN
 
 
 def page_features(lines: list[str]) -> list[list[float]]:
     """The features of a page's non-blank lines; a list of links runs on while its entries look alike."""
     blocks = [_block(x) for x in lines]
-    rows, kind = [], None
-    for i, (own, bullet, heading) in enumerate(blocks):
-        f = list(own)
+    listed, kind = [], None
+    for own, bullet, heading in blocks:
+        entry = not own[_AT["stop"]] and own[0] < 20 and not own[_AT["cues"]] and own[_AT["digits"]] < 0.25 and not own[_AT["subhead"]] and own[_AT["commas"]] < 2
         if heading:
             kind = "any"
-        elif kind is not None and not own[6] and own[0] < 20 and own[2] == 0 and own[13] < 0.25 and not own[11] and lines[i].count(", ") < 2 and kind in ("any", bullet):
-            f[10], kind = 1, bullet
+        elif kind is not None and entry and kind in ("any", bullet):
+            kind = bullet
+            listed.append(1)
+            continue
         else:
             kind = None
+        listed.append(0)
+    rows = []
+    for i, (own, _, _) in enumerate(blocks):
         before = blocks[i - 1][0] if i else _NONE
         after = blocks[i + 1][0] if i + 1 < len(blocks) else _NONE
-        rows.append([*f, before[0], after[0], before[4], after[4], before[2], after[2]])
+        f = list(own)
+        f[_AT["link_list"]] = listed[i]
+        f += [before[0], after[0], before[4], after[4], before[2], after[2], before[6], after[6], listed[i - 1] if i else 0, listed[i + 1] if i + 1 < len(blocks) else 0]
+        rows.append(f)
     return rows
 
 
-def labelled_blocks(pages: str = PAGES) -> tuple[np.ndarray, np.ndarray]:
+def labelled_blocks(table=None) -> tuple[np.ndarray, np.ndarray]:
     x, y = [], []
-    for page in pages.strip().split("\n\n"):
-        lines = page.split("\n")
-        x += page_features([line[2:] for line in lines])
-        y += [line[0] == "-" for line in lines]
+    for page in pages() if table is None else table:
+        x += page_features([line for line, _ in page])
+        y += [furniture for _, furniture in page]
     return np.array(x, dtype=float), np.array(y, dtype=float)
 
 
-def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 8, leaf: int = 2) -> tuple | float:
+def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 14, leaf: int = 2) -> tuple | float:
     """A binary decision tree by Gini impurity: (feature, threshold, left, right) or a leaf's share of furniture."""
     p = y.mean()
     if depth == 0 or len(y) < 2 * leaf or p in (0, 1):
@@ -158,15 +191,29 @@ def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 8, leaf: int = 2) -> tup
     return (best[1], best[2], fit_tree(x[under], y[under], depth - 1, leaf), fit_tree(x[~under], y[~under], depth - 1, leaf))
 
 
-def judge(tree, f) -> float:
-    while isinstance(tree, tuple):
-        tree = tree[2] if f[tree[0]] <= tree[1] else tree[3]
-    return tree
+def judge(model, f) -> float:
+    """The share of furniture that a tree, or several on average, expects of blocks like this one."""
+    if isinstance(model, list):
+        return sum(judge(t, f) for t in model) / len(model)
+    while isinstance(model, tuple):
+        model = model[2] if f[model[0]] <= model[1] else model[3]
+    return model
+
+
+def fit_trees(x: np.ndarray, y: np.ndarray, count: int = TREES, share: float = 0.6, seed: int = 3) -> list:
+    """Trees fitted on drawn blocks and drawn features each, so that none leans on one accident of the labelled pages."""
+    trees = []
+    for i in range(count):
+        rng = np.random.default_rng([seed, i])
+        rows = rng.integers(0, len(y), len(y))
+        kept = rng.random(x.shape[1]) < share
+        trees.append(fit_tree(np.where(kept, x[rows], 0.0), y[rows]))
+    return trees
 
 
 @functools.lru_cache(maxsize=1)
-def default_tree() -> tuple:
-    return fit_tree(*labelled_blocks())
+def default_tree() -> list:
+    return fit_trees(*labelled_blocks())
 
 
 def _python(pattern: str) -> str:
@@ -190,7 +237,7 @@ def _residue_pattern() -> re.Pattern:
 
 def _is_residue(line: str) -> bool:
     """Error messages, script notices, filler and unfilled slots: not furniture, whatever they look like."""
-    return _kept_residue(line) if len(line) <= SHORT else _make_residue(line)
+    return _kept_residue(line) if len(line) <= KEPT else _make_residue(line)
 
 
 def _make_residue(line: str) -> bool:
