@@ -16,16 +16,21 @@ def backoff_seconds(attempt: Column, base: float = 2.0, most: float = 90.0) -> C
     return F.least(F.lit(float(most)), F.lit(float(base)) * F.pow(F.lit(2.0), attempt - 1))
 
 
+# Seconds to the next attempt by state, as (states, per attempt, at most); DEFAULT_DELAY for others.
+DELAYS = [
+    (("rate_limited",), 1800, 1800),
+    (("server_error", "download_failed"), 300, 21_600),
+    (("extract_failed", "no_title", "no_content", "error"), 3600, 86_400),
+]
+DEFAULT_DELAY = 7200
+
+
 def retry_seconds(status: Column, attempts: Column) -> Column:
     """Seconds to the next attempt; null for a terminal status. A null status counts as unknown."""
-    a = F.greatest(F.lit(1), F.coalesce(attempts, F.lit(1)))
-    return (
-        F.when(status.isin(TERMINAL), F.lit(None).cast("int"))
-        .when(status == "rate_limited", 30 * 60)
-        .when(status.isin("server_error", "download_failed"), F.least(F.lit(6 * 3600), 300 * a))
-        .when(status.isin("extract_failed", "no_title", "no_content", "error"), F.least(F.lit(24 * 3600), 3600 * a))
-        .otherwise(2 * 3600)
-    )
+    rules = F.create_map(*[x for states, each, most in DELAYS for s in states for x in (F.lit(s), F.struct(F.lit(each).alias("each"), F.lit(most).alias("most")))])
+    rule = F.try_element_at(rules, F.coalesce(status, F.lit("")))
+    scheduled = F.least(rule["most"], rule["each"] * F.greatest(F.lit(1), F.coalesce(attempts, F.lit(1))))
+    return F.when(~F.coalesce(status, F.lit("")).isin(TERMINAL), F.coalesce(scheduled, F.lit(DEFAULT_DELAY)))
 
 
 def next_retry_at(status: Column, attempts: Column, now: Column) -> Column:

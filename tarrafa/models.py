@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import html.parser
+import json
 import math
 import re
 from collections.abc import Callable, Iterator
@@ -146,11 +147,27 @@ def page_parts(page: str) -> tuple[str | None, str | None, str | None, str | Non
     p.feed(page)
     title = re.search(r"(?is)<title[^>]*>(.*?)</title>", page)
     lines = [" ".join(x.split()) for x in "".join(p.parts).split("\n")]
-    name = p.meta.get("og:title") or (html.unescape(title.group(1)).strip() if title else "")
-    text = "\n".join(x for x in lines if x and x != name)
+    tag = " ".join(html.unescape(title.group(1)).split()) if title else ""
+    name = p.meta.get("og:title") or ""
+    text = "\n".join(x for x in lines if x and x not in (name, tag))
     return name or None, text or None, p.meta.get("article:published_time"), p.meta.get("author")
 
 
+def json_parts(page: str) -> tuple[str | None, str | None, str | None, str | None]:
+    """(title, text, date, author) that a page tells about itself in JSON-LD: the first object with a headline or body."""
+    for block in re.findall(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>", page):
+        try:
+            found = json.loads(block)
+        except ValueError:
+            continue
+        for x in found.get("@graph", [found]) if isinstance(found, dict) else found if isinstance(found, list) else []:
+            if isinstance(x, dict) and (x.get("headline") or x.get("articleBody")):
+                author = x.get("author")
+                author = author.get("name") if isinstance(author, dict) else author
+                return tuple(v.strip() or None if isinstance(v, str) else None for v in (x.get("headline"), x.get("articleBody"), x.get("datePublished"), author))
+    return None, None, None, None
+
+
 def extract_pages(df: DataFrame, page: str, out: str = "page", model: Callable | None = None) -> DataFrame:
     """Adds a struct of title, text, date and author; null for a page that is null or can't be parsed."""
     parse = model or page_parts

@@ -6,18 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarrafa.functions.url import host
+from tarrafa.session import checkpointed, written
 
 
 def round_robin(queue: DataFrame, pos: str, url: str = "sourceurl") -> DataFrame:
     """Adds domain, domain_count and place: one address of each domain per round, larger domains first.
 
-    Domains of equal size come in the order of their first address. Ranking within a domain is a window per
-    domain; the places come from a range sort and per-partition counts, so that no task sees the queue.
+    Domains of equal size come in the order of their first address. All places come from range sorts and per-partition
+    counts, a domain's turns too, as its rows stand together in one: neither the queue nor a large domain is one task's.
     """
-    d = queue.withColumn("domain", host(F.col(url)))
-    sizes = d.groupBy("domain").agg(F.count("*").alias("domain_count"), F.min(pos).alias("_first"))
-    turn = F.row_number().over(Window.partitionBy("domain").orderBy(pos))
-    ranked = d.withColumn("_turn", turn).join(sizes, d["domain"].eqNullSafe(sizes["domain"])).drop(sizes["domain"])
+    d = numbered(queue.withColumn("domain", host(F.col(url))), [F.asc_nulls_first("domain"), F.asc(pos)], "_no")
+    sizes = written(d.groupBy("domain").agg(F.count("*").alias("domain_count"), F.min(pos).alias("_first"), F.min("_no").alias("_begins")))
+    sizes = sizes.withColumnRenamed("domain", "_domain")
+    ranked = d.join(sizes, F.col("domain").eqNullSafe(F.col("_domain"))).withColumn("_turn", F.col("_no") - F.col("_begins") + 1).drop("_domain", "_no", "_begins")
     return numbered(ranked, ["_turn", F.desc("domain_count"), "_first"], "place").drop("_turn", "_first")
 
 
@@ -27,13 +28,11 @@ def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     tagged = ordered.withColumn("_m", F.monotonically_increasing_id())
     part = F.shiftright("_m", 33)
     tagged = tagged.withColumn("_part", part).withColumn("_in", F.col("_m") - F.shiftleft(part, 33))
-    from tarrafa.session import checkpointed
-
     tagged = checkpointed(tagged.drop("_m"))
     counts = tagged.groupBy("_part").agg(F.count("*").alias("_n"))
     # One row per partition.
-    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_before")
-    return tagged.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_in") + 1).cast("long")).drop("_part", "_in", "_before")
+    before = written(counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_before"))
+    return tagged.join(before, "_part").withColumn(name, (F.col("_before") + F.col("_in") + 1).cast("long")).drop("_part", "_in", "_before")
 
 
 def streaks(df: DataFrame, pos: str, domain: str = "domain", partition: list[str] | None = None, block: int = 1 << 16) -> DataFrame:

@@ -15,6 +15,16 @@ def page(df: DataFrame, key: str, limit: int = 100, offset: int = 0) -> DataFram
     return df.orderBy(key).offset(offset).limit(limit)
 
 
+def by_key(df: DataFrame, key: str, value) -> DataFrame:
+    """The row or rows with a key; the filter reaches the scan."""
+    return df.where(F.col(key) == (value if isinstance(value, Column) else F.lit(value)))
+
+
+def chunks_of(chunks: DataFrame, article) -> DataFrame:
+    """The chunks of one article, in the order of their ids."""
+    return by_key(chunks, "article", article).orderBy("id")
+
+
 def empty(text: Column) -> Column:
     return text.isNull() | (text == "")
 

@@ -76,6 +76,11 @@ def discover_sitemaps(old: DataFrame, found: DataFrame) -> DataFrame:
     return upsert(old, new, ["sitemap_url"], {c: keep_old for c in ("urls_in_sitemap", "extracted_ok", "extracted_failed")})
 
 
+def mark_sitemaps_processed(old: DataFrame, done: DataFrame) -> DataFrame:
+    """Sitemaps that were worked through: ``done`` replaces all that is stored of them, the time of discovery too."""
+    return upsert(old, done, ["sitemap_url"])
+
+
 def record_fetch_errors(articles: DataFrame, failed: DataFrame) -> DataFrame:
     """Failed fetches (url, fetch_status, fetch_error, http_status, fetched_at, final_url): one attempt more."""
     counted = failed.withColumn("fetch_attempts", F.lit(1))

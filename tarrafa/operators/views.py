@@ -13,7 +13,7 @@ def enriched_events(events: DataFrame) -> DataFrame:
     """Every event with the labels of its codes; unknown and null codes keep their row, with null labels."""
     spark = events.sparkSession
     out = events
-    quads = dims.quad_class(spark).select(F.col("code").alias("_c"), F.col("label").alias("quadclass_label"), F.col("description").alias("quadclass_description"))
+    quads = dims.quad_class(spark).select(F.col("code").alias("_c"), F.col("label").alias("quadclass_label"))
     roots = dims.root_event(spark).select(F.col("code").alias("_c"), F.col("label").alias("eventrootcode_label"))
     out = out.join(F.broadcast(quads), out["quadclass"] == quads["_c"], "left").drop("_c")
     out = out.join(F.broadcast(roots), out["eventrootcode"] == roots["_c"], "left").drop("_c")

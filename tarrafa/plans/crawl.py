@@ -42,6 +42,28 @@ def crawl(articles: DataFrame, found: DataFrame, per_sitemap: int | None = None,
     return seed_articles(articles, found), pending_articles(found, articles, per_sitemap, reprocess)
 
 
+def sitemap_counts(found: DataFrame, todo: DataFrame, outcomes: DataFrame | None, target_date: date, now: Column) -> DataFrame:
+    """Rows of the sitemap table for ``mark_sitemaps_processed``, from a run's seeds, what of them was to be fetched, and its outcomes.
+
+    ``outcomes`` has url and ok, once per fetched address. Counts cover this run; a sitemap without anything to fetch
+    counts all its addresses as extracted.
+    """
+    listed = found.groupBy("sitemap_url").agg(F.any_value("sitemap_lastmod").alias("sitemap_lastmod"), F.count("*").cast("int").alias("urls_in_sitemap"))
+    tried = todo.select("sitemap_url", "url")
+    tried = tried.withColumn("ok", F.lit(None).cast("boolean")) if outcomes is None else tried.join(outcomes.select("url", "ok"), "url", "left")
+    done = tried.groupBy("sitemap_url").agg(F.count_if("ok").cast("int").alias("_ok"), F.count_if(~F.coalesce("ok", F.lit(False))).cast("int").alias("_failed"))
+    return listed.join(done, "sitemap_url", "left").select(
+        "sitemap_url", "sitemap_lastmod", F.lit(target_date).alias("target_date"), now.alias("discovered_at"), now.alias("processed_at"), "urls_in_sitemap",
+        F.coalesce("_ok", "urls_in_sitemap").alias("extracted_ok"), F.coalesce("_failed", F.lit(0)).alias("extracted_failed"),
+    )
+
+
+def metadata_json(meta: Column, final_url: Column) -> Column:
+    """A map or struct of metadata as JSON, dates in ISO form, with the page's address where it names none."""
+    named = F.map_from_arrays(F.array(F.lit("url")), F.array(final_url))
+    return F.to_json(merged_metadata(meta, named), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+
+
 def merged_metadata(main: Column, fallback: Column) -> Column:
     """Keys of ``main`` (a map), with those of ``fallback`` that it lacks."""
     return F.map_concat(F.map_filter(fallback, lambda k, v: ~F.map_contains_key(main, k)), main)

@@ -6,6 +6,8 @@ it runs inside the tasks of ``readers.fetch``.
 
 from __future__ import annotations
 
+import hashlib
+import os
 import random
 import re
 import time
@@ -29,8 +31,11 @@ def is_dns_error(error: BaseException) -> bool:
     return any(m in str(error).lower() for m in DNS_MARKERS)
 
 
-def retrying(get: Get, attempts: int = 6, base: float = 2.0, most: float = 90.0, jitter: float = 1.5, final: tuple[int, ...] = (), sleep: Callable[[float], None] = time.sleep, rand: Callable[[], float] = random.random) -> Get:
-    """``get`` tried again after an error, except for statuses in ``final``; name resolution errors wait 5 seconds at least."""
+def retrying(get: Get, attempts: int = 6, base: float = 2.0, most: float = 90.0, jitter: float = 1.5, final: tuple[int, ...] = (), sleep: Callable[[float], None] = time.sleep, rand: Callable[[], float] = random.random, delay_of: Callable[[int], float] | None = None) -> Get:
+    """``get`` tried again after an error, except for statuses in ``final``; name resolution errors wait 5 seconds at least.
+
+    ``delay_of`` (say ``crawler_delay``) gives the wait after an attempt instead of the backoff with even jitter.
+    """
 
     def run(url: str):
         for n in range(1, attempts + 1):
@@ -39,13 +44,44 @@ def retrying(get: Get, attempts: int = 6, base: float = 2.0, most: float = 90.0,
             except Exception as e:
                 if n == attempts or isinstance(e, HttpStatus) and e.code in final:
                     raise
-                delay = min(most, base * 2 ** (n - 1)) + jitter * rand()
+                delay = min(most, base * 2 ** (n - 1)) + jitter * rand() if delay_of is None else delay_of(n)
                 sleep(max(5.0, delay) if is_dns_error(e) else delay)
         raise AssertionError("unreachable")
 
     return run
 
 
+def crawler_delay(attempt: int, base: float = 2.0, most: float = 60.0, rand: Callable[[], float] = lambda: random.gauss(0.0, 1.0)) -> float:
+    """Seconds that a crawler waits after an attempt: the backoff with normal jitter, one second at least."""
+    return max(1.0, min(most, base * 2 ** (attempt - 1)) + rand())
+
+
+def http_get(url: str, timeout: float = 30.0) -> tuple[bytes, str, int]:
+    """One plain request by the standard library: (body, final address, status); HttpStatus for an error status."""
+    import urllib.error
+    import urllib.request
+
+    request = urllib.request.Request(url, headers={"User-Agent": "Mozilla/5.0 (compatible; tarrafa)", "Accept-Encoding": "gzip, deflate"})
+    try:
+        with urllib.request.urlopen(request, timeout=timeout) as r:
+            return r.read(), r.geturl(), r.status
+    except urllib.error.HTTPError as e:
+        raise HttpStatus(e.code) from e
+
+
+def mirrored(folder: str) -> Get:
+    """``get`` from a folder in which each page lies under the SHA-1 of its address; 404 for others. The workers must see it."""
+
+    def get(url: str) -> tuple[bytes, str, int]:
+        try:
+            with open(os.path.join(folder, hashlib.sha1(url.encode()).hexdigest()), "rb") as f:
+                return f.read(), url, 200
+        except FileNotFoundError:
+            raise HttpStatus(404) from None
+
+    return get
+
+
 def charset(content_type: str | None) -> str:
     m = re.search(r"charset=[\"']?([\w.-]+)", content_type or "", re.I)
     return m.group(1) if m else "utf-8"

@@ -131,12 +131,12 @@ def sitemap_index(df: DataFrame, xml: str = "xml") -> DataFrame:
     return rows.select(_child(F.col("_b"), "loc").alias("loc"), _child(F.col("_b"), "lastmod").alias("lastmod")).where("loc is not null")
 
 
-def sitemap_urlset(df: DataFrame, xml: str = "xml") -> DataFrame:
-    """(pos, loc, lastmod, image_loc) of the pages a sitemap names; of several images the last one counts."""
-    rows = df.where(sitemap_kind(F.col(xml)) == "urlset").select(F.posexplode(_blocks(F.col(xml), "url")).alias("pos", "_b"))
+def sitemap_urlset(df: DataFrame, xml: str = "xml", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(pos, loc, lastmod, image_loc) of the pages a sitemap names, and columns of ``df`` to keep; of several images the last one counts."""
+    rows = df.where(sitemap_kind(F.col(xml)) == "urlset").select(*keep, F.posexplode(_blocks(F.col(xml), "url")).alias("pos", "_b"))
     images = F.filter(F.transform(_blocks(F.col("_b"), "image"), lambda b: _child(b, "loc")), lambda x: x.isNotNull())
     bare = F.regexp_replace("_b", r"(?s)<(?:[\w.-]+:)?image(?:\s[^>]*)?>.*?</(?:[\w.-]+:)?image\s*>", "")
-    return rows.select("pos", _child(bare, "loc").alias("loc"), _child(bare, "lastmod").alias("lastmod"), F.try_element_at(images, F.lit(-1)).alias("image_loc")).where("loc is not null")
+    return rows.select(*keep, "pos", _child(bare, "loc").alias("loc"), _child(bare, "lastmod").alias("lastmod"), F.try_element_at(images, F.lit(-1)).alias("image_loc")).where("loc is not null")
 
 
 def read_xml(spark: SparkSession, path: str) -> DataFrame:

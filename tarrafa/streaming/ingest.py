@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tarrafa.plans.ingest import new_events
+from tarrafa.plans.ingest import ledger, new_events
 from tarrafa.schemas import EVENTS
 from tarrafa.session import exists
 from tarrafa.sources.readers import export_rows, unzipped_lines
@@ -25,14 +25,21 @@ def stored_events(spark: SparkSession, root: str, before: int | None = None) ->
     return (rows if before is None else rows.where(F.col("batch") < before)).drop("batch")
 
 
-def ingest_stream(spark: SparkSession, landing: str, root: str, checkpoint: str, files_per_batch: int = 16, hosts: list[str] | None = None) -> StreamingQuery:
-    """Take in all files that lie in ``landing`` and stop; later calls go on where this one ended."""
+def ingest_stream(spark: SparkSession, landing: str, root: str, checkpoint: str, files_per_batch: int = 16, hosts: list[str] | None = None, ledger_root: str | None = None) -> StreamingQuery:
+    """Take in all files that lie in ``landing`` and stop; later calls go on where this one ended.
+
+    With ``ledger_root`` each batch's files are put into the ledger there under the same batch id, after its rows: a
+    batch that failed in between writes both anew.
+    """
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.zip").option("maxFilesPerTrigger", files_per_batch).load(landing)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         raw = export_rows(unzipped_lines(batch))
         fresh = new_events(raw, stored_events(spark, root, batch_id), hosts=hosts)
         fresh.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+        if ledger_root:
+            listed = batch.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("path").alias("url"))
+            ledger(listed).write.mode("overwrite").parquet(f"{ledger_root}/batch={batch_id}")
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
