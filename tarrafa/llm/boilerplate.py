@@ -85,6 +85,18 @@ def _block(line: str) -> tuple:
     return _kept_block(line) if len(line) <= KEPT else _make_block(line)
 
 
+_DIGITS, _CAPITALS = b"0123456789", bytes(i for i in range(256) if chr(i).isupper())
+
+
+def _counts(line: str) -> tuple[int, int]:
+    """Digits and capitals of a line; by bytes where each character is one."""
+    try:
+        b = line.encode("latin-1")
+    except UnicodeEncodeError:
+        return sum(map(str.isdecimal, line)), sum(map(str.isupper, line))
+    return len(b) - len(b.translate(None, _DIGITS)), len(b) - len(b.translate(None, _CAPITALS))
+
+
 def _make_block(line: str) -> tuple:
     parts = line.split()
     n, size = len(parts) - sum(map(_MARKS.__contains__, parts)), len(line)
@@ -107,7 +119,7 @@ def _make_block(line: str) -> tuple:
     sections = sum(map(SECTIONS.__contains__, words))
     titles = sum([p[:1].isupper() for p in parts])
     separators = len(_SEPARATOR.findall(line))
-    digits = sum(map(str.isdigit, line))
+    digits, capitals = _counts(line)
     stop = 1 if _STOP.search(line[-6:]) else 0
     anchors = 0
     if separators:
@@ -121,7 +133,7 @@ def _make_block(line: str) -> tuple:
     heading = n < 16 and bool(_HEADING.match(low))
     subhead = 1 if _SUBHEAD.match(low) or "foto" in low or "photo" in low else 0
     hexes = 1 if digits and _HEX.search(low) else 0
-    upper = sum(map(str.isupper, line)) / max(size, 1)
+    upper = capitals / max(size, 1)
     before_cue = n if first is None else low.count(" ", 0, first)
     own = (n, size, cues, min(1.0, cue_chars / max(len(low), 1)), anchors / w, separators / w, stop, 1 if bullet else 0, hexes, upper, small / w, titles / w, 0, subhead, int(heading), line.count("\t"), digits / max(size, 1), before_cue, sections / w, line.count(", "), sum(map(ADDRESS.__contains__, words)), low.count(" ", 0, low.find(":")) + 1 if ":" in low else n)
     return own, bullet, heading
@@ -200,6 +212,39 @@ def judge(model, f) -> float:
     return model
 
 
+def as_arrays(model) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Each tree as arrays over its nodes: feature (-1 for a leaf), threshold or share, left and right child."""
+    out = []
+    for tree in model if isinstance(model, list) else [model]:
+        nodes: list[list] = []
+
+        def add(t, nodes=nodes) -> int:
+            at = len(nodes)
+            nodes.append([-1, t, at, at] if not isinstance(t, tuple) else [t[0], t[1], 0, 0])
+            if isinstance(t, tuple):
+                nodes[at][2], nodes[at][3] = add(t[2]), add(t[3])
+            return at
+
+        add(tree)
+        feature, value, left, right = zip(*nodes)
+        out.append((np.array(feature), np.array(value, float), np.array(left), np.array(right)))
+    return out
+
+
+def shares(trees: list[tuple], x: np.ndarray) -> np.ndarray:
+    """What ``judge`` says of each row of x, by all trees of ``as_arrays``, a level at a time."""
+    total = np.zeros(len(x))
+    for feature, value, left, right in trees:
+        at = np.zeros(len(x), np.int64)
+        open_ = np.arange(len(x)) if feature[0] >= 0 else np.zeros(0, np.int64)
+        while len(open_):
+            node = at[open_]
+            at[open_] = np.where(x[open_, feature[node]] <= value[node], left[node], right[node])
+            open_ = open_[feature[at[open_]] >= 0]
+        total += value[at]
+    return total / len(trees)
+
+
 def fit_trees(x: np.ndarray, y: np.ndarray, count: int = TREES, share: float = 0.6, seed: int = 3) -> list:
     """Trees fitted on drawn blocks and drawn features each, so that none leans on one accident of the labelled pages."""
     trees = []
@@ -240,28 +285,47 @@ def _is_residue(line: str) -> bool:
     return _kept_residue(line) if len(line) <= KEPT else _make_residue(line)
 
 
+@functools.lru_cache(maxsize=1)
+def _slot_patterns() -> tuple[re.Pattern, re.Pattern]:
+    return re.compile("|".join(f"(?:{_python(p)})" for p in SLOTS)), re.compile("|".join(p.replace(r"\z", r"\Z") for p in DEFAULTS))
+
+
 def _make_residue(line: str) -> bool:
     t = re.sub(r"\d+", "0", re.sub(r"\b(?=[a-f]*\d)[\da-f]{6,}\b", "h", " ".join(line.lower().split())))
-    return bool(_residue_pattern().match(t)) or any(re.fullmatch(_python(p), line) for p in SLOTS) or any(re.search(p.replace(r"\z", r"\Z"), line) for p in DEFAULTS)
+    slots, defaults = _slot_patterns()
+    return bool(_residue_pattern().match(t) or slots.fullmatch(line) or defaults.search(line))
 
 
 _kept_residue = functools.lru_cache(maxsize=10_000)(_make_residue)
 
 
-def furniture_numbers(text: str, tree) -> list[int]:
-    """Line numbers, from 1 and with blank lines counted, of the blocks that are not the article."""
-    numbered = [(i, s) for i, line in enumerate(text.split("\n"), 1) if (s := line.strip())]
-    feats = page_features([s for _, s in numbered])
-    return [i for (i, s), f in zip(numbered, feats) if judge(tree, f) >= 0.5 and not _is_residue(s)]
+def furniture_lines(texts: list[str | None], trees: list[tuple]) -> list[list[int] | None]:
+    """For each text the numbers of its lines, from 1 and with blank lines counted, that are not the article."""
+    numbered = [[(i, s) for i, line in enumerate(t.split("\n"), 1) if (s := line.strip())] if t is not None else None for t in texts]
+    features = [f for lines in numbered if lines for f in page_features([s for _, s in lines])]
+    judged = iter(shares(trees, np.array(features, dtype=float)) >= 0.5) if features else iter(())
+    return [None if lines is None else [i for (i, s), out in zip(lines, judged) if out and not _is_residue(s)] for lines in numbered]
+
+
+def furniture_numbers(text: str, model) -> list[int]:
+    """The line numbers of one text that are not the article."""
+    return furniture_lines([text], as_arrays(model))[0]
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Small batches, so that the features of one stay small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
 
 
 def furniture(df: DataFrame, key: str, text: str, tree=None) -> DataFrame:
     """(key, line_no) of each non-blank line that is not part of the article."""
-    model = tree or default_tree()
+    trees = as_arrays(tree or default_tree())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [None if t is None else furniture_numbers(t, model) for t in batch.column(1).to_pylist()]
+        for batch in slices(batches):
+            found = furniture_lines(batch.column(1).to_pylist(), trees)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["_key", "_lines"])
 
     schema = T.StructType([T.StructField("_key", df.schema[key].dataType), T.StructField("_lines", T.ArrayType(T.IntegerType()))])
@@ -271,17 +335,18 @@ def furniture(df: DataFrame, key: str, text: str, tree=None) -> DataFrame:
 
 def main_text(df: DataFrame, key: str, text: str, tree=None) -> DataFrame:
     """(key, text) with the article alone; null stays null."""
-    model = tree or default_tree()
+    trees = as_arrays(tree or default_tree())
 
-    def clean(t: str | None) -> str | None:
-        if t is None:
-            return None
-        gone = set(furniture_numbers(t, model))
-        return "\n".join(line for i, line in enumerate(t.split("\n"), 1) if i not in gone)
+    def clean(t: str | None, gone: list[int] | None) -> str | None:
+        if not gone:
+            return t
+        out = set(gone)
+        return "\n".join(line for i, line in enumerate(t.split("\n"), 1) if i not in out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([clean(t) for t in batch.column(1).to_pylist()], pa.string())], names=["_key", "_text"])
+        for batch in slices(batches):
+            texts = batch.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([clean(t, g) for t, g in zip(texts, furniture_lines(texts, trees))], pa.string())], names=["_key", "_text"])
 
     schema = T.StructType([T.StructField("_key", df.schema[key].dataType), T.StructField("_text", T.StringType())])
     out = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, schema)
