@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarrafa.functions.dates import sitemap_sort_key
-from tarrafa.functions.text import CHUNK_OVERLAP, CHUNK_SIZE, chunk_header, chunks, clean_array, first_filled
+from tarrafa.functions.retry import extraction_status
+from tarrafa.functions.text import CHUNK_OVERLAP, CHUNK_SIZE, chunk_header, chunks, clean_array, first_filled, html_title
 from tarrafa.functions.url import host
+from tarrafa.models import extract_pages, json_parts
 from tarrafa.operators.select import extracted_urls
 from tarrafa.operators.upsert import seed_articles
+from tarrafa.sources.fetching import Get
 
 
 def newest_sitemaps(index: DataFrame, until: date | None = None, limit: int | None = None) -> DataFrame:
@@ -83,3 +86,29 @@ def article_chunks(articles: DataFrame, size: int = CHUNK_SIZE, overlap: int = C
     header = chunk_header(F.col("title"), F.col("date_published"), F.col("excerpt"), F.col("categories"))
     cut = articles.where("text_content is not null").select(F.col("url").alias("article"), header.alias("_h"), F.posexplode(chunks(F.col("text_content"), size, overlap)).alias("chunk_no", "_c"))
     return cut.select("article", "chunk_no", F.concat("_h", "_c").alias("chunk"))
+
+
+def with_embeddings(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """Chunks with the vectors that were made for them put in by id; vectors of their own stay where there is no new one."""
+    made = embeddings.groupBy("id").agg(F.any_value("embedding").alias("_made"))
+    return chunks.join(made, "id", "left").withColumn("embedding", F.coalesce("_made", "embedding")).drop("_made").select(*chunks.columns)
+
+
+def with_fetched(articles: DataFrame, todo: DataFrame, get: Get, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(articles with what was fetched and extracted put in, outcomes (url, ok)) of the seeds ``todo``, each address once."""
+    from tarrafa.operators.upsert import record_extractions, record_fetch_errors
+    from tarrafa.plans.backfill import fetch_pages
+    from tarrafa.session import checkpointed
+
+    pages = checkpointed(fetch_pages(todo.select("url").distinct(), get, "url"))
+    failed = pages.where("status <> 'ok'").select("url", F.col("status").alias("fetch_status"), F.col("error").alias("fetch_error"), F.regexp_extract("error", r"^http_(\d+)$", 1).try_cast("int").alias("http_status"), now.alias("fetched_at"), "final_url")
+    parsed = extract_pages(extract_pages(pages.where("status = 'ok'"), "html"), "html", "_json", json_parts)
+    title, text = first_filled(F.col("page.title"), F.col("_json.title"), html_title(F.col("html"))), first_filled(F.col("page.text"), F.col("_json.text"))
+    extracted = parsed.select(
+        "url", F.lit(200).alias("http_status"), now.alias("fetched_at"), "final_url", extraction_status(title, text, F.col("html").isNull()).alias("extraction_status"), now.alias("extracted_at"),
+        title.alias("title"), first_filled(F.col("page.author"), F.col("_json.author")).alias("author"), host(F.col("final_url")).alias("hostname"), first_filled(F.col("page.date"), F.col("_json.date")).alias("date_published"), text.alias("text_content"),
+        metadata_json(F.create_map(F.lit("title"), title, F.lit("date"), first_filled(F.col("page.date"), F.col("_json.date"))), F.col("final_url")).alias("raw_metadata"),
+    )
+    extracted = checkpointed(extracted)
+    stored = record_extractions(record_fetch_errors(articles, failed), extracted)
+    return stored, pages.select("url", (F.col("status") == "ok").alias("_f")).join(extracted.select("url", "extraction_status"), "url", "left").select("url", (F.coalesce("extraction_status", F.lit("")) == "ok").alias("ok"))
