@@ -72,7 +72,7 @@ FILLER_PHRASES = [
 ]
 
 #: Nothing behind a preposition.
-BLANK = r"(?<!\S)((?:em|por|de|às|na|no|da|do|by|on|at|in|from))(?:[ \t]{2,}+|[ \t]*+(?=[.,;:)\n]|\z))"
+BLANK = r"(?<!\S)((?:em|por|de|às|na|no|da|do|by|on|at|in|from))(?:[ \t]{2,}+|[ \t]++(?=[.,;:)\n]|\z))"
 #: What may fill a slot of an aligned line and isn't content: a name in any delimiters or spelt as an identifier,
 #: a printf mark, a default, or a blank.
 ODD = "|".join([
@@ -81,9 +81,11 @@ ODD = "|".join([
     r"(?<![\p{L}\p{N}])(?:undefined|null|NaN|None|N/A|TBD)(?![\p{L}\p{N}])",
     BLANK,
 ])
-#: What every seed of a slot and every odd filling but defaults and blanks holds.
-MARKS = r"[{<\[@#_~^«]|[%$]\p{L}|XXX|TODO|FIXME|\(\p{L}{6,}"
+#: What every seed of a slot and every odd filling but blanks holds, besides a letter behind % or $ ...
+MARKS = ["{", "<", "[", "@", "#", "_", "~", "^", "«", "XXX", "TODO", "FIXME", "(completar ", "(preencher ", "(inserir ", "(colocar ", "(a definir ", "(definir ", "(escrever ", "(trocar "]
 DEFAULT_WORDS = ["undefined", "null", "NaN", "None", "N/A", "TBD", "[object", "Invalid Date"]
+#: ... and what a blank slot leaves behind.
+GAPS = ["  ", "\t", " .", " ,", " ;", " :", " )", " \n"]
 #: Share of a text that mock Latin may leave over.
 MOCK_REST = 0.3
 _BREAK = r"[\s\p{Z}|:!?.,;/>»›•·…\-–—=_*()\[\]\"“”']"
@@ -103,16 +105,21 @@ def masked(text: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"\d+", "0"))
 
 
+def _holds(text: Column, words: list[str]) -> Column:
+    """Whether a text holds one of some strings: plain searches, many times cheaper than a pattern."""
+    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
+
+
 def has_slot(text: Column) -> Column:
     """Seeds of slots and defaults; the patterns run only on texts that hold a character or word they all need."""
-    return (text.rlike(MARKS) & text.rlike("|".join(SLOTS))) | (_has_default(text) & text.rlike("|".join(DEFAULTS)))
+    marked = _holds(text, MARKS) | _holds(F.lower(text), [m for m in MARKS if m[0] == "("]) | text.rlike(r"%\p{L}")
+    return (marked & text.rlike("|".join(SLOTS))) | (_holds(text, DEFAULT_WORDS) & text.rlike("|".join(DEFAULTS)))
 
 
-def _has_default(text: Column) -> Column:
-    found = F.lit(False)
-    for word in DEFAULT_WORDS:
-        found = found | F.contains(text, F.lit(word))
-    return found
+def may_be_odd(text: Column) -> Column:
+    """What every text needs that has a seed of a slot or an odd line."""
+    gap = (_holds(text, GAPS) | F.endswith(text, F.lit(" "))) & text.rlike(BLANK)
+    return _holds(text, [*MARKS, *DEFAULT_WORDS]) | text.rlike(r"[%$]\p{L}") | gap | (F.contains(text, F.lit("(")) & _holds(F.lower(text), [m for m in MARKS if m[0] == "("]))
 
 
 def _phrases() -> str:
@@ -224,8 +231,7 @@ def residue(df: DataFrame, key: str = "id", title: str = "title", text: str = "a
     base = df.select(*keyed, F.posexplode(fields).alias("_field", "_text"))
     # Generators, not projections and filters: the optimizer would evaluate their patterns once per use.
     t = F.col("_text")
-    odd = t.rlike(MARKS) | _has_default(t) | t.rlike(BLANK)
-    seen = base.select("_key", "_site", "_field", F.inline(F.array(F.struct(t.alias("_text"), t.rlike(_LATIN_RUN).alias("_latin"), odd.alias("_odd")))))
+    seen = base.select("_key", "_site", "_field", F.inline(F.array(F.struct(t.alias("_text"), t.rlike(_LATIN_RUN).alias("_latin"), may_be_odd(t).alias("_odd")))))
     none, no_form = F.lit(None).cast("string"), F.lit(None).cast("long")
     one = lambda kind, mask: F.array(F.struct(F.lit(kind).alias("_kind"), mask.alias("_mask"), no_form.alias("_form")))
     seeds = F.when(F.col("_odd") & has_slot(t), one("slot", none)).when(whole_residue(t, F.col("_latin")), one("page", none)).when(F.col("_latin") | may_be_page(t), one("open", masked(t)))
