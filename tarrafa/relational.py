@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from tarrafa.functions import arrays, dates, numbers, retry, text, url, vector
 from tarrafa.operators import dedup, entities, interleave, knn, select, upsert, views, weekly
 from tarrafa.plans import crawl, ranking
 from tarrafa.session import table
+from tarrafa.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -111,22 +112,44 @@ def numeric_coercion(spark, d):
     return v.select("url", "raw", numbers.lenient_integer(F.col("raw")).alias("whole"), numbers.lenient_double(F.col("raw")).alias("real"))
 
 
-@query(r"""SELECT sitemap_url, epoch_us(k.at) AS at_micros, k.seq AS seq FROM (SELECT sitemap_url, CASE
-    WHEN regexp_matches(sitemap_lastmod, '^\d{4}-\d{2}-\d{2}$') AND try_cast(sitemap_lastmod AS DATE) IS NOT NULL THEN {'at': CAST(try_cast(sitemap_lastmod AS DATE) AS TIMESTAMP), 'seq': 0}
-    WHEN regexp_matches(sitemap_url, '/\d{4}/\d{2}/\d{2}_\d+\.xml$') THEN {'at': CAST(replace(regexp_extract(sitemap_url, '/(\d{4}/\d{2}/\d{2})_\d+\.xml$', 1), '/', '-') AS TIMESTAMP), 'seq': CAST(regexp_extract(sitemap_url, '_(\d+)\.xml$', 1) AS INTEGER)}
-    ELSE {'at': TIMESTAMP '1970-01-01', 'seq': 0} END AS k FROM g1_sitemaps WHERE sitemap_lastmod IS NULL OR length(sitemap_lastmod) <= 10) ORDER BY at_micros DESC, seq DESC, sitemap_url""")
+# A lastmod as date, clock time, fraction and offset; what isn't one of these notations, or no date, leaves the file's name.
+_MOD = r"'^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2})(:\d{2})?(?:\.(\d+))?([zZ]|[+-]\d{2}:?\d{2})?)?$'"
+_SITEMAPS = rf"""SELECT sitemap_url, coalesce(stamp, named, 0) AS at_micros, CASE WHEN stamp IS NULL AND named IS NOT NULL THEN CAST(regexp_extract(sitemap_url, '_(\d+)\.xml$', 1) AS INTEGER) ELSE 0 END AS seq FROM (
+    SELECT sitemap_url, CASE WHEN NOT regexp_matches(sitemap_url, '/\d{{4}}/\d{{2}}/\d{{2}}_\d+\.xml$') THEN NULL ELSE epoch_us(try_cast(replace(regexp_extract(sitemap_url, '/(\d{{4}}/\d{{2}}/\d{{2}})_\d+\.xml$', 1), '/', '-') AS TIMESTAMP)) END AS named,
+    CASE WHEN regexp_matches(sitemap_lastmod, {_MOD}) THEN epoch_us(try_cast(regexp_extract(sitemap_lastmod, {_MOD}, 1) || ' ' || coalesce(nullif(regexp_extract(sitemap_lastmod, {_MOD}, 2), ''), '00:00') || coalesce(nullif(regexp_extract(sitemap_lastmod, {_MOD}, 3), ''), ':00') AS TIMESTAMP))
+        + CAST(rpad(left(regexp_extract(sitemap_lastmod, {_MOD}, 4), 6), 6, '0') AS BIGINT)
+        - CASE WHEN regexp_matches(sitemap_lastmod, '[+-]\d{{2}}:?\d{{2}}$') AND regexp_extract(sitemap_lastmod, {_MOD}, 5) <> '' THEN CAST(left(regexp_extract(sitemap_lastmod, {_MOD}, 5), 1) || '1' AS BIGINT)
+            * (CAST(substring(regexp_extract(sitemap_lastmod, {_MOD}, 5), 2, 2) AS BIGINT) * 60 + CAST(right(regexp_extract(sitemap_lastmod, {_MOD}, 5), 2) AS BIGINT)) * 60000000 ELSE 0 END END AS stamp
+    FROM g1_sitemaps)"""
+
+
+def _newest(spark, d, until=None, limit=None):
+    index = table(spark, d, "g1_sitemaps", "sitemap_url", "sitemap_lastmod").withColumnsRenamed({"sitemap_url": "loc", "sitemap_lastmod": "lastmod"})
+    return crawl.newest_sitemaps(index, until, limit).select(F.col("loc").alias("sitemap_url"), F.unix_micros("at").alias("at_micros"), "seq")
+
+
+@query(_SITEMAPS)
 def sitemap_sort(spark, d):
-    """Sitemaps whose lastmod is a date or missing, newest first, which SQL follows; ``sitemap_order`` takes all."""
-    rows = table(spark, d, "g1_sitemaps", "sitemap_url", "sitemap_lastmod").where("sitemap_lastmod is null or length(sitemap_lastmod) <= 10")
-    index = rows.select(F.col("sitemap_url").alias("loc"), F.when(F.col("sitemap_lastmod").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("sitemap_lastmod")).alias("lastmod"))
-    return crawl.newest_sitemaps(index).select(F.col("loc").alias("sitemap_url"), F.unix_micros("at").alias("at_micros"), "seq")
+    """All sitemaps, lastmod as stored, with what they are sorted by."""
+    return _newest(spark, d)
 
 
-@query()
+@query(f"{_SITEMAPS} ORDER BY at_micros DESC, seq DESC, sitemap_url")
 def sitemap_order(spark, d):
-    """All sitemaps, lastmod as stored, newest first; no SQL, as it doesn't read all the notations of instants."""
-    index = table(spark, d, "g1_sitemaps", "sitemap_url", "sitemap_lastmod").withColumnsRenamed({"sitemap_url": "loc", "sitemap_lastmod": "lastmod"})
-    return crawl.newest_sitemaps(index).select(F.col("loc").alias("sitemap_url"), F.unix_micros("at").alias("at_micros"), "seq")
+    """All sitemaps, newest first."""
+    return _newest(spark, d)
+
+
+@query(f"SELECT * FROM ({_SITEMAPS}) WHERE at_micros <= epoch_us(TIMESTAMP '2019-01-01')")
+def sitemap_cutoff(spark, d):
+    """Sitemaps up to a day's midnight in UTC."""
+    return _newest(spark, d, date(2019, 1, 1))
+
+
+@query(f"SELECT * FROM ({_SITEMAPS}) ORDER BY at_micros DESC, seq DESC, sitemap_url LIMIT 10")
+def sitemap_cap(spark, d):
+    """The newest few: the limit is the operator."""
+    return _newest(spark, d, None, 10)
 
 
 _DATE = r"try_cast(nullif(regexp_extract(date_published, '^\s*(\d{4}-\d{2}-\d{2})', 1), '') AS DATE)"
@@ -195,16 +218,15 @@ def raw_sql(spark, d):
     return spark.sql(r"SELECT date_published, count(*) AS n FROM g1_articles WHERE date_published IS NOT NULL AND try_cast(regexp_extract(date_published, '^\\s*(\\d{4}-\\d{2}-\\d{2})', 1) AS DATE) IS NULL GROUP BY 1")
 
 
-@query("""SELECT url, '{"title":' || to_json(title)::VARCHAR || ',"url":' || to_json(url)::VARCHAR || '}' AS body FROM g1_articles WHERE title IS NOT NULL AND title NOT LIKE '%/%'""")
+@query("""SELECT url, '{"title":' || coalesce(replace(to_json(title)::VARCHAR, '\\/', '/'), 'null') || ',"url":' || replace(to_json(url)::VARCHAR, '\\/', '/') || '}' AS body FROM g1_articles""")
 def json_rows(spark, d):
-    """Response rows as JSON."""
-    return articles(spark, d, "url", "title").where("title is not null and title not like '%/%'").select("url", F.to_json(F.struct("title", "url")).alias("body"))
+    """Response rows of all articles as JSON."""
+    return articles(spark, d, "url", "title").select("url", F.to_json(F.struct("title", "url"), {"ignoreNullFields": "false"}).alias("body"))
 
 
-@query()
+@query(SQL["json_rows"])
 def json_rows_all(spark, d):
-    """Response rows of all articles as JSON; no SQL, whose text functions spell slashes and nulls otherwise."""
-    return articles(spark, d, "url", "title").select("url", F.to_json(F.struct("title", "url"), {"ignoreNullFields": "false"}).alias("body"))
+    return json_rows(spark, d)
 
 
 # Joins and filters
@@ -256,6 +278,13 @@ def pending_files(spark, d):
     return select.pending_files(listed, table(spark, d, "processed_files", "file_name"))
 
 
+@query("SELECT DISTINCT source_file AS file_name FROM gdelt_brazil_events ORDER BY file_name DESC LIMIT 4")
+def bootstrap_files(spark, d):
+    """The latest files of a first run: the limit is the operator."""
+    listed = events(spark, d, "source_file").distinct().withColumnRenamed("source_file", "file_name")
+    return select.pending_files(listed, spark.createDataFrame([], "file_name string"), 4)
+
+
 _PENDING = """SELECT sourceurl, min(ingested_at) AS first_ingested FROM gdelt_brazil_events WHERE sourceurl <> '' AND (coalesce(title, '') = '' OR coalesce(article_content, '') = '') AND coalesce(title_fetch_attempts, 0) < 4
     AND (title_next_retry_at IS NULL OR title_next_retry_at <= TIMESTAMP '2024-01-01') AND coalesce(title_fetch_status, '') NOT IN ('ok', 'not_found', 'gone', 'login_required', 'forbidden', 'blocked') GROUP BY sourceurl"""
 
@@ -269,15 +298,46 @@ def pending_urls(spark, d):
     return _pending(spark, d).select("sourceurl", F.unix_micros("first_ingested").alias("first_micros"))
 
 
+@query(f"SELECT sourceurl FROM ({_PENDING}) ORDER BY first_ingested, sourceurl LIMIT 25")
+def pending_batch(spark, d):
+    """The oldest of the queue: the limit is the operator."""
+    queue = select.pending_urls(events(spark, d, "sourceurl", "title", "article_content", "title_fetch_attempts", "title_next_retry_at", "title_fetch_status", "ingested_at"), NOW, limit=25)
+    return queue.select("sourceurl")
+
+
+@query("""SELECT sitemap_url, url FROM (SELECT sitemap_url, url, row_number() OVER (PARTITION BY sitemap_url ORDER BY url) AS n FROM g1_articles WHERE NOT (extraction_status = 'ok' AND coalesce(text_content, '') <> '') IS TRUE) WHERE n <= 3""")
+def capped_per_sitemap(spark, d):
+    """Articles still to be fetched, a few of each sitemap: the cap is the operator."""
+    a = articles(spark, d, "url", "sitemap_url", "extraction_status", "text_content")
+    found = a.select("url", "sitemap_url", F.lit(0).alias("pos"))
+    return crawl.pending_articles(found, a, 3).select("sitemap_url", "url")
+
+
 @query(f"SELECT {_E} AS domain, count(*) AS pending FROM ({_PENDING}) GROUP BY 1")
 def pending_per_domain(spark, d):
     return _pending(spark, d).groupBy(url.host(F.col("sourceurl")).alias("domain")).agg(F.count("*").alias("pending"))
 
 
-@query("SELECT id, text, type FROM g1_entities WHERE (text, type) IN (SELECT text, type FROM g1_entities WHERE id % 3 = 0)")
+@query("SELECT id, text, type FROM g1_entities WHERE (text, type) IN (SELECT e.text, e.type FROM article_entities x JOIN g1_entities e ON e.id = x.g1_entities_id)")
 def composite_in(spark, d):
+    """Entities whose pair of text and type some article mentions."""
     e = table(spark, d, "g1_entities", "id", "text", "type")
-    return e.join(e.where("id % 3 = 0").select("text", "type"), ["text", "type"], "left_semi").select("id", "text", "type")
+    named = e.join(table(spark, d, "article_entities", "g1_entities_id"), F.col("id") == F.col("g1_entities_id"), "left_semi").select("text", "type")
+    return e.join(named, ["text", "type"], "left_semi").select("id", "text", "type")
+
+
+@query("SELECT url, title, http_status FROM g1_articles WHERE url = (SELECT max(url) FROM g1_articles)")
+def point_lookup(spark, d):
+    """One row by its key."""
+    a = articles(spark, d, "url", "title", "http_status")
+    return select.by_key(a, "url", a.agg(F.max("url").alias("m")).scalar())
+
+
+@query("SELECT id, article, chunk FROM g1_chunks WHERE article = (SELECT max(article) FROM g1_chunks) ORDER BY id")
+def chunks_of_article(spark, d):
+    """The chunks of one article."""
+    c = chunks(spark, d, "id", "article", "chunk")
+    return select.chunks_of(c, c.agg(F.max("article").alias("m")).scalar())
 
 
 @query("SELECT url, title FROM g1_articles ORDER BY url LIMIT 100 OFFSET 20")
@@ -334,6 +394,12 @@ def grid_quantiles(spark, d):
     return weekly.grid_quantiles(weekly.weekly_grid(_weeks(spark, d))).drop("ticks")
 
 
+@query(f"""WITH q AS ({SQL["grid_quantiles"]}) SELECT DISTINCT unnest([low, q25, q50, q75, high]) AS tick FROM q""")
+def grid_ticks(spark, d):
+    """The distinct ticks of the colour scale."""
+    return weekly.grid_quantiles(weekly.weekly_grid(_weeks(spark, d))).select(F.explode("ticks").alias("tick"))
+
+
 _QUEUE = f"""SELECT sourceurl, row_number() OVER (ORDER BY first_ingested, sourceurl) AS pos FROM ({_PENDING})"""
 _ROBIN = f"""SELECT sourceurl, domain, domain_count, row_number() OVER (ORDER BY turn, domain_count DESC, first) AS place FROM (
     SELECT *, row_number() OVER (PARTITION BY domain ORDER BY pos) AS turn, count(*) OVER (PARTITION BY domain) AS domain_count, min(pos) OVER (PARTITION BY domain) AS first FROM (SELECT *, {_E} AS domain FROM ({_QUEUE})))"""
@@ -360,6 +426,15 @@ def domain_streak(spark, d):
     return run.select("id", F.col("streak").cast("long").alias("streak"), "cooldown_s")
 
 
+@query(f"""WITH s AS (SELECT *, CASE WHEN domain = '' OR lag(domain) OVER w IS DISTINCT FROM domain THEN 1 ELSE 0 END AS fresh FROM ({_ROBIN}) WINDOW w AS (ORDER BY place)),
+    r AS (SELECT *, sum(fresh) OVER (ORDER BY place) AS run FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY place) AS streak FROM r)
+    SELECT sourceurl, place, streak, 1.5 + CASE WHEN streak >= 3 THEN 3.0 ELSE 0.0 END + CASE WHEN domain <> '' AND domain_count >= 20 THEN 2.0 ELSE 0.0 END AS cooldown_s FROM k""")
+def queue_streak(spark, d):
+    """Runs and waits over the whole queue, in its fair order."""
+    run = interleave.cooldown(interleave.streaks(_robin(spark, d), "place"))
+    return run.select("sourceurl", "place", "streak", "cooldown_s")
+
+
 @query("SELECT (SELECT count(*) FROM g1_articles) AS articles, (SELECT count(*) FROM gdelt_brazil_events) AS events, (SELECT count(*) FROM g1_chunks) AS chunks, (SELECT count(embedding) FROM g1_chunks) AS embedded, (SELECT count(*) FROM gdelt_brazil_events WHERE sourceurl IN (SELECT url FROM g1_articles)) AS crawled_events")
 def global_counts(spark, d):
     a, e, c = articles(spark, d, "url"), events(spark, d, "sourceurl"), chunks(spark, d, "id", "embedding")
@@ -481,6 +556,18 @@ def entity_get_or_create(spark, d):
 SQL["entity_get_or_create"] = SQL["entity_get_or_create"].replace(' COLLATE "binary"', "")
 
 
+@query(f"""WITH l AS ({_LISTS}), v AS (SELECT article AS url, arg_min(CAST(embedding AS DOUBLE[]), id) AS e FROM g1_chunks WHERE {_USABLE} GROUP BY 1), c AS (SELECT l.url, l.ents, v.e FROM l JOIN v ON v.url = l.url),
+    b AS (SELECT * FROM c ORDER BY url LIMIT 1), r AS (SELECT c.url, len(list_intersect(c.ents, b.ents)) AS common_count, list_cosine_similarity(c.e, b.e) AS s FROM c, b WHERE c.url <> b.url)
+    SELECT url, common_count, round(s, 6) AS similarity, CASE WHEN s >= 0.5 AND common_count >= 2 THEN 'Sim' ELSE 'Não' END AS continuity FROM r""")
+def chunk_ranking(spark, d):
+    """Articles ranked against one by shared entities and similarity of their first usable chunk's stored vector."""
+    lists = entities.entity_lists(table(spark, d, "article_entities", "g1_article_url", "g1_entities_id"), table(spark, d, "g1_entities", "id", "text"))
+    nonzero = _usable(chunks(spark, d, "id", "article", "embedding")).where(F.exists("embedding", lambda x: x != 0))
+    first = nonzero.groupBy(F.col("article").alias("url")).agg(F.min_by("embedding", "id").alias("embedding"))
+    rows = lists.join(first, "url")
+    return ranking.ranked(rows, rows.orderBy("url").limit(1)).select("url", "common_count", F.round("similarity", 6).alias("similarity"), "continuity")
+
+
 @query()
 def candidate_ranking(spark, d):
     """Articles ranked against one by shared entities and similarity of hashed text vectors."""
@@ -503,24 +590,23 @@ def named_entities(spark, d):
 # Writes with conflict rules, as new snapshots
 
 
-@query("""WITH o AS (SELECT url, first_seen_at, last_seen_at, sitemap_url FROM g1_articles WHERE hash(url) IS NOT NULL AND length(url) % 3 <> 0),
-    n AS (SELECT url, last_seen_at AS first_seen_at, last_seen_at + INTERVAL 1 DAY AS last_seen_at, 'new' AS sitemap_url FROM g1_articles WHERE length(url) % 2 = 0)
-    SELECT coalesce(o.url, n.url) AS url, epoch_us(coalesce(o.first_seen_at, n.first_seen_at)) AS first_micros, epoch_us(CASE WHEN n.url IS NULL THEN o.last_seen_at ELSE n.last_seen_at END) AS last_micros, CASE WHEN n.url IS NULL THEN o.sitemap_url ELSE n.sitemap_url END AS sitemap_url
-    FROM o FULL JOIN n ON o.url = n.url""")
+@query("""WITH o AS (SELECT url, first_seen_at, last_seen_at, sitemap_url FROM g1_articles WHERE fetch_status IS NOT NULL),
+    n AS (SELECT url, last_seen_at AS first_seen_at, last_seen_at + INTERVAL 1 DAY AS last_seen_at, 'new' AS sitemap_url FROM g1_articles)
+    SELECT n.url, epoch_us(coalesce(o.first_seen_at, n.first_seen_at)) AS first_micros, epoch_us(n.last_seen_at) AS last_micros, n.sitemap_url FROM n LEFT JOIN o ON o.url = n.url""")
 def upsert_seed(spark, d):
-    """The articles split into stored and found ones by the length of their address."""
-    a = articles(spark, d, "url", "first_seen_at", "last_seen_at", "sitemap_url")
-    found = a.where("length(url) % 2 = 0").select("url", F.col("last_seen_at").alias("first_seen_at"), (F.col("last_seen_at") + F.expr("interval 1 day")).alias("last_seen_at"), F.lit("new").alias("sitemap_url"), F.lit(0).alias("pos"))
-    out = upsert.seed_articles(a.where("length(url) % 3 <> 0"), found)
+    """All articles found again, into those that were fetched before."""
+    a = articles(spark, d, "url", "first_seen_at", "last_seen_at", "sitemap_url", "fetch_status")
+    found = a.select("url", F.col("last_seen_at").alias("first_seen_at"), (F.col("last_seen_at") + F.expr("interval 1 day")).alias("last_seen_at"), F.lit("new").alias("sitemap_url"), F.lit(0).alias("pos"))
+    out = upsert.seed_articles(a.where("fetch_status is not null").drop("fetch_status"), found)
     return out.select("url", F.unix_micros("first_seen_at").alias("first_micros"), F.unix_micros("last_seen_at").alias("last_micros"), "sitemap_url")
 
 
-@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY source_file, globaleventid, sourceurl ORDER BY globaleventid, id, source_file, sourceurl) AS k FROM gdelt_brazil_events WHERE id % 2 = 1)
-    SELECT n.id FROM n WHERE (globaleventid IS NULL OR k = 1) AND NOT EXISTS (SELECT 1 FROM gdelt_brazil_events o WHERE o.id % 2 = 0 AND o.source_file = n.source_file AND o.globaleventid = n.globaleventid AND o.sourceurl = n.sourceurl)""")
+@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY source_file, globaleventid, sourceurl ORDER BY globaleventid, id, source_file, sourceurl) AS k FROM gdelt_brazil_events)
+    SELECT n.id FROM n WHERE globaleventid IS NULL OR k = 1 AND NOT EXISTS (SELECT 1 FROM gdelt_brazil_events o WHERE o.title_fetch_status IS NOT NULL AND o.source_file = n.source_file AND o.globaleventid = n.globaleventid AND o.sourceurl = n.sourceurl)""")
 def insert_ignore(spark, d):
-    """Rows of odd ids into a table of the rows of even ids; a key with a null never conflicts."""
-    e = events(spark, d, "id", "source_file", "globaleventid", "sourceurl")
-    return upsert.insert_ignore(e.where("id % 2 = 0"), e.where("id % 2 = 1"), ["source_file", "globaleventid", "sourceurl"]).select("id")
+    """All rows into a table of those whose title was fetched; a key with a null never conflicts."""
+    e = events(spark, d, "id", "source_file", "globaleventid", "sourceurl", "title_fetch_status")
+    return upsert.insert_ignore(e.where("title_fetch_status is not null"), e.drop("title_fetch_status"), ["source_file", "globaleventid", "sourceurl"]).select("id")
 
 
 @query("""SELECT id, CASE WHEN title_fetch_status = 'no_content' THEN NULL ELSE title END AS title, CASE WHEN title_fetch_status = 'no_content' THEN 'gone' ELSE title_fetch_status END AS status,
@@ -544,9 +630,68 @@ def mark_chunked(spark, d):
     return upsert.mark_chunked(articles(spark, d, "url", "is_chunked"), chunks(spark, d, "article"))
 
 
-@query("""SELECT coalesce(o.sitemap_url, n.sitemap_url) AS sitemap_url, CASE WHEN n.sitemap_url IS NULL THEN o.sitemap_lastmod ELSE 'x' END AS sitemap_lastmod, coalesce(o.urls_in_sitemap, CASE WHEN n.sitemap_url IS NOT NULL THEN 0 END) AS urls_in_sitemap
-    FROM (SELECT * FROM g1_sitemaps WHERE length(sitemap_url) % 2 = 0 OR urls_in_sitemap > 100) o FULL JOIN (SELECT * FROM g1_sitemaps WHERE urls_in_sitemap % 2 = 0) n ON o.sitemap_url = n.sitemap_url""")
+@query("""SELECT n.sitemap_url, 'x' AS sitemap_lastmod, CASE WHEN n.processed_at IS NOT NULL THEN coalesce(n.urls_in_sitemap, 0) ELSE 0 END AS urls_in_sitemap FROM g1_sitemaps n""")
 def discover_sitemaps(spark, d):
+    """All sitemaps found again, beside those that were processed before."""
     s = table(spark, d, "g1_sitemaps")
-    found = s.where("urls_in_sitemap % 2 = 0").select("sitemap_url", F.lit("x").alias("sitemap_lastmod"), "target_date", "discovered_at")
-    return upsert.discover_sitemaps(s.where("length(sitemap_url) % 2 = 0 or urls_in_sitemap > 100"), found).select("sitemap_url", "sitemap_lastmod", "urls_in_sitemap")
+    found = s.select("sitemap_url", F.lit("x").alias("sitemap_lastmod"), "target_date", "discovered_at")
+    return upsert.discover_sitemaps(s.where("processed_at is not null"), found).select("sitemap_url", "sitemap_lastmod", "urls_in_sitemap")
+
+
+@query("""WITH done AS (SELECT sitemap_url, CAST(count(*) AS INTEGER) AS urls, CAST(count(*) FILTER (extraction_status = 'ok') AS INTEGER) AS ok FROM g1_articles WHERE sitemap_url IS NOT NULL GROUP BY 1)
+    SELECT coalesce(d.sitemap_url, s.sitemap_url) AS sitemap_url, coalesce(d.urls, s.urls_in_sitemap) AS urls_in_sitemap, CASE WHEN d.sitemap_url IS NULL THEN s.extracted_ok ELSE d.ok END AS extracted_ok, CASE WHEN d.sitemap_url IS NULL THEN s.extracted_failed ELSE d.urls - d.ok END AS extracted_failed
+    FROM done d FULL JOIN g1_sitemaps s ON s.sitemap_url = d.sitemap_url""")
+def sitemaps_processed(spark, d):
+    """Counts of a run over all articles, put over what is stored of their sitemaps."""
+    a = articles(spark, d, "url", "sitemap_url", "sitemap_lastmod", "extraction_status").where("sitemap_url is not null")
+    outcomes = a.select("url", (F.coalesce("extraction_status", F.lit("")) == "ok").alias("ok"))
+    done = crawl.sitemap_counts(a, a, outcomes, date(2024, 1, 1), F.lit(NOW).cast("timestamp"))
+    return upsert.mark_sitemaps_processed(table(spark, d, "g1_sitemaps"), done).select("sitemap_url", "urls_in_sitemap", "extracted_ok", "extracted_failed")
+
+
+# Sources, over texts made of the tables
+
+
+_XML = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+def _escaped(c):
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+@query("SELECT file_url AS url, file_name FROM processed_files WHERE regexp_matches(file_url, '/gdeltv2/\\d{14}\\.translation\\.export\\.CSV\\.zip$')")
+def manifest_lines(spark, d):
+    """Manifest lines of all processed files, among others that aren't exports."""
+    files = table(spark, d, "processed_files", "file_url")
+    lines = files.select(F.explode(F.array(F.concat(F.lit("123 abc  "), "file_url"), F.concat(F.lit("1 "), "file_url"), F.concat(F.lit("1 a "), "file_url", F.lit(".md5")))).alias("value"))
+    return readers.manifest(lines)
+
+
+@query("SELECT sitemap_url AS loc, nullif(trim(sitemap_lastmod), '') AS lastmod FROM g1_sitemaps")
+def index_entries(spark, d):
+    """All sitemaps, from an index of each target date."""
+    s = table(spark, d, "g1_sitemaps", "sitemap_url", "sitemap_lastmod", "target_date")
+    entry = F.concat(F.lit("<sitemap><loc> "), _escaped(F.col("sitemap_url")), F.lit("</loc>"), F.coalesce(F.concat(F.lit("<lastmod>"), _escaped(F.col("sitemap_lastmod")), F.lit("</lastmod>")), F.lit("")), F.lit("</sitemap>"))
+    xml = s.groupBy("target_date").agg(F.concat(F.lit("<?xml version='1.0'?>\n<sitemapindex>"), F.array_join(F.collect_list(entry), "\n"), F.lit("</sitemapindex>")).alias("xml"))
+    return readers.sitemap_index(xml)
+
+
+@query("SELECT sitemap_url, url AS loc, nullif(trim(sitemap_article_lastmod, chr(9) || chr(10) || chr(13) || ' ' || chr(160)), '') AS lastmod, nullif(trim(sitemap_image_url), '') AS image_loc FROM g1_articles")
+def urlset_entries(spark, d):
+    """All articles, from the sitemap of each."""
+    a = articles(spark, d, "url", "sitemap_url", "sitemap_article_lastmod", "sitemap_image_url")
+    part = lambda tag, c: F.coalesce(F.concat(F.lit(f"<{tag}>"), _escaped(F.col(c)), F.lit(f"</{tag}>")), F.lit(""))
+    image = F.when(F.col("sitemap_image_url").isNotNull(), F.concat(F.lit("<image:image>"), part("image:loc", "sitemap_image_url"), F.lit("</image:image>"))).otherwise("")
+    xml = a.groupBy("sitemap_url").agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(F.concat(F.lit("<url>"), part("loc", "url"), image, part("lastmod", "sitemap_article_lastmod"), F.lit("</url>"))), ""), F.lit("</urlset>")).alias("xml"))
+    return readers.sitemap_urlset(xml, keep=("sitemap_url",)).drop("pos")
+
+
+@query("SELECT id, coalesce(CAST(globaleventid AS VARCHAR), '') AS globaleventid, coalesce(actor1name, '') AS actor1name, coalesce(actiongeo_fullname, '') AS actiongeo_fullname, split_part(sourceurl, chr(9), 1) AS sourceurl FROM gdelt_brazil_events")
+def export_lines(spark, d):
+    """All events as lines of an export, read back; a tab within an address ends it, as in any such file."""
+    from tarrafa.schemas import EVENT_COLUMNS
+
+    e = events(spark, d, "id", *EVENT_COLUMNS)
+    line = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in EVENT_COLUMNS])
+    rows = readers.export_rows(e.select(F.col("id").cast("string").alias("source_file"), F.lit(0).cast("long").alias("line_no"), line.alias("line")))
+    return rows.select(F.col("source_file").cast("long").alias("id"), "globaleventid", "actor1name", "actiongeo_fullname", "sourceurl")
