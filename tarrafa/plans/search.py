@@ -15,6 +15,10 @@ from tarrafa.operators.knn import in_date_order, literal_vector, search_chunks
 from tarrafa.operators.select import searchable_articles
 
 
+#: Most rows of one page: what the service collects.
+MAX_LIMIT = 10_000
+
+
 @dataclass(frozen=True)
 class Request:
     query: str
@@ -34,6 +38,8 @@ class Request:
         limit, offset = number("limit", 100), number("offset", 0)
         if limit < 0 or offset < 0:
             raise ValueError("limit and offset must not be negative")
+        if limit > MAX_LIMIT:
+            raise ValueError(f"limit must not be over {MAX_LIMIT}")
         return cls(query, number("top_k", None), limit, offset, args.get("date_from") or None, args.get("date_to") or None)
 
 

@@ -134,6 +134,7 @@ def test_http(service):
 
     assert call("/search", "query=")[0].startswith("400") and call("/search", "query=a&limit=x")[0].startswith("400") and call("/", "")[0].startswith("404")
     assert call("/search", "query=chuva&limit=1")[1]["limit"] == 1
+    assert call("/search", "query=chuva&limit=1000000")[0].startswith("400")
 
 
 def test_ranking(spark):
