@@ -85,6 +85,13 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir).select("item_table", "item_key", F.inline("pieces")).where("n_pieces > 1").drop("n_pieces")
 
 
+def p6_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item that was cut: whether all its pieces keep the limit, and each begins within the last 256 characters of the one before or at its end."""
+    pieces = _pieces(spark, sf_dir).where(F.size("pieces") > 1)
+    follows = F.zip_with(F.slice("pieces", F.lit(1), F.size("pieces") - 1), F.slice("pieces", F.lit(2), F.size("pieces") - 1), lambda a, b: b["start_pos"].between(a["end_pos"] - splitter.OVERLAP, a["end_pos"]))
+    return pieces.select("item_table", "item_key", F.forall("pieces", lambda p: F.length(p["piece"]).between(1, splitter.LIMIT)).alias("within_limit"), F.forall(follows, lambda x: x).alias("overlapping"))
+
+
 def p6_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each item put together again from its pieces, without their overlaps; must be the item."""
     flat = F.aggregate("pieces", F.struct(F.lit("").alias("t"), F.lit(0).alias("e")), lambda acc, p: F.struct(F.concat(acc["t"], F.substring(p["piece"], acc["e"] - p["start_pos"] + 1, F.length(p["piece"]))).alias("t"), p["end_pos"].alias("e")))
@@ -137,5 +144,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p2_found, p2_neighbours, p3_found, p3_main_text, p4_found, p4_ingested, p4_pages, p5_found, p5_kept, p6_found, p6_pieces, p6_rejoined, p7_found, p7_cleaned, p8_ids, p8_decoded, p9_mix, p9_shares, p9_reached, p9_blocks, p10_found)
+    for f in (p2_found, p2_neighbours, p3_found, p3_main_text, p4_found, p4_ingested, p4_pages, p5_found, p5_kept, p6_found, p6_pieces, p6_limits, p6_rejoined, p7_found, p7_cleaned, p8_ids, p8_decoded, p9_mix, p9_shares, p9_reached, p9_blocks, p10_found)
 }

@@ -16,6 +16,9 @@ SQL: dict[str, str] = {
     "p6_found": """
         SELECT 'g1_articles' AS item_table, url AS item_key FROM g1_articles WHERE length(text_content) > 1024
         UNION ALL SELECT 'g1_chunks', CAST(id AS VARCHAR) FROM g1_chunks WHERE length(chunk) > 1024""",
+    "p6_limits": """
+        SELECT 'g1_articles' AS item_table, url AS item_key, true AS within_limit, true AS overlapping FROM g1_articles WHERE length(text_content) > 1024
+        UNION ALL SELECT 'g1_chunks', CAST(id AS VARCHAR), true, true FROM g1_chunks WHERE length(chunk) > 1024""",
     "p6_rejoined": """
         SELECT 'g1_articles' AS item_table, url AS item_key, text_content AS item FROM g1_articles WHERE text_content IS NOT NULL
         UNION ALL SELECT 'g1_chunks', CAST(id AS VARCHAR), chunk FROM g1_chunks WHERE chunk IS NOT NULL""",
