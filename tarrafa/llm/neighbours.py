@@ -57,7 +57,7 @@ PART_BYTES = 32 << 20
 #: Similarities with leaders that are held at once.
 SIMILARITIES = 4_000_000
 #: Half a window is this often the radius; the share of windows that must hold a row; a radius by the one before.
-HALF_WINDOW, THRESHOLD, WIDEN = 1.36, 0.74, 1.25
+HALF_WINDOW, THRESHOLD, WIDEN = 1.36, 0.71, 1.25
 #: Places of a sorted array at which windows begin and end; queries handled at once, and verified at once.
 GRAINS, QUERIES, VERIFIED = 256, 128, 32
 #: Radius at which windows hold everything (no two unit vectors are farther apart).
