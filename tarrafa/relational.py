@@ -695,3 +695,12 @@ def export_lines(spark, d):
     line = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in EVENT_COLUMNS])
     rows = readers.export_rows(e.select(F.col("id").cast("string").alias("source_file"), F.lit(0).cast("long").alias("line_no"), line.alias("line")))
     return rows.select(F.col("source_file").cast("long").alias("id"), "globaleventid", "actor1name", "actiongeo_fullname", "sourceurl")
+
+
+@query("""SELECT title, url FROM g1_articles WHERE contains(lower(coalesce(title, '') || ' ' || coalesce(text_content, '')), 'prefeitura') AND contains(lower(coalesce(title, '') || ' ' || coalesce(text_content, '')), 'saúde') ORDER BY url, title LIMIT 10""")
+def news_results(spark, d):
+    """A news search over the articles: the number of results is the operator's."""
+    from tarrafa.sources.news_search import search_news
+
+    results = articles(spark, d, "title", "url", "text_content").withColumnRenamed("text_content", "body")
+    return search_news(results, "prefeitura saúde").select("title", "url")

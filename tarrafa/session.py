@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Largest estimated size, in bytes, of a table that may be broadcast.
+#: Largest measured size, in bytes, of a table that may be broadcast.
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 
@@ -50,16 +50,6 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df`` (an upper guess for filters and projections)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only if the estimated size stays under ``limit``; else leave the join to Catalyst."""
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
-
-
 def written(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` behind a checkpoint, with a broadcast hint if what was written is no larger than ``limit``.
 
