@@ -68,6 +68,12 @@ def available_zones(spark: SparkSession) -> list[str]:
         return sorted(zoneinfo.available_timezones())
 
 
+def _among(column: str, values) -> Column:
+    """Whether a column holds one of some plain names; one expression, as hundreds of literals cost a call each."""
+    listed = ", ".join("'" + v.replace("'", "''") + "'" for v in sorted(set(values)))
+    return F.expr(f"`{column}` IN ({listed})") if listed else F.lit(False)
+
+
 def parse_instants(df: DataFrame, value: str, out: str = "p", zones: list[str] | None = None) -> DataFrame:
     """Adds ``out``: a struct of ``local`` (timestamp_ntz), ``zone`` (null if not written), ``epoch_micros``.
 
@@ -102,7 +108,7 @@ def parse_instants(df: DataFrame, value: str, out: str = "p", zones: list[str] |
 
     hours, minutes = F.expr("substring(_i_offset, 2, if(length(_i_offset) <= 3, 2, length(_i_offset) - 3))"), F.expr("if(length(_i_offset) <= 3, '00', right(_i_offset, 2))")
     offset_zone = F.when((F.length("_i_offset") > 1) & (hours.try_cast("int") <= 18) & (minutes.try_cast("int") < 60), F.concat(F.substring("_i_offset", 1, 1), F.lpad(hours, 2, "0"), F.lit(":"), minutes))
-    region = F.when(F.col("_i_name").isin(sorted({z for z in zones if "/" in z})), F.col("_i_name"))
+    region = F.when(_among("_i_name", [z for z in zones if "/" in z]), F.col("_i_name"))
     short = F.try_element_at(F.create_map(*[x for k, z in ABBREVIATIONS.items() for x in (F.lit(k), F.lit(z))]), F.regexp_extract("_i_tail", r"^\(?([a-z]{1,4})\)?$", 1))
     brasilia = F.when(F.col("_i_tail").rlike(r"^\(?\s*(?:no\s+)?hor[áa]rio\s+(?:oficial\s+)?de\s+bras[íi]lia\s*\)?$"), F.lit("America/Sao_Paulo"))
     d = d.withColumn("_i_zone", F.coalesce(offset_zone, short, region, brasilia))
@@ -195,7 +201,7 @@ def normalise_articles(articles: DataFrame, edition_zones: DataFrame) -> DataFra
     without either is no case.
     """
     known = set(available_zones(articles.sparkSession))
-    zones = edition_zones.where(F.col("time_zone").isin(sorted(known))).groupBy(F.lower("edition").alias("edition")).agg(F.min("time_zone").alias("time_zone"))
+    zones = edition_zones.where(_among("time_zone", known)).groupBy(F.lower("edition").alias("edition")).agg(F.min("time_zone").alias("time_zone"))
     other = articles.withColumn("_edition", edition(F.col("url"))).join(zones, F.col("_edition") == zones["edition"], "left_anti")
     estimated = estimate_zones(unzoned_times(parsed_fields(other, ALIGNED)), "edition", "local", "seen_micros")
     # One row per edition; written out first, so that its size is known and the long table needn't move for it.
